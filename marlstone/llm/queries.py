@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import near_duplicates as nd
+from marlstone.llm import personal_data as pii
 from marlstone.plans import table
 
 # problem 1 -----------------------------------------------------------------------------------------------------------
@@ -43,5 +44,23 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("table_name", F.col("id").alias("ingest_id"), F.col("rep").alias("class_id"), group.alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
+# problem 5 -----------------------------------------------------------------------------------------------------------
+
+
+def _p5(spark: SparkSession, sf_dir: str, redact: bool) -> DataFrame:
+    j, c = table(spark, sf_dir, "jira_issues"), table(spark, sf_dir, "jira_comments")
+    texts = j.select(F.lit("jira_issues").alias("table_name"), "ingest_id", F.col("description").alias("text")).unionByName(c.select(F.lit("jira_comments").alias("table_name"), "ingest_id", F.col("body").alias("text")))
+    names = j.select("assignee").unionByName(j.select("reporter").toDF("assignee")).unionByName(c.select("author").toDF("assignee"))
+    return pii.find_personal_data(texts, "text", ["table_name", "ingest_id"], pii.train_names(names, texts.select("text")), redact)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p5(spark, sf_dir, False).select("table_name", "ingest_id", F.inline("spans")).select("table_name", "ingest_id", F.col("type").alias("pii_type"), "occurrence")
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p5(spark, sf_dir, True).select("table_name", "ingest_id", F.size("spans").alias("n_spans"), "redacted")
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_redacted": p5_redacted}
 SQL: dict[str, str] = {}
