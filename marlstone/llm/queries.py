@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm import languages as lg
 from marlstone.llm import near_duplicates as nd
 from marlstone.llm import personal_data as pii
 from marlstone.plans import table
@@ -62,5 +63,34 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p5(spark, sf_dir, True).select("table_name", "ingest_id", F.size("spans").alias("n_spans"), "redacted")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_redacted": p5_redacted}
+# problem 6 -----------------------------------------------------------------------------------------------------------
+
+
+def _p6_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {"jira_issues": "description", "youtube_videos": "transcript", "x_articles": "summary"}
+    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("table_name"), "ingest_id", F.col(f).alias("text"), "lang") for t, f in fields.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _language_model(spark: SparkSession, sf_dir: str) -> lg.Model:
+    return lg.train(_p6_rows(spark, sf_dir).select("text", "lang"), table(spark, sf_dir, "common_words"))
+
+
+def _p6(spark: SparkSession, sf_dir: str, with_segments: bool) -> DataFrame:
+    rows = _p6_rows(spark, sf_dir).withColumn("label", lg.label_language(F.col("lang")))
+    return lg.identify_languages(rows, "text", ["table_name", "ingest_id", "label"], _language_model(spark, sf_dir), with_segments)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of at least eight words in one language that the label doesn't name, and both languages of mixed texts."""
+    t = _p6(spark, sf_dir, False).filter("n_words >= 8")
+    wrong = F.col("label").isNull() | (F.col("label") != F.col("languages")[0]["lang"])
+    return t.filter((F.size("languages") > 1) | ((F.size("languages") == 1) & wrong)).select("table_name", "ingest_id", F.explode("languages.lang").alias("true_lang"))
+
+
+def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p6(spark, sf_dir, True).select("table_name", "ingest_id", F.inline("segments"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_segments": p6_segments}
 SQL: dict[str, str] = {}
