@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows up to which a side is broadcast once it has been counted (a few columns each: tens of MB at most).
 BROADCAST_ROWS = 200_000
@@ -78,3 +79,8 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
     """Join with a side that is usually small: it is counted, broadcast up to `rows` rows, else shuffled
     (AQE then splits hot keys). `small` should be cheap to count (a file, or cut)."""
     return big.join(F.broadcast(small) if small.limit(rows + 1).count() <= rows else small, on, how)
+
+
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """A schema with more fields, given as DDL."""
+    return StructType(schema.fields + StructType.fromDDL(ddl).fields)
