@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.plans import spread
+from marlstone.plans import spread, with_fields
 
 ORDER = 4
 #: Bounds of the training sample: texts drawn by hash, characters read of each, and letters kept per language.
@@ -307,9 +307,7 @@ def identify_languages(df: DataFrame, text: str, keep: list[str], model: Model,
     base = spread(df.select(F.struct(*keep).alias("_keep"), F.col(text).cast("string").alias("_text")))
     shared = df.sparkSession.sparkContext.broadcast(model)
     part = "array<struct<start:int,end:int,lang:string,confidence:double,sure:boolean>>"
-    schema = base.select("_keep").schema.add("n_words", "int").add("languages", "array<struct<lang:string,share:double,confidence:double>>")
-    if with_segments:
-        schema = schema.add("segments", part)
+    schema = with_fields(base.select("_keep").schema, "n_words int, languages array<struct<lang:string,share:double,confidence:double>>" + (f", segments {part}" if with_segments else ""))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
