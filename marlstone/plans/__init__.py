@@ -84,3 +84,12 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
 def with_fields(schema: StructType, ddl: str) -> StructType:
     """A schema with more fields, given as DDL."""
     return StructType(schema.fields + StructType.fromDDL(ddl).fields)
+
+
+def hash_sample(df: DataFrame, rows: int, id: list[str]) -> DataFrame:
+    """About `rows` rows of `df` (all, if it has no more), the same in every run: those whose id hashes low enough. The id
+    should be unique, so that no repeated value is drawn as a block; twice the rows are never exceeded."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(*id), F.lit(1 << 40)) < int((1 << 40) * (rows / n))).limit(2 * rows)
