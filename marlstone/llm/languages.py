@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.plans import spread, with_fields
+from marlstone.plans import hash_sample, spread, with_fields
 
 ORDER = 4
 #: Bounds of the training sample: texts drawn by hash, characters read of each, and letters kept per language.
@@ -46,7 +46,7 @@ _CODE = re.compile(
     r"|\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})*|!?\[[^\]\n]*\]\([^)\n]*\)|\[\[[^\]\n]*\]\]|\[[^\]|\n]*\|[^\]\n]*\]|![^\s!|]+(?:\|[^!\n]*)?!",
     re.S | re.I,
 )
-_ODD = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+|\S+\s?[(\[]at[)\]]\s?\S+|\S+(?: dot \S+)* at \S+(?: dot \S+)+|\b\w*[0-9_/]\w*(?:[-_/.]\w+)*|\b[^\W\d_]+(?:[-_][a-z0-9]+)+\b|\b[A-Z][a-z]+[A-Z]\w*")
+_SPELLED = re.compile(r"[^\s]+(?: dot [^\s]+)* at [^\s]+(?: dot [^\s]+)+")  # an address in words
 _MARKS = re.compile(r"[`{<\\$\[!~&]")
 
 
@@ -57,11 +57,26 @@ def label_language(label: Column) -> Column:
 
 
 def readable(text: str) -> str:
-    """The text with code, markup, addresses and technical names blanked out; every character keeps its place."""
-    blank = lambda m: " " * (m.end() - m.start())
+    """The text with code, markup and spelled addresses blanked out; every character keeps its place."""
+    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
     if _MARKS.search(text):
-        text = _CODE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    return _ODD.sub(blank, text)
+        text = _CODE.sub(blank, text)
+    return _SPELLED.sub(blank, text) if " dot " in text else text
+
+
+def technical(raw: np.ndarray) -> np.ndarray:
+    """Bytes of words that are names, numbers or addresses: with a digit, one of _@/\\+ , a hyphen or dot between letters, or a capital inside."""
+    n = len(raw)
+    space, letter = _SPACE[raw], _CODES[raw] > 0
+    low, big = letter & ~_BIG[raw], _BIG[raw]
+    odd = _TECHNICAL[raw].copy()
+    if n > 2:
+        odd[1:-1] |= _JOINT[raw[1:-1]] & letter[:-2] & letter[2:]
+        odd[1:] |= big[1:] & low[:-1]
+    start = np.concatenate([[True], space[1:] != space[:-1]])
+    first = np.nonzero(start)[0]
+    hit = (np.add.reduceat(odd.view(np.uint8), first, dtype=np.int64) > 0) & ~space[first]
+    return np.repeat(hit, np.diff(np.concatenate([first, [n]])))
 
 
 def _byte_codes() -> np.ndarray:
@@ -75,6 +90,10 @@ def _byte_codes() -> np.ndarray:
 _CODES = _byte_codes()
 _END, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
 _END[[ord(c) for c in ".!?:;"]] = True
+_BIG, _TECHNICAL, _JOINT = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_BIG[65:91] = _BIG[192:223] = True
+_TECHNICAL[[ord(c) for c in "0123456789_@/\\+"]] = True
+_JOINT[[ord("-"), ord(".")]] = True
 _SPACE[[9, 10, 11, 12, 13, 32, 160]] = True
 
 
@@ -97,7 +116,7 @@ def segments(texts: list[str]) -> Segments | None:
     clean = [readable(t) for t in texts]
     raw = np.frombuffer("\n".join(clean).encode("latin-1", "replace"), np.uint8)
     ends = np.cumsum([len(t) + 1 for t in clean])
-    codes = _CODES[raw]
+    codes = np.where(technical(raw), 0, _CODES[raw]) if len(raw) else _CODES[raw]
     prev = np.concatenate([[np.uint8(10)], raw[:-1]])
     cut = (_SPACE[raw] & _END[prev]) | (raw == 10)
     seg = np.cumsum(cut) - cut  # the space itself still belongs to the segment before
@@ -105,7 +124,7 @@ def segments(texts: list[str]) -> Segments | None:
     at = np.nonzero(keep)[0]
     if not len(at):
         return None
-    big = (raw >= 65) & (raw <= 90) | (raw >= 192) & (raw <= 222)
+    big = _BIG[raw]
     title = (big & ~np.concatenate([big[1:], [False]]))[at]
     codes, seg = codes[at], seg[at]
     starts = (codes > 0) & np.concatenate([[True], (codes[:-1] == 0) | (seg[1:] != seg[:-1])])
@@ -214,12 +233,13 @@ def fit(langs: list[str], parts: list[list[np.ndarray]]) -> Model:
     return Model(langs, [pack(d) for d in letters], [pack(d) for d in contexts])
 
 
-def train(texts: DataFrame, common_words: DataFrame) -> Model:
-    """The model of a bounded sample of `texts` (text, label): texts whose doubtful label agrees with the frequent words, then
-    with the model so far. SAMPLE_TEXTS texts drawn by hash, of each the first SAMPLE_CHARS
+def train(texts: DataFrame, id: list[str], common_words: DataFrame) -> Model:
+    """The model of a bounded sample of `texts` (the id columns, unique together, text, lang): texts whose doubtful label agrees with the frequent words, then
+    with the model so far. about SAMPLE_TEXTS texts drawn by hash, of each the first SAMPLE_CHARS
     characters (training only; every text is later read whole). common_words: lang, word."""
-    t = texts.toDF("x", "label").filter("x is not null").select(F.substring("x", 1, SAMPLE_CHARS).alias("x"), label_language(F.col("label")).alias("label"))
-    rows = t.orderBy(F.xxhash64("x"), "x", "label").limit(SAMPLE_TEXTS).collect()
+    t = texts.filter("text is not null").select(*id, F.substring("text", 1, SAMPLE_CHARS).alias("x"), label_language(F.col("lang")).alias("label"))
+    rows = sorted(hash_sample(t, SAMPLE_TEXTS, id).select("x", "label").collect(), key=lambda r: (r[0], r[1] or ""))
+    np.random.default_rng(0).shuffle(rows)
     sample, labels = [r[0] for r in rows], [r[1] for r in rows]
     pairs = common_words.select("lang", "word").distinct().collect()
     langs = sorted({r[0] for r in pairs})

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from marlstone.llm import languages as lg
 from marlstone.llm import near_duplicates as nd
 from marlstone.llm import personal_data as pii
-from marlstone.plans import table
+from marlstone.llm import subjects as sj
+from marlstone.llm.mixing import mix
+from marlstone.llm.packing import pack_texts
+from marlstone.llm.splitting import split_texts
+from marlstone.llm.text_quality import text_quality
+from marlstone.plans import join_small, table
 
 # problem 1 -----------------------------------------------------------------------------------------------------------
 
@@ -52,7 +57,7 @@ def _p5(spark: SparkSession, sf_dir: str, redact: bool) -> DataFrame:
     j, c = table(spark, sf_dir, "jira_issues"), table(spark, sf_dir, "jira_comments")
     texts = j.select(F.lit("jira_issues").alias("table_name"), "ingest_id", F.col("description").alias("text")).unionByName(c.select(F.lit("jira_comments").alias("table_name"), "ingest_id", F.col("body").alias("text")))
     names = j.select("assignee").unionByName(j.select("reporter").toDF("assignee")).unionByName(c.select("author").toDF("assignee"))
-    return pii.find_personal_data(texts, "text", ["table_name", "ingest_id"], pii.train_names(names, texts.select("text")), redact)
+    return pii.find_personal_data(texts, "text", ["table_name", "ingest_id"], pii.train_names(names, texts, ["table_name", "ingest_id"]), redact)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +78,7 @@ def _p6_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _language_model(spark: SparkSession, sf_dir: str) -> lg.Model:
-    return lg.train(_p6_rows(spark, sf_dir).select("text", "lang"), table(spark, sf_dir, "common_words"))
+    return lg.train(_p6_rows(spark, sf_dir), ["table_name", "ingest_id"], table(spark, sf_dir, "common_words"))
 
 
 def _p6(spark: SparkSession, sf_dir: str, with_segments: bool) -> DataFrame:
@@ -92,5 +97,93 @@ def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p6(spark, sf_dir, True).select("table_name", "ingest_id", F.inline("segments"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_segments": p6_segments}
-SQL: dict[str, str] = {}
+# problem 2 -----------------------------------------------------------------------------------------------------------
+
+
+def _p2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {"jira_issues": "description", "youtube_videos": "transcript", "x_articles": "summary"}
+    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("table_name"), F.lit(f).alias("field_name"), "ingest_id", F.col(f).alias("text")) for t, f in fields.items()]
+    limits = table(spark, sf_dir, "size_limits").filter("unit = 'char'").select("table_name", "field_name", "max_size", "overlap")
+    rows = join_small(parts[0].unionByName(parts[1]).unionByName(parts[2]), limits, ["table_name", "field_name"])
+    return split_texts(rows, "text", ["table_name", "field_name", "ingest_id", "max_size"], "max_size", "overlap")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that come out in more than one piece."""
+    return _p2(spark, sf_dir).filter("n_pieces > 1 and piece = 0").select("table_name", "ingest_id")
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p2(spark, sf_dir).select("table_name", "ingest_id", "piece", "n_pieces", "start", "end", "cut", "piece_text")
+
+
+P2_FOUND_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, ingest_id FROM {t} WHERE length({f}) > (SELECT max_size FROM size_limits WHERE table_name = '{t}' AND field_name = '{f}')"
+    for t, f in {"jira_issues": "description", "youtube_videos": "transcript", "x_articles": "summary"}.items()
+)
+
+# problems 8 and 9 ----------------------------------------------------------------------------------------------------
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacity = table(spark, sf_dir, "size_limits").filter("table_name = 'documents' and unit = 'token'").select("max_size").first()[0]
+    return pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text", capacity)
+
+
+def p8_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers by the tenth of their capacity that is used."""
+    one = p8_containers(spark, sf_dir).groupBy("container").agg(F.first("used").alias("used"), F.first("unused").alias("unused"), F.count("*").alias("items"))
+    tenth = F.ceil(F.lit(10) * F.col("used") / (F.col("used") + F.col("unused"))).cast("int")
+    return one.groupBy(tenth.alias("tenth")).agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("used").alias("used"), F.sum("unused").alias("unused"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), "doc_id", "source", "text", table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), "doc_id", "source", "text", table(spark, sf_dir, "mix_targets"))[1]
+
+
+# problem 10 ----------------------------------------------------------------------------------------------------------
+
+
+def p10_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality(table(spark, sf_dir, "documents"), "text", ["doc_id"], table(spark, sf_dir, "common_words"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_measures(spark, sf_dir).filter("text_class <> 'prose'").select("doc_id", "text_class")
+
+
+# problem 4 -----------------------------------------------------------------------------------------------------------
+
+
+def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {"youtube_videos": "transcript", "x_articles": "summary", "articles": "summary"}
+    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("table_name"), "ingest_id", F.col(f).alias("text"), "category", "url") for t, f in fields.items()]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    model = sj.train(table(spark, sf_dir, "subject_examples"), rows, ["table_name", "ingest_id"], ["category", "url"])
+    spoken = lg.identify_languages(rows, "text", ["table_name", "ingest_id", "text"], _language_model(spark, sf_dir))
+    english = spoken.filter("size(languages) = 1 and languages[0].lang = 'en'")
+    return sj.assign_subjects(english, "text", ["table_name", "ingest_id"], model)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of every text wholly in English."""
+    return _p4(spark, sf_dir).select("table_name", "ingest_id", F.explode("subjects.subject").alias("subject"))
+
+
+def p4_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and their share of each table by subject; a text with two subjects counts half for each."""
+    rows = _p4(spark, sf_dir).select("table_name", F.explode("subjects.subject").alias("subject"), (F.lit(1.0) / F.size("subjects")).alias("part"))
+    sums = rows.groupBy("table_name", "subject").agg(F.count("*").alias("texts"), F.round(F.sum("part"), 3).alias("weight"))
+    whole = sums.groupBy("table_name").agg(F.sum("weight").alias("whole"))
+    return sums.join(whole, "table_name").select("table_name", "subject", "texts", "weight", F.round(F.col("weight") / F.col("whole"), 6).alias("share"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_composition": p4_composition, "p5_found": p5_found, "p5_redacted": p5_redacted,
+    "p6_found": p6_found, "p6_segments": p6_segments, "p8_containers": p8_containers, "p8_space": p8_space, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_measures": p10_measures,
+}
+SQL: dict[str, str] = {"p2_found": P2_FOUND_SQL}
