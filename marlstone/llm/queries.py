@@ -9,6 +9,7 @@ from marlstone.llm import languages as lg
 from marlstone.llm import near_duplicates as nd
 from marlstone.llm import personal_data as pii
 from marlstone.llm import subjects as sj
+from marlstone.llm.markup import clean_markup
 from marlstone.llm.mixing import mix
 from marlstone.llm.packing import pack_texts
 from marlstone.llm.splitting import split_texts
@@ -182,8 +183,21 @@ def p4_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.join(whole, "table_name").select("table_name", "subject", "texts", "weight", F.round(F.col("weight") / F.col("whole"), 6).alias("share"))
 
 
+# problem 3 -----------------------------------------------------------------------------------------------------------
+
+
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = table(spark, sf_dir, "jira_issues").select(F.lit("jira_issues").alias("table_name"), "ingest_id", "description")
+    n = table(spark, sf_dir, "notion_blocks").select(F.lit("notion_blocks").alias("table_name"), "ingest_id", "data", "block_type")
+    return clean_markup(j, "description", ["table_name", "ingest_id"]).unionByName(clean_markup(n, "data", ["table_name", "ingest_id"], "block_type"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_clean(spark, sf_dir).select("table_name", "ingest_id", F.explode("kinds").alias("kind"))
+
+
 QUERIES = {
-    "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_composition": p4_composition, "p5_found": p5_found, "p5_redacted": p5_redacted,
+    "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_composition": p4_composition, "p5_found": p5_found, "p5_redacted": p5_redacted,
     "p6_found": p6_found, "p6_segments": p6_segments, "p8_containers": p8_containers, "p8_space": p8_space, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_measures": p10_measures,
 }
 SQL: dict[str, str] = {"p2_found": P2_FOUND_SQL}
