@@ -105,7 +105,7 @@ def metadata_lines(text: Column) -> Column:
 
 def contains_word(text: Column, word: Column) -> Column:
     """The word stands in the text as a whole word, whatever the case (all letters count as word characters)."""
-    return text.rlike(F.concat(F.lit(r"(?iU)(?<!\w)\Q"), word, F.lit(r"\E(?!\w)")))
+    return F.rlike(text, F.concat(F.lit(r"(?iU)(?<!\w)\Q"), word, F.lit(r"\E(?!\w)")))
 
 
 def md5_body(text: Column) -> Column:

@@ -16,7 +16,7 @@ LINE_NOISE = {
 
 
 def meaningful_lines(text: Column, noise: list[str]) -> Column:
-    lines = F.filter(F.transform(F.split(F.trim(text), r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.trim(text), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     keep = lambda x: ~_any(x, noise)
     return F.filter(lines, keep) if noise else lines
 
@@ -42,7 +42,7 @@ def match_noise(docs: DataFrame, patterns: DataFrame, on: str = "path") -> DataF
     text in the title), pattern, reason. Globs and texts match whatever the case."""
     glob = F.concat(F.lit("(?is)^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("pattern", r"([.+^$(){}|\\\[\]])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))
     p = F.broadcast(patterns.withColumn("_re", glob))  # a hand-written list
-    hit = F.when(F.col("kind") == "glob", F.col("path").rlike(F.col("_re"))).otherwise(F.contains(F.lower("title"), F.lower("pattern")))
+    hit = F.when(F.col("kind") == "glob", F.rlike(F.col("path"), F.col("_re"))).otherwise(F.contains(F.lower("title"), F.lower("pattern")))
     return docs.select("doc_id", "path", "title").join(p, hit).groupBy("doc_id").agg(F.min_by("reason", "pattern_no").alias("reason"))
 
 

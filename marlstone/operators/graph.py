@@ -236,14 +236,15 @@ def document_similarities(vectors: DataFrame, blocks: int | None = None, thresho
     k = blocks or max(1, -(-n // 2000))
     v = vectors.withColumn("_b", F.pmod(F.xxhash64("doc"), F.lit(k)).cast("int"))
     left = v.select(F.col("_b").alias("_x"), "doc", "vector", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_y")).filter("_x <= _y")
-    right = v.select(F.col("_b").alias("_y"), "doc", "vector", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_x")).filter("_x <= _y")
+    # new names: a plan that cogroups a frame with itself would otherwise lose one side's columns to pruning
+    right = v.select(F.col("_b").alias("_y"), F.col("doc").alias("doc2"), F.col("vector").alias("vector2"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_x")).filter("_x <= _y")
     kind = vectors.schema["doc"].dataType.simpleString()
 
     def run(key: tuple, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(l) and len(r):
-            s = np.array(l["vector"].tolist()) @ np.array(r["vector"].tolist()).T
-            a, b = l["doc"].to_numpy(), r["doc"].to_numpy()
+            s = np.array(l["vector"].tolist()) @ np.array(r["vector2"].tolist()).T
+            a, b = l["doc"].to_numpy(), r["doc2"].to_numpy()
             aa, bb = np.broadcast_to(a[:, None], s.shape).ravel(), np.broadcast_to(b[None, :], s.shape).ravel()
             keep = (aa < bb) if key[0] == key[1] else np.ones(len(aa), bool)
             if threshold is not None:

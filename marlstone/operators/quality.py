@@ -57,7 +57,7 @@ def baseline_compare(current: DataFrame, baseline: DataFrame, lower_is_better: l
 
 def tag_coverage(docs: DataFrame, tags: str = "tags") -> DataFrame:
     """Share of tagged documents, tags per document and distinct tags of a comma list column."""
-    t = docs.select(F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), F.trim), lambda x: x != "").alias("t"))
+    t = docs.select(F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "").alias("t"))
     n = F.size("t")
     every = t.select(F.explode("t").alias("x")).agg(F.countDistinct("x").alias("distinct_tags"))
     return t.agg(F.count("*").alias("documents"), F.round(F.avg((n > 0).cast("double")), 6).alias("tagged"), F.round(F.avg(F.when(n > 0, n)), 6).alias("mean_tags"), F.min(F.when(n > 0, n)).alias("least_tags"), F.max(F.when(n > 0, n)).alias("most_tags")).crossJoin(every)
