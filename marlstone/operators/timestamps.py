@@ -171,7 +171,7 @@ def normalise_timestamps(df: DataFrame, value: str, source: str, zone: str | Non
     base = df.select(
         F.struct(*[F.col(c) for c in keep]).alias("_keep"),
         F.trim(F.regexp_replace(F.col(value).cast("string"), r"[\s ]+", " ")).alias("_v"),
-        F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"),
+        F.concat_ws("\0", F.coalesce(F.col(source).cast("string"), F.lit("")), F.lower(F.col(order)) if order else none).alias("_source"),  # a source with two orders is two
         (F.col(zone) if zone else none).alias("_tz"),
         (F.lower(F.col(order)) if order else none).alias("_order"),
     )

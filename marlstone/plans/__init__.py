@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -93,3 +94,15 @@ def hash_sample(df: DataFrame, rows: int, id: list[str]) -> DataFrame:
     if n <= rows:
         return df
     return df.filter(F.pmod(F.xxhash64(*id), F.lit(1 << 40)) < int((1 << 40) * (rows / n))).limit(2 * rows)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once, unless they find it on PYTHONPATH: Python functions refer to its modules."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    sc = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_marlstone_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="marlstone-")
+    atexit.register(shutil.rmtree, folder, True)
+    sc.addPyFile(shutil.make_archive(f"{folder}/marlstone", "zip", root, "marlstone"))
+    sc._marlstone_shipped = True

@@ -73,6 +73,11 @@ def updated_since(query: str, field: str, since: str | None) -> str:
     return f'({query}) AND {field} >= "{since}"' if since else query
 
 
+def numbered(start: int, n: int) -> list[dict]:
+    """A source for trials: items with their number."""
+    return [{"id": i, "name": f"n{i}"} for i in range(start, start + n)]
+
+
 class _Pages(DataSourceReader):
     def __init__(self, schema, options):
         self.schema, self.options = schema, options
