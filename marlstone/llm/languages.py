@@ -114,7 +114,7 @@ class Segments:
 def segments(texts: list[str]) -> Segments | None:
     """Sentences and lines of the texts; long unbroken runs are cut after every CHUNK words. None if no text has a letter."""
     clean = [readable(t) for t in texts]
-    raw = np.frombuffer("\n".join(clean).encode("latin-1", "replace"), np.uint8)
+    raw = np.frombuffer("".join(f"{t}\n" for t in clean).encode("latin-1", "replace"), np.uint8)
     ends = np.cumsum([len(t) + 1 for t in clean])
     codes = np.where(technical(raw), 0, _CODES[raw]) if len(raw) else _CODES[raw]
     prev = np.concatenate([[np.uint8(10)], raw[:-1]])
