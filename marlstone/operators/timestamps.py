@@ -104,41 +104,43 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _int(c: Column) -> Column:
-    return F.when(c.rlike(r"^\d+$"), c.cast("int")).otherwise(F.lit(0))
+    return F.coalesce(F.nullif(c, F.lit("")).try_cast("int"), F.lit(0))
 
 
-def _civil(value: Column, k: int) -> Column:
-    """The parts of the value under format k, null where it can't be read so."""
-    name, pattern, template, _ = CIVIL[k]
-    whole = f"^{pattern}$"
-    p = F.split(F.regexp_replace(value, whole, template), r"\|", -1)
+def _readings(value: Column) -> Column:
+    """The value's parts under each format that can read it: array<struct<fmt, y, mo, d, h, mi, s, us, zone, epoch, odd>>.
+
+    Each pattern is tried once; only what matches is rewritten to "Y|M|D|h|m|s|fraction|a or p|zone" and taken apart.
+    """
+    civil = F.array(*[F.when(value.rlike(f"^{f[1]}$"), F.struct(F.lit(k).alias("fmt"), F.regexp_replace(value, f"^{f[1]}$", f[2]).alias("t"))) for k, f in enumerate(CIVIL)])
+    civil = F.transform(F.filter(civil, lambda c: c.isNotNull()), lambda c: F.struct(c["fmt"].alias("fmt"), F.split(c["t"], r"\|", -1).alias("p")))
     months = F.create_map(*[F.lit(x) for n, names in MONTHS.items() for w in names.split() for x in (w, n)])
-    year = p[0].cast("int")
-    month = F.when(p[1].rlike(r"^\d+$"), p[1].cast("int")).otherwise(F.try_element_at(months, F.lower(p[1])))
-    half = F.lower(p[7])
-    hour = _int(p[3])
-    parts = F.struct(
-        F.lit(k).alias("fmt"),
-        F.when(F.length(p[0]) == 2, year + 2000).otherwise(year).alias("y"),
-        month.alias("mo"),
-        p[2].cast("int").alias("d"),
-        F.when(half == "p", hour % 12 + 12).when(half == "a", hour % 12).otherwise(hour).alias("h"),
-        _int(p[4]).alias("mi"),
-        _int(p[5]).alias("s"),
-        F.rpad(F.substring(p[6], 1, 6), 6, "0").cast("int").alias("us"),
-        p[8].alias("zone"),
-        F.lit(None).cast("bigint").alias("epoch"),
-        (half.isin("a", "p") & ((hour < 1) | (hour > 12))).alias("odd"),
-    )
-    return F.when(value.rlike(whole), parts)
 
+    def numbers(c: Column) -> Column:
+        p = c["p"]
+        return F.struct(
+            c["fmt"].alias("fmt"), p[0].try_cast("int").alias("y"), F.length(p[0]).alias("yl"), F.when(p[1].rlike(r"^\d+$"), p[1].try_cast("int")).otherwise(F.try_element_at(months, F.lower(p[1]))).alias("mo"), p[2].try_cast("int").alias("d"),
+            _int(p[3]).alias("h"), _int(p[4]).alias("mi"), _int(p[5]).alias("s"), F.rpad(F.substring(p[6], 1, 6), 6, "0").try_cast("int").alias("us"), F.lower(p[7]).alias("half"), p[8].alias("zone"),
+        )
+
+    def parts(n: Column) -> Column:
+        twelve = n["half"].isin("a", "p")
+        return F.struct(
+            n["fmt"].alias("fmt"), F.when(n["yl"] == 2, n["y"] + 2000).otherwise(n["y"]).alias("y"), n["mo"].alias("mo"), n["d"].alias("d"),
+            F.when(n["half"] == "p", n["h"] % 12 + 12).when(n["half"] == "a", n["h"] % 12).otherwise(n["h"]).alias("h"), n["mi"].alias("mi"), n["s"].alias("s"), n["us"].alias("us"), n["zone"].alias("zone"),
+            F.lit(None).cast("bigint").alias("epoch"), (twelve & ~n["h"].between(1, 12)).alias("odd"),
+        )
+
+    civil = F.transform(F.transform(civil, numbers), parts)
+    number = value.try_cast("decimal(30,9)")
+
+    def epoch(k: int) -> Column:
+        name, pattern, unit, _ = EPOCH[k]
+        us = (F.try_divide(number, F.lit(1000)) if not unit else number * unit).try_cast("bigint")
+        null = lambda t: F.lit(None).cast(t)
+        return F.when(value.rlike(f"^{pattern}$"), F.struct(F.lit(len(CIVIL) + k).alias("fmt"), *[null("int").alias(x) for x in ("y", "mo", "d", "h", "mi", "s", "us")], null("string").alias("zone"), us.alias("epoch"), F.lit(False).alias("odd")))
 
-def _epoch(value: Column, k: int) -> Column:
-    name, pattern, unit, _ = EPOCH[k]
-    us = F.expr("try_divide(try_cast(_v as decimal(20,0)), 1000)").cast("bigint") if not unit else (F.expr("try_cast(_v as decimal(25,9))") * unit).cast("bigint")
-    null = lambda t: F.lit(None).cast(t)
-    parts = F.struct(F.lit(len(CIVIL) + k).alias("fmt"), *[null("int").alias(x) for x in ("y", "mo", "d", "h", "mi", "s", "us")], null("string").alias("zone"), us.alias("epoch"), F.lit(False).alias("odd"))
-    return F.when(value.rlike(f"^{pattern}$"), parts)
+    return F.concat(civil, F.when(value.rlike(r"^-?\d{9,19}(?:\.\d+)?$"), F.filter(F.array(*[epoch(k) for k in range(len(EPOCH))]), lambda c: c.isNotNull())).otherwise(F.array().cast("array<struct<fmt:int,y:int,mo:int,d:int,h:int,mi:int,s:int,us:int,zone:string,epoch:bigint,odd:boolean>>")))
 
 
 def _valid(c: Column) -> Column:
@@ -176,8 +178,7 @@ def normalise_timestamps(df: DataFrame, value: str, source: str, zone: str | Non
         (F.lower(F.col(order)) if order else none).alias("_order"),
     )
     v = F.col("_v")
-    every = F.array(*[_civil(v, k) for k in range(len(CIVIL))], *[_epoch(v, k) for k in range(len(EPOCH))])
-    read = base.withColumn("_c", F.filter(F.when(v.rlike(r"\d"), every), lambda c: c.isNotNull() & _valid(c)))
+    read = base.withColumn("_c", F.filter(F.when(v.rlike(r"\d"), _readings(v)), _valid))
     read = read.withColumn("_mask", F.aggregate("_c", F.lit(0).cast("bigint"), lambda a, c: a.bitwiseOR(F.expr("1L").cast("bigint") * F.pow(F.lit(2.0), c["fmt"]).cast("bigint"))))
     counts = read.filter("_mask > 0").groupBy("_source", "_mask").agg(F.count("*").alias("_n"), F.max(F.when(F.col("_order").isin("dmy", "mdy"), F.col("_order"))).alias("_order"))
     fitted = cut(counts.groupBy("_source").applyInPandas(_fit_source, "_source string, _mask long, _fmt int, _posterior double"))
