@@ -76,8 +76,8 @@ def _keys(pairs: int, codewords: int):
                 kept = keys >= 0
                 ends = np.concatenate([[0], np.cumsum(kept.sum(1))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("_g"), b.column("_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[kept])), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy())],
-                    names=["_g", "_id", "_keys", "_s1", "_s2"],
+                    [b.column("_n"), b.column("_g"), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[kept])), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy())],
+                    names=["_n", "_g", "_keys", "_s1", "_s2"],
                 )
 
     return run
@@ -101,19 +101,20 @@ def near_duplicates(df: DataFrame, id: str, text: str, group: str | None = None,
     w = staged(w.select("_g", "_id", F.md5(F.concat_ws(" ", "_w")).alias("_md5"), shingles(F.col("_w"), size).alias("_set"), shingles(F.col("_w"), 2).alias("_pairs")))
     reps = w.groupBy("_g", "_md5").agg(F.min("_id").alias("_rep"))
     members = w.select("_g", "_id", "_md5").join(reps, ["_g", "_md5"]).select("_g", "_id", "_rep")
-    own = staged(w.drop("_md5").join(reps.select("_g", F.col("_rep").alias("_id")), ["_g", "_id"], "left_semi"))
-    keyed = own.select("_g", "_id", "_pairs").mapInArrow(_keys(pairs, codewords), "_g string, _id long, _keys array<bigint>, _s1 long, _s2 long")
-    keyed = staged(keyed)
-    rows = keyed.select("_g", "_id", F.explode("_keys").alias("_key"))
-    pair = rows.withColumnRenamed("_id", "_a").join(rows.withColumnRenamed("_id", "_b"), ["_g", "_key"]).filter("_a < _b").select("_g", "_a", "_b").distinct()
+    # classes get numbers of their own: keys and pairs, of which there are many, are then two longs a row
+    own = w.drop("_md5").join(reps.select("_g", F.col("_rep").alias("_id")), ["_g", "_id"], "left_semi")
+    own = staged(own.withColumn("_n", F.monotonically_increasing_id()))
+    keyed = staged(own.select("_n", "_g", "_pairs").mapInArrow(_keys(pairs, codewords), "_n long, _g string, _keys array<bigint>, _s1 long, _s2 long"))
+    rows = keyed.select("_n", F.explode("_keys").alias("_key"), "_g").select("_n", F.xxhash64("_g", "_key").alias("_key"))
+    pair = rows.withColumnRenamed("_n", "_a").join(rows.withColumnRenamed("_n", "_b"), "_key").filter("_a < _b").select("_a", "_b").distinct()
     for x in ("_a", "_b"):
-        pair = pair.join(keyed.select("_g", F.col("_id").alias(x), F.col("_s1").alias(f"{x}1"), F.col("_s2").alias(f"{x}2")), ["_g", x])
+        pair = pair.join(keyed.select(F.col("_n").alias(x), F.col("_s1").alias(f"{x}1"), F.col("_s2").alias(f"{x}2")), x)
     differ = F.bit_count(F.col("_a1").bitwiseXOR(F.col("_b1"))) + F.bit_count(F.col("_a2").bitwiseXOR(F.col("_b2")))
-    pair = pair.filter(differ <= SKETCH_BITS).select("_g", "_a", "_b")
+    pair = pair.filter(differ <= SKETCH_BITS).select("_a", "_b")
     for x in ("_a", "_b"):
-        pair = pair.join(own.select("_g", F.col("_id").alias(x), F.col("_set").alias(f"{x}_set")), ["_g", x])
+        pair = pair.join(own.select(F.col("_n").alias(x), F.col("_g").alias(f"{x}_g"), F.col("_id").alias(f"{x}_id"), F.col("_set").alias(f"{x}_set")), x)
     both = F.size(F.array_intersect("_a_set", "_b_set"))
-    links = pair.select("_g", F.col("_a").alias("rep_a"), F.col("_b").alias("rep_b"), (both / (F.size("_a_set") + F.size("_b_set") - both)).alias("similarity")).filter(F.col("similarity") >= threshold)
+    links = pair.filter("_a_g = _b_g").select(F.col("_a_g").alias("_g"), F.least("_a_id", "_b_id").alias("rep_a"), F.greatest("_a_id", "_b_id").alias("rep_b"), (both / (F.size("_a_set") + F.size("_b_set") - both)).alias("similarity")).filter(F.col("similarity") >= threshold)
     name = F.nullif(F.col("_g"), F.lit(NULL_GROUP)).alias(group or "group")
     return members.select(name, F.col("_id").alias("id"), F.col("_rep").alias("rep")), links.select(name, "rep_a", "rep_b", "similarity")
 
