@@ -105,7 +105,8 @@ def near_duplicates(df: DataFrame, id: str, text: str, group: str | None = None,
     own = w.drop("_md5").join(reps.select("_g", F.col("_rep").alias("_id")), ["_g", "_id"], "left_semi")
     own = staged(own.withColumn("_n", F.monotonically_increasing_id()))
     keyed = staged(own.select("_n", "_g", "_pairs").mapInArrow(_keys(pairs, codewords), "_n long, _g string, _keys array<bigint>, _s1 long, _s2 long"))
-    rows = keyed.select("_n", F.explode("_keys").alias("_key"), "_g").select("_n", F.xxhash64("_g", "_key").alias("_key"))
+    # the group as four bits of the key: small numbers stay compressible; pairs of two groups that share them are dropped below
+    rows = keyed.select("_n", F.explode("_keys").alias("_key"), F.pmod(F.xxhash64("_g"), F.lit(16)).alias("_x")).select("_n", (F.col("_x") * (1 << 28) + F.col("_key")).alias("_key"))
     pair = rows.withColumnRenamed("_n", "_a").join(rows.withColumnRenamed("_n", "_b"), "_key").filter("_a < _b").select("_a", "_b").distinct()
     for x in ("_a", "_b"):
         pair = pair.join(keyed.select(F.col("_n").alias(x), F.col("_s1").alias(f"{x}1"), F.col("_s2").alias(f"{x}2")), x)
