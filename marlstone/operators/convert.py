@@ -418,3 +418,95 @@ PREFIX_LEAST = 80
 def echo_prefix(title: Column, chunk: Column) -> Column:
     """A deterministic stand-in for a generator of contextual prefixes."""
     return F.format_string("Context: %s (%d characters).", F.coalesce(title, F.lit("untitled")), F.length(chunk))
+
+
+def property_text(prop: dict) -> str:
+    """The value of one page property as text, by its type; unknown types give an empty text."""
+    kind = prop.get("type") or ""
+    v = prop.get(kind)
+    if v is None:
+        return ""
+    plain = lambda parts: "".join(p.get("plain_text") or "" for p in parts or [])
+    span = lambda d: " - ".join(x for x in (d.get("start"), d.get("end")) if x)
+    forms: dict[str, Callable[[], str]] = {
+        "title": lambda: plain(v), "rich_text": lambda: plain(v), "number": lambda: f"{v:g}" if isinstance(v, float) else str(v), "select": lambda: v.get("name") or "", "status": lambda: v.get("name") or "",
+        "multi_select": lambda: ", ".join(x.get("name") or "" for x in v), "date": lambda: span(v), "people": lambda: ", ".join(x.get("name") or x.get("id") or "" for x in v), "files": lambda: ", ".join(x.get("name") or "" for x in v),
+        "checkbox": lambda: "yes" if v else "no", "url": lambda: v, "email": lambda: v, "phone_number": lambda: v, "created_time": lambda: v, "last_edited_time": lambda: v, "created_by": lambda: v.get("name") or v.get("id") or "", "last_edited_by": lambda: v.get("name") or v.get("id") or "",
+        "formula": lambda: property_text(v) if v.get("type") != "boolean" else ("yes" if v.get("boolean") else "no"), "string": lambda: v, "relation": lambda: ", ".join(x.get("id") or "" for x in v), "unique_id": lambda: "-".join(str(x) for x in (v.get("prefix"), v.get("number")) if x is not None),
+        "rollup": lambda: ", ".join(filter(None, map(property_text, v.get("array") or []))) if v.get("type") == "array" else property_text(v), "verification": lambda: v.get("state") or "", "button": lambda: "", "boolean": lambda: "yes" if v else "no",
+    }
+    return forms[kind]() if kind in forms else ""
+
+
+@F.pandas_udf(T.StringType())
+def page_properties(s: pd.Series) -> pd.Series:
+    """Page properties (JSON: name to property) as `**Name:** value` lines; the title and empty values are left out."""
+    def one(t: str | None) -> str | None:
+        try:
+            d = json.loads(t) if t else {}
+        except ValueError:
+            return None
+        lines = [(n, property_text(p)) for n, p in d.items() if isinstance(p, dict) and p.get("type") != "title"]
+        return "\n".join(f"**{n}:** {v}" for n, v in lines if v)
+
+    return s.map(one)
+
+
+def page_path(crumbs: Column, title: Column) -> Column:
+    """A page's file path: its ancestors' names and its title, safe for file systems."""
+    from marlstone.functions.text import safe_filename
+
+    return F.concat_ws("/", F.array_join(F.transform(crumbs, lambda c: safe_filename(c, 100)), "/"), F.concat(safe_filename(title, 100), F.lit(".md")))
+
+
+def chapters_of(df: DataFrame, id: str, text: str) -> DataFrame:
+    """Chapters that a description lists (`MM:SS title` lines): id, start, title; of one time the first."""
+    from marlstone.functions.text import clock_seconds
+
+    mark = r"^\s*[-*(\[]*\s*(\d{1,2}:\d{2}(?::\d{2})?)[)\]]?\s*[-–—:|]*\s*(\S.*)$"
+    lines = df.select(F.col(id), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("pos", "line")).filter(F.col("line").rlike(mark))
+    c = lines.select(id, "pos", clock_seconds(F.regexp_extract("line", mark, 1)).alias("start"), F.trim(F.regexp_extract("line", mark, 2)).alias("title")).filter("start is not null")
+    return c.groupBy(id, "start").agg(F.min_by("title", "pos").alias("title"))
+
+
+def description_summary(text: Column) -> Column:
+    """The first lines of a video description, up to a promotion, tags, a disclaimer, an address or a chapter."""
+    stop = r"(?i)^\s*(?:#\w|https?://|subscribe\b|follow (?:me|us)\b|sponsor|disclaimer|affiliate|join\b.*(?:patreon|discord)|chapters?:?\s*$|timestamps?:?\s*$|[-*(\[]*\d{1,2}:\d{2})"
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    first = F.aggregate(lines, F.struct(F.lit(False).alias("end"), F.array().cast("array<string>").alias("l")), lambda a, x: F.struct((a["end"] | x.rlike(stop)).alias("end"), F.when(a["end"] | x.rlike(stop) | (F.trim(x) == ""), a["l"]).otherwise(F.concat(a["l"], F.array(F.trim(x)))).alias("l")))
+    return F.array_join(first["l"], " ")
+
+
+def transcript_markdown(lines: DataFrame, id: str) -> DataFrame:
+    """Transcripts as Markdown: id, markdown. lines: id, pos, line, chapter; a heading where the chapter changes, the lines of a
+    chapter as one paragraph."""
+    w = Window.partitionBy(id).orderBy("pos")
+    new = (~F.col("chapter").eqNullSafe(F.lag("chapter").over(w))).cast("int")
+    part = lines.withColumn("_c", new).withColumn("_part", F.sum("_c").over(w))
+    para = part.groupBy(id, "_part").agg(F.first("chapter").alias("chapter"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " ").alias("t"))
+    block = F.concat(F.coalesce(F.concat(F.lit("## "), "chapter", F.lit("\n\n")), F.lit("")), "t")
+    return para.groupBy(id).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_part", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("markdown"))
+
+
+def tool_summary(uses: Column) -> Column:
+    """Tool uses (array<struct<name, input>>) in one line each, by kind: the file, command, pattern or address they name."""
+    of = lambda u, k: F.nullif(F.get_json_object(u["input"], f"$.{k}"), F.lit(""))
+    return F.transform(uses, lambda u: F.concat_ws(": ", u["name"], F.substring(F.coalesce(of(u, "file_path"), of(u, "command"), of(u, "pattern"), of(u, "url"), of(u, "query"), of(u, "description")), 1, 120)))
+
+
+def inject_html_tags(page: Column, tags: Column) -> Column:
+    """A page with its keywords in a meta element: replaced, or put in after the charset, the head, or at the start."""
+    meta = F.concat(F.lit('<meta name="keywords" content="'), F.regexp_replace(F.array_join(tags, ", "), r"([\\$])", r"\\$1"), F.lit('">'))
+    old, charset, head = r"(?i)<meta\s+name=[\"']keywords[\"'][^>]*>", r"(?i)(<meta\s+charset[^>]*>)", r"(?i)(<head[^>]*>)"
+    after = lambda p: F.regexp_replace(page, F.lit(p), F.concat(F.lit("$1\n"), meta))
+    return F.when(page.rlike(old), F.regexp_replace(page, F.lit(old), meta)).when(page.rlike(charset), after(charset)).when(page.rlike(head), after(head)).otherwise(F.concat(meta, F.lit("\n"), page))
+
+
+def category_and_summary(answer: Column) -> Column:
+    """A model's answer with `CATEGORY:` and `SUMMARY:` lines as a struct."""
+    return F.struct(F.lower(F.nullif(F.trim(F.regexp_extract(answer, r"(?im)^\s*CATEGORY:\s*(.+)$", 1)), F.lit(""))).alias("category"), F.nullif(F.trim(F.regexp_extract(answer, r"(?is)\bSUMMARY:\s*(.+)$", 1)), F.lit("")).alias("summary"))
+
+
+def guarded_record(record: Column, most: int = 2048) -> Column:
+    """A record's JSON for a log, without its detail where that is too long."""
+    return F.when(F.length(F.to_json(record)) > most, F.lit(None)).otherwise(F.to_json(record))
