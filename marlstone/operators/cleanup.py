@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
@@ -121,7 +121,7 @@ def excluded_manifest(docs: DataFrame, reason: Column, id: str = "doc_id") -> tu
 
 
 def latest_deliveries(df: DataFrame, key: str, at: str = "received_at", tie: str = "ingest_id") -> DataFrame:
-    """One row a key, as delivered last; rows without a key stay each."""
-    w = Window.partitionBy(key).orderBy(F.desc(at), F.desc(tie))
-    known = df.filter(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-    return known.unionByName(df.filter(F.col(key).isNull()))
+    """One row a key, as delivered last; rows without a key stay each. An aggregate: a key of many rows is combined before the
+    shuffle."""
+    last = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(at, tie)).alias("_r")).select("_r.*")
+    return last.unionByName(df.filter(F.col(key).isNull()))

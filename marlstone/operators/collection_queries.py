@@ -199,21 +199,26 @@ MANIFEST_MERGE_SQL = """WITH o AS (SELECT video_id AS id, min(title) AS title FR
 SELECT * FROM o UNION ALL SELECT * FROM n WHERE id <> '' AND id NOT IN (SELECT id FROM o) UNION ALL SELECT * FROM n WHERE id = '' UNION ALL SELECT video_id, title FROM youtube_videos WHERE ingest_id % 2 = 1 AND video_id IS NULL"""
 
 
+def _plain_times(df: DataFrame) -> DataFrame:
+    """Timestamps as text, which compares the same everywhere."""
+    return df.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) if t.startswith("timestamp") else F.col(c) for c, t in df.dtypes])
+
+
 def high_water_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maintenance.high_water_mark(table(spark, sf_dir, "documents"))
+    return _plain_times(maintenance.high_water_mark(table(spark, sf_dir, "documents")))
 
 
-HIGH_WATER_SQL = "SELECT max(modified_time) AS last_modified, max(modified_time) - INTERVAL 1 DAY AS read_from FROM documents"
+HIGH_WATER_SQL = "SELECT strftime(max(modified_time), '%Y-%m-%d %H:%M:%S.%f') AS last_modified, strftime(max(modified_time) - INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S.%f') AS read_from FROM documents"
 
 
 def reread_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "notion_blocks").groupBy(F.col("page_id").alias("id")).agg(F.max("received_at").alias("time"))
     x = table(spark, sf_dir, "notion_blocks").filter("block_type = 'divider'").groupBy(F.col("page_id").alias("id")).agg(F.max("received_at").alias("excluded_time"))
-    return maintenance.reread_excluded(b, x)
+    return _plain_times(maintenance.reread_excluded(b, x))
 
 
 REREAD_SQL = """WITH b AS (SELECT page_id AS id, max(received_at) AS time FROM notion_blocks GROUP BY 1), x AS (SELECT page_id AS id, max(received_at) AS e FROM notion_blocks WHERE block_type = 'divider' GROUP BY 1)
-SELECT id, time FROM b LEFT JOIN x USING (id) WHERE e IS NULL OR time > e OR time IS NULL"""
+SELECT id, strftime(time, '%Y-%m-%d %H:%M:%S.%f') AS time FROM b LEFT JOIN x USING (id) WHERE e IS NULL OR time > e OR time IS NULL"""
 
 
 def prefix_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,12 +263,12 @@ CLEAN_BODIES_SQL = r"""SELECT ingest_id, md5(regexp_replace(regexp_replace(regex
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "x_articles").filter("summary is not null").select("ingest_id", tx.snippet(F.col("summary")).alias("snippet"), F.slice(tx.bm25_tokens(F.col("summary")), 1, 5).alias("first_words"))
+    return table(spark, sf_dir, "x_articles").filter("summary is not null").select("ingest_id", tx.snippet(F.col("summary")).alias("snippet"), F.array_join(F.slice(tx.bm25_tokens(F.col("summary")), 1, 5), " ").alias("first_words"))
 
 
 SNIPPETS_SQL = r"""WITH t AS (SELECT ingest_id, trim(summary) AS t, summary FROM x_articles WHERE summary IS NOT NULL),
 p AS (SELECT *, regexp_extract(substr(t, 1, 240), '(?s)^(.{160,239}[.!?])\s', 1) AS s, regexp_extract(substr(t, 1, 220), '(?s)^(.*\S)\s', 1) AS b FROM t)
-SELECT ingest_id, CASE WHEN length(t) <= 200 THEN t WHEN s <> '' THEN s ELSE (CASE WHEN b <> '' THEN b ELSE substr(t, 1, 200) END) || '…' END AS snippet, list_slice(regexp_extract_all(lower(summary), '[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*'), 1, 5) AS first_words FROM p"""
+SELECT ingest_id, CASE WHEN length(t) <= 200 THEN t WHEN s <> '' THEN s ELSE (CASE WHEN b <> '' THEN b ELSE substr(t, 1, 200) END) || '…' END AS snippet, array_to_string(list_slice(regexp_extract_all(lower(summary), '[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*'), 1, 5), ' ') AS first_words FROM p"""
 
 
 def heading_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,10 +339,10 @@ SELECT ingest_id, count(*) AS lines, count(s) AS timed, max(s) AS last_s FROM s
 
 
 def video_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "youtube_videos").select("ingest_id", F.coalesce("video_id", tx.video_id(F.col("url"))).alias("video_id"), F.coalesce(tx.parse_tags(F.col("category")), F.array().cast("array<string>")).alias("tags"))
+    return table(spark, sf_dir, "youtube_videos").select("ingest_id", F.coalesce("video_id", tx.video_id(F.col("url"))).alias("video_id"), F.array_join(F.coalesce(tx.parse_tags(F.col("category")), F.array().cast("array<string>")), "|").alias("tags"))
 
 
-VIDEO_IDS_SQL = r"""SELECT ingest_id, coalesce(video_id, nullif(regexp_extract(url, '(?:[?&]v=|youtu\.be/|/embed/|/shorts/)([\w-]{11})', 1), '')) AS video_id, coalesce(list_filter(list_transform(string_split(category, ','), lambda x: trim(x)), lambda x: x <> ''), []) AS tags FROM youtube_videos"""
+VIDEO_IDS_SQL = r"""SELECT ingest_id, coalesce(video_id, nullif(regexp_extract(url, '(?:[?&]v=|youtu\.be/|/embed/|/shorts/)([\w-]{11})', 1), '')) AS video_id, coalesce(array_to_string(list_filter(list_transform(string_split(category, ','), lambda x: trim(x)), lambda x: x <> ''), '|'), '') AS tags FROM youtube_videos"""
 
 
 def issue_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.plans import spread, with_fields
+from marlstone.plans import carry_forward, spread, with_fields
 
 CHUNK, OVERLAP = 1000, 100
 #: Frontmatter fields that become metadata.
@@ -402,8 +402,7 @@ def assign_chapters(lines: DataFrame, chapters: DataFrame, id: str) -> DataFrame
     first chapter have none. Both sides are sorted together; the last chapter seen is carried on, so nothing is multiplied."""
     both = lines.select(id, F.col("seconds").alias("_t"), F.lit(1).alias("_k"), F.struct(*[F.col(c) for c in lines.columns if c != id]).alias("_l"), F.lit(None).cast("string").alias("_c")).unionByName(
         chapters.select(id, F.col("start").alias("_t"), F.lit(0).alias("_k"), F.lit(None).alias("_l"), F.col("title").alias("_c")))
-    w = Window.partitionBy(id).orderBy(F.asc_nulls_first("_t"), "_k").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("chapter", F.last("_c", ignorenulls=True).over(w)).filter("_k = 1").select(id, "_l.*", "chapter")
+    return carry_forward(both, [id], ["_t", "_k"], "_c", "chapter").filter("_k = 1").select(id, "_l.*", "chapter")
 
 
 def issue_queries(issues: DataFrame, terms: list[str]) -> DataFrame:

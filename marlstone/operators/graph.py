@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
+from marlstone.operators.maintenance import number_chunks
 from marlstone.plans import cut, join_small, spread
 
 # Merging -----------------------------------------------------------------------------------------------------------------
@@ -335,7 +336,8 @@ def communities(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFram
 
     found = cut(edges.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, f"doc {kind}, community int"))
     last = found.agg(F.max("community")).first()[0]
-    rest = docs.select("doc").distinct().join(found, "doc", "left_anti").withColumn("community", (F.row_number().over(Window.orderBy("doc")) + (last if last is not None else -1)).cast("int"))
+    rest = docs.select("doc").distinct().join(found, "doc", "left_anti")
+    rest = number_chunks(rest, last if last is not None else -1, ["doc"], "community").withColumn("community", F.col("community").cast("int"))
     return found.unionByName(rest)
 
 

@@ -110,19 +110,19 @@ def augmented_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incremental.event_sessions(table(spark, sf_dir, "events").filter("user_id is not null and ts is not null"))
+    return cq._plain_times(incremental.event_sessions(table(spark, sf_dir, "events").filter("user_id is not null and ts is not null")))
 
 
 EVENT_SESSIONS_SQL = """WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
-SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS events, round(sum(value), 6) AS total FROM g GROUP BY user_id, k"""
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS ended, count(*) AS events, round(sum(value), 6) AS total FROM g GROUP BY user_id, k"""
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incremental.windowed_counts(table(spark, sf_dir, "events").filter("ts is not null"), "6 hours")
+    return cq._plain_times(incremental.windowed_counts(table(spark, sf_dir, "events").filter("ts is not null"), "6 hours"))
 
 
-EVENT_WINDOWS_SQL = "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL"
+EVENT_WINDOWS_SQL = "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S.%f') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL"
 
 
 def event_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,7 +100,7 @@ x AS (SELECT b.query_id, b.doc_id, -b.score AS s, list_distinct(regexp_extract_a
   FROM bm25 b JOIN documents q ON q.doc_id = b.query_id JOIN documents d ON d.doc_id = b.doc_id WHERE b.rank < {K}),
 y AS (SELECT *, len(list_intersect(qt, tt)) AS overlap, max(s) OVER w - min(s) OVER w AS spread, min(s) OVER w AS first, count(*) OVER w AS n FROM x WINDOW w AS (PARTITION BY query_id)),
 z AS (SELECT *, CASE WHEN spread < 1e-6 THEN greatest(abs(first) * 0.1, 0.01) ELSE spread END AS step FROM y),
-v AS (SELECT query_id, doc_id, round(s + CASE WHEN n >= 2 AND len(qt) >= 1 THEN greatest(-0.5 * step * overlap, -1.5 * step) ELSE 0 END, 6) AS score FROM z)
+v AS (SELECT query_id, doc_id, round(s + CASE WHEN n >= 2 AND len(qt) >= 1 THEN greatest(-0.5 * step * overlap, -1.5 * step) ELSE 0 END, 7) AS score FROM z)
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) - 1 AS rank FROM v"""
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.plans import running_sum
+
 
 def pair_searches(calls: DataFrame) -> DataFrame:
     """Searches with the documents fetched before the next search: trace_id, pos, collection, query, tags, fetched.
@@ -13,8 +15,7 @@ def pair_searches(calls: DataFrame) -> DataFrame:
     most fetched from. Its own collection is listed even without documents, others only with some. Fetches before the first
     search don't count. Of a query asked again in one trace and collection the last is kept.
     """
-    w = Window.partitionBy("trace_id").orderBy("pos")
-    c = calls.withColumn("nth", F.sum(F.when(F.col("type") == "search", 1).otherwise(0)).over(w)).filter("nth > 0")
+    c = running_sum(calls, ["trace_id"], ["pos"], F.when(F.col("type") == "search", 1).otherwise(0), "nth").filter("nth > 0")
     s = c.filter("type = 'search'").select("trace_id", "nth", "pos", "query", "tags", F.nullif(F.coalesce("collection", F.lit("")), F.lit("")).alias("own"))
     f = c.filter("type = 'fetch'").groupBy("trace_id", "nth", "collection").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "doc_id"))), lambda x: x["doc_id"]).alias("fetched"), F.count("*").alias("n"), F.min("pos").alias("first"))
     likely = f.groupBy("trace_id", "nth").agg(F.max_by("collection", F.struct(F.col("n"), -F.col("first"))).alias("likely"))
@@ -23,14 +24,13 @@ def pair_searches(calls: DataFrame) -> DataFrame:
     others = s.join(f.select("trace_id", "nth", "collection"), ["trace_id", "nth"]).filter("collection <> target").select(*own.columns)
     every = own.unionByName(others).join(f.select("trace_id", "nth", "collection", "fetched"), ["trace_id", "nth", "collection"], "left")
     every = every.withColumn("fetched", F.coalesce("fetched", F.array().cast("array<string>")))
-    last = Window.partitionBy("trace_id", "collection", "query").orderBy(F.desc("pos"))
-    return every.withColumn("_n", F.row_number().over(last)).filter("_n = 1").select("trace_id", "pos", "collection", "query", "tags", "fetched")
+    row = F.struct("trace_id", "pos", "collection", "query", "tags", "fetched")
+    return every.groupBy("trace_id", "collection", "query").agg(F.max_by(row, "pos").alias("_r")).select("_r.*")
 
 
 def exchanges(turns: DataFrame) -> DataFrame:
     """Turns (session, pos, role, text) numbered by exchange: each starts with a user's turn; turns before the first have 0."""
-    w = Window.partitionBy("session").orderBy("pos")
-    return turns.withColumn("exchange", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w))
+    return running_sum(turns, ["session"], ["pos"], F.when(F.col("role") == "user", 1).otherwise(0), "exchange")
 
 
 def query_log(results: DataFrame, queries: DataFrame, at: str) -> DataFrame:

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -106,3 +106,36 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, folder, True)
     sc.addPyFile(shutil.make_archive(f"{folder}/marlstone", "zip", root, "marlstone"))
     sc._marlstone_shipped = True
+
+
+def in_order(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Rows dealt to partitions by ranges of (group, order), with the partition's number in `_p`: a hot group is spread over
+    several. Written once, as the numbers must not change between uses."""
+    return staged(df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("_p", F.spark_partition_id()))
+
+
+def running_sum(df: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """The sum of `value` up to each row of its group in order, without a task that sees a whole group: sums within each range
+    of rows, and the totals of the ranges before it. Ties in `order` are taken in any order."""
+    d = in_order(df.withColumn("_v", value), group, order)
+    totals = d.groupBy(*group, "_p").agg(F.sum("_v").alias("_t"))  # one row a group and range
+    before = totals.withColumn("_b", F.sum("_t").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).drop("_t")
+    own = d.withColumn(name, F.sum("_v").over(Window.partitionBy("_p", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    same = F.col("_p") == F.col("_bp")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    before = before.select(F.col("_p").alias("_bp"), "_b", *[F.col(c).alias(f"_b_{c}") for c in group])
+    return own.join(before, same).withColumn(name, F.col(name) + F.coalesce("_b", F.lit(0))).drop("_p", "_v", "_b", "_bp", *[f"_b_{c}" for c in group])
+
+
+def carry_forward(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """The last value that isn't null up to each row of its group in order; as `running_sum`, no task sees a whole group."""
+    d = in_order(df, group, order)
+    own = d.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy("_p", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    held = d.groupBy(*group, "_p").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_t"))
+    before = held.withColumn("_b", F.last("_t", ignorenulls=True).over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
+    same = F.col("_p") == F.col("_bp")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    before = before.select(F.col("_p").alias("_bp"), "_b", *[F.col(c).alias(f"_b_{c}") for c in group])
+    return own.join(before, same).withColumn(name, F.coalesce(name, "_b")).drop("_p", "_b", "_bp", *[f"_b_{c}" for c in group])
