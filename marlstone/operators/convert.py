@@ -509,3 +509,22 @@ def category_and_summary(answer: Column) -> Column:
 def guarded_record(record: Column, most: int = 2048) -> Column:
     """A record's JSON for a log, without its detail where that is too long."""
     return F.when(F.length(F.to_json(record)) > most, F.lit(None)).otherwise(F.to_json(record))
+
+
+def issue_chunks(issues: DataFrame, comments: DataFrame) -> DataFrame:
+    """Chunks of issues: issue_key, chunk_number, chunk. The first is `KEY : title`, the others split description and comments.
+    issues: issue_key, title, description; comments: issue_key, pos, body."""
+    c = comments.filter("body <> ''").groupBy("issue_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda x: x["body"]).alias("_c"))
+    t = issues.join(c, "issue_key", "left").select("issue_key", F.concat_ws(" : ", "issue_key", "title").alias("_head"), F.concat_ws("\n\n", F.nullif(F.col("description"), F.lit("")), F.array_join("_c", "\n\n")).alias("_text"))
+    body = chunk_documents(t, "issue_key", "_text", lambda x: [{"heading": None, "text": p} for p in recursive_split(x)])
+    head = t.select("issue_key", F.lit(0).alias("chunk_number"), F.col("_head").alias("chunk"))
+    return head.unionByName(body.select("issue_key", (F.col("chunk_number") + 1).alias("chunk_number"), "chunk"))
+
+
+def page_chunks(pages: DataFrame) -> DataFrame:
+    """Chunks of stored pages (page_id, ancestors array, title, storage): the first is the path `A -> B -> title`, the others split
+    the text of the page."""
+    t = pages.select("page_id", F.array_join(F.concat(F.coalesce("ancestors", F.array().cast("array<string>")), F.array("title")), " -> ").alias("_head"), html_excerpt("storage").alias("_text"))
+    body = chunk_documents(t, "page_id", "_text", lambda x: [{"heading": None, "text": p} for p in recursive_split(x)])
+    head = t.select("page_id", F.lit(0).alias("chunk_number"), F.col("_head").alias("chunk"))
+    return head.unionByName(body.select("page_id", (F.col("chunk_number") + 1).alias("chunk_number"), "chunk"))

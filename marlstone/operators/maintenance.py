@@ -133,3 +133,21 @@ def write_categorized(entries: DataFrame, existing: DataFrame) -> DataFrame:
     stem = F.concat_ws("/", "category", "title")
     named = new.filter(number <= 99).select("category", "title", "url", F.concat(stem, F.when(number > 1, F.concat(F.lit(" ("), number.cast("string"), F.lit(")"))).otherwise(""), F.lit(".md")).alias("file_name"), F.lit(False).alias("replaces"))
     return j.filter("old is not null").select("category", "title", "url", F.col("old").alias("file_name"), F.lit(True).alias("replaces")).unionByName(named)
+
+
+def collection_manifest(documents: DataFrame, chunks: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
+    """One row per collection: documents, chunks, last_modified, and constants such as the reader or the embedder.
+    documents: collection, doc_id, modified_time; chunks: collection."""
+    c = chunks.groupBy("collection").agg(F.count("*").alias("chunks"))
+    d = documents.groupBy("collection").agg(F.count("*").alias("documents"), F.max("modified_time").alias("last_modified"))
+    out = d.join(c, "collection", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+    return out.withColumns({k: F.lit(v) for k, v in (extra or {}).items()})
+
+
+def check_schema(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The frame, if it has the columns of these types; else an error that names what a damaged artifact lacks."""
+    have = dict(df.dtypes)
+    wrong = {c: (t, have.get(c)) for c, t in columns.items() if have.get(c) != t}
+    if wrong:
+        raise ValueError(f"not the expected table: {wrong}")
+    return df

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
-from marlstone.operators import collection_queries as cq, convert, graph, ledger, quality, rendering, retrieval as rt, search, traces
+from marlstone.operators import collection_queries as cq, convert, graph, ledger, maintenance, quality, rendering, retrieval as rt, search, traces
 from marlstone.operators.retrieval_queries import BM25_CTE, K, WORDS, _chunks, _documents, _title_queries
 from marlstone.plans import staged, table
 from marlstone.streaming import incremental
@@ -213,14 +213,29 @@ def last_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.last_runs(cq._runs(spark, sf_dir), 3).select("collection", "run", "status", "duration_s")
 
 
+def issue_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    comments = table(spark, sf_dir, "jira_comments").select("issue_key", F.struct("pos", "ingest_id").alias("pos"), "body")
+    return convert.issue_chunks(cq._latest_issues(spark, sf_dir).filter("issue_key is not null"), comments)
+
+
+def collection_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and blocks of ten lines per source."""
+    d = _documents(spark, sf_dir).withColumn("collection", F.coalesce(F.lower(F.trim("source")), F.lit("none")))
+    chunks = d.select("collection", F.explode(F.sequence(F.lit(0), F.floor(F.col("n_chars") / 1000))))
+    return cq._plain_times(maintenance.collection_manifest(d, chunks, {"reader": "parquet"}))
+
+
+COLLECTION_MANIFEST_SQL = "SELECT coalesce(lower(trim(source)), 'none') AS collection, count(*) AS documents, sum(n_chars // 1000 + 1)::BIGINT AS chunks, strftime(max(modified_time), '%Y-%m-%d %H:%M:%S.%f') AS last_modified, 'parquet' AS reader FROM documents GROUP BY 1"
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         search_pipeline, rendered_results, similar_documents, index_update, topic_coverage, constrained_tags, tag_discovery, block_paths, rendered_subtrees, augmented_queries, event_sessions, event_windows, event_streaks, segment_cube, pricing_summary,
-        exchange_pairs, component_comparison, rubric_scores, text_functions, transcript_documents, last_runs,
+        exchange_pairs, component_comparison, rubric_scores, text_functions, transcript_documents, last_runs, issue_chunks, collection_manifest,
     )
 }
 SQL = {
     "similar_documents": SIMILAR_SQL, "index_update": INDEX_UPDATE_SQL, "topic_coverage": TOPIC_COVERAGE_SQL, "constrained_tags": CONSTRAINED_TAGS_SQL, "tag_discovery": TAG_DISCOVERY_SQL, "block_paths": BLOCK_PATHS_SQL, "rendered_subtrees": RENDERED_SUBTREES_SQL,
-    "event_sessions": EVENT_SESSIONS_SQL, "event_windows": EVENT_WINDOWS_SQL, "event_streaks": EVENT_STREAKS_SQL, "segment_cube": SEGMENT_CUBE_SQL, "pricing_summary": PRICING_SUMMARY_SQL, "exchange_pairs": EXCHANGE_PAIRS_SQL, "rubric_scores": RUBRIC_SQL, "text_functions": TEXT_FUNCTIONS_SQL,
+    "event_sessions": EVENT_SESSIONS_SQL, "event_windows": EVENT_WINDOWS_SQL, "event_streaks": EVENT_STREAKS_SQL, "segment_cube": SEGMENT_CUBE_SQL, "pricing_summary": PRICING_SUMMARY_SQL, "exchange_pairs": EXCHANGE_PAIRS_SQL, "rubric_scores": RUBRIC_SQL, "text_functions": TEXT_FUNCTIONS_SQL, "collection_manifest": COLLECTION_MANIFEST_SQL,
 }

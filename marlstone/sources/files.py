@@ -124,3 +124,23 @@ def wiki_topics(texts: DataFrame) -> DataFrame:
     t = texts.filter(F.col("path").rlike(r"(^|/)(?:entities|concepts)/"))
     body = F.filter(F.split(convert.strip_frontmatter(F.col("text")), "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("#")))
     return t.select(F.regexp_replace(tx.title_from_path(F.col("path")), r"\.md$", "").alias("topic"), F.regexp_extract("path", r"(entities|concepts)/", 1).alias("kind"), F.try_element_at(body, F.lit(1)).alias("summary"))
+
+
+def read_schedules(paths: list[str]) -> list[dict]:
+    """Schedules of launchd property lists: name, hour, minute, weekday, interval_s; a list per calendar entry. A few files of one
+    machine, read on the driver; broken ones are left out."""
+    import plistlib
+
+    out = []
+    for p in paths:
+        try:
+            with open(p, "rb") as f:
+                d = plistlib.load(f)
+        except (OSError, ValueError, plistlib.InvalidFileException):
+            continue
+        when = d.get("StartCalendarInterval")
+        entries = when if isinstance(when, list) else [when] if when else []
+        if d.get("StartInterval"):
+            out.append({"name": d.get("Label"), "hour": None, "minute": None, "weekday": None, "interval_s": int(d["StartInterval"])})
+        out += [{"name": d.get("Label"), "hour": e.get("Hour"), "minute": e.get("Minute", 0), "weekday": e.get("Weekday"), "interval_s": None} for e in entries]
+    return out
