@@ -139,12 +139,12 @@ def email_addresses(text: Column) -> Column:
 
 
 def _checked(d: Column, weights: list[int]) -> Column:
-    return sum((F.substring(d, i + 1, 1).cast("int") * w for i, w in enumerate(weights)), F.lit(0)) % 11 == 0
+    return sum((F.substring(d, i + 1, 1).try_cast("int") * w for i, w in enumerate(weights)), F.lit(0)) % 11 == 0
 
 
 def is_national_id(digits: Column) -> Column:
     """Eleven digits with a day (or day + 40), a month and two check digits."""
-    day, month = F.substring(digits, 1, 2).cast("int"), F.substring(digits, 3, 2).cast("int")
+    day, month = F.substring(digits, 1, 2).try_cast("int"), F.substring(digits, 3, 2).try_cast("int")
     dated = (day.between(1, 31) | day.between(41, 71)) & month.between(1, 12)
     return digits.rlike(r"^\d{11}$") & dated & _checked(digits, [3, 7, 6, 1, 8, 9, 4, 5, 2, 1]) & _checked(digits, [5, 4, 3, 2, 7, 6, 5, 4, 3, 2, 1])
 
