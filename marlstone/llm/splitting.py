@@ -65,6 +65,22 @@ def split(text: str, limit: int, overlap: int, starts: np.ndarray | None = None)
     return out
 
 
+def split_by_tokens(text: str, limit: int, overlap: int, folder: str = tokens.FOLDER, vocabulary: str = tokens.VOCABULARY) -> list[tuple[int, int, int, str]]:
+    """As `split`, in tokens; units are the tokens of the piece by itself. A cut may change how the characters beside it are
+    joined: where a piece would then hold more than the limit, the text is cut again with that much less room."""
+    e, starts = tokens.encoding(folder, vocabulary), tokens.token_starts(text, folder, vocabulary)
+    room = limit
+    while True:
+        pieces = split(text, room, overlap, starts)
+        if len(pieces) < 2:
+            return pieces
+        own = [(a, z, len(e.encode_ordinary(text[a:z])), k) for a, z, _, k in pieces]
+        over = max(u for _, _, u, _ in own) - limit
+        if over <= 0 or room - over <= overlap:
+            return own
+        room -= over
+
+
 def split_texts(df: DataFrame, text: str, keep: list[str], limit: str, overlap: str, unit: str = "char", folder: str = tokens.FOLDER, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
     """The pieces of each text.
 
@@ -85,9 +101,9 @@ def split_texts(df: DataFrame, text: str, keep: list[str], limit: str, overlap:
                 if t is None:
                     every.append(None)
                     continue
-                starts = tokens.token_starts(t, folder, vocabulary) if unit == "token" else None
                 cap = int(most) if most == most and most is not None else max(len(t), 1) * 4
-                every.append([{"start": a, "end": z, "units": u, "cut": k} for a, z, u, k in split(t, cap, int(over), starts)])
+                pieces = split_by_tokens(t, cap, int(over), folder, vocabulary) if unit == "token" else split(t, cap, int(over))
+                every.append([{"start": a, "end": z, "units": u, "cut": k} for a, z, u, k in pieces])
             yield pd.DataFrame({"_keep": b["_keep"], "_text": b["_text"], "_pieces": every})
 
     schema = with_fields(base.select("_keep", "_text").schema, "_pieces array<struct<start:int,end:int,units:int,cut:string>>")
