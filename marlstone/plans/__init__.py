@@ -139,3 +139,12 @@ def carry_forward(df: DataFrame, group: list[str], order: list[str], value: str,
         same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
     before = before.select(F.col("_p").alias("_bp"), "_b", *[F.col(c).alias(f"_b_{c}") for c in group])
     return own.join(before, same).withColumn(name, F.coalesce(name, "_b")).drop("_p", "_b", "_bp", *[f"_b_{c}" for c in group])
+
+
+def register_views(spark: SparkSession, sf_dir: str, tables: list[str], queries: dict | None = None) -> list[str]:
+    """Temporary views of tables and of query results, for SQL: each query is a view of its own name."""
+    for name in tables:
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    for name, query in (queries or {}).items():
+        query(spark, sf_dir).createOrReplaceTempView(name)
+    return [*tables, *(queries or {})]

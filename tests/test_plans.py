@@ -29,3 +29,12 @@ def test_hash_sample_is_bounded_and_stable(spark):
     a = {r[0] for r in hash_sample(df, 500, ["id"]).collect()}
     assert a == {r[0] for r in hash_sample(df.repartition(7), 500, ["id"]).collect()} and 350 < len(a) < 650
     assert hash_sample(df.limit(10), 500, ["id"]).count() == 10
+
+
+def test_views(spark, sf_dir):
+    from marlstone.operators.retrieval_queries import bm25_topk
+    from marlstone.plans import register_views
+
+    register_views(spark, sf_dir, ["documents"], {"bm25_topk": bm25_topk})
+    n = spark.sql("SELECT count(*) FROM bm25_topk b JOIN documents d USING (doc_id) WHERE b.rank = 0").first()[0]
+    assert n == bm25_topk(spark, sf_dir).filter("rank = 0").count()
