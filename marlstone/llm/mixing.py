@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from marlstone.llm import tokens
 from marlstone.plans import cut, join_small, spread, staged
@@ -27,10 +26,11 @@ def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     both = sizes.withColumn("_k", F.coalesce("source", F.lit("\0"))).join(t.withColumn("_k", F.coalesce("source", F.lit("\0"))).drop("source").withColumn("_t", F.lit(1)), "_k", "full")
     both = both.select(F.nullif(F.col("_k"), F.lit("\0")).alias("source"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0.0)).alias("max_repeats"))
     live = (F.col("tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
-    every = Window.partitionBy(F.lit(0))  # one row a source
-    both = both.withColumn("reachable_share", F.when(live, F.col("target_share") / F.sum(F.when(live, F.col("target_share"))).over(every)).otherwise(0.0))
-    total = F.min(F.when(live, F.col("max_repeats") * F.col("tokens") / F.col("reachable_share"))).over(every)
-    return both.withColumn("rate", F.when(live, F.least(F.col("reachable_share") * total / F.col("tokens"), F.col("max_repeats"))).otherwise(0.0))
+    both = cut(both)
+    one = lambda df, c: F.broadcast(df.agg(c))  # noqa: E731  (a single row)
+    both = both.crossJoin(one(both, F.sum(F.when(live, F.col("target_share"))).alias("_all"))).withColumn("reachable_share", F.when(live, F.col("target_share") / F.col("_all")).otherwise(0.0))
+    both = both.crossJoin(one(both, F.min(F.when(live, F.col("max_repeats") * F.col("tokens") / F.col("reachable_share"))).alias("_total")))
+    return both.withColumn("rate", F.when(live, F.least(F.col("reachable_share") * F.col("_total") / F.col("tokens"), F.col("max_repeats"))).otherwise(0.0)).drop("_all", "_total")
 
 
 def mix(df: DataFrame, id: str, source: str, text: str, targets: DataFrame, seed: int = 0, folder: str = tokens.FOLDER, vocabulary: str = tokens.VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -51,6 +51,8 @@ def mix(df: DataFrame, id: str, source: str, text: str, targets: DataFrame, seed
     mixed = chosen.withColumn("_copies", copies).filter("_copies > 0")
     got = mixed.groupBy("_source").agg(F.sum(F.col("_n") * F.col("_copies")).alias("mixed_tokens")).withColumnRenamed("_source", "source")
     shares = rate.join(sizes.select("source", "documents"), rate["source"].eqNullSafe(sizes["source"]), "left").drop(sizes["source"]).join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
-    shares = shares.withColumn("documents", F.coalesce("documents", F.lit(0))).withColumn("actual_share", F.coalesce(F.try_divide("mixed_tokens", F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))), F.lit(0.0)))
+    shares = shares.withColumn("documents", F.coalesce("documents", F.lit(0)))
+    whole = F.broadcast(got.agg(F.sum("mixed_tokens").alias("_whole")))  # a single row
+    shares = shares.crossJoin(whole).withColumn("actual_share", F.coalesce(F.try_divide("mixed_tokens", "_whole"), F.lit(0.0))).drop("_whole")
     out = mixed.select(F.col("_id").alias(id), F.col("_source").alias("source"), F.explode(F.sequence(F.lit(1), "_copies")).alias("copy"), F.col("_n").alias("n_tokens"))
     return out, shares.select("source", "documents", "tokens", "target_share", "max_repeats", "reachable_share", "rate", "mixed_tokens", "actual_share")
