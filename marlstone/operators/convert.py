@@ -495,10 +495,11 @@ def tool_summary(uses: Column) -> Column:
 
 def inject_html_tags(page: Column, tags: Column) -> Column:
     """A page with its keywords in a meta element: replaced, or put in after the charset, the head, or at the start."""
-    meta = F.concat(F.lit('<meta name="keywords" content="'), F.regexp_replace(F.array_join(tags, ", "), r"([\\$])", r"\\$1"), F.lit('">'))
+    plain = F.concat(F.lit('<meta name="keywords" content="'), F.array_join(tags, ", "), F.lit('">'))
+    meta = F.regexp_replace(plain, r"([\\$])", r"\\$1")  # as a replacement
     old, charset, head = r"(?i)<meta\s+name=[\"']keywords[\"'][^>]*>", r"(?i)(<meta\s+charset[^>]*>)", r"(?i)(<head[^>]*>)"
     after = lambda p: F.regexp_replace(page, F.lit(p), F.concat(F.lit("$1\n"), meta))
-    return F.when(page.rlike(old), F.regexp_replace(page, F.lit(old), meta)).when(page.rlike(charset), after(charset)).when(page.rlike(head), after(head)).otherwise(F.concat(meta, F.lit("\n"), page))
+    return F.when(page.rlike(old), F.regexp_replace(page, F.lit(old), meta)).when(page.rlike(charset), after(charset)).when(page.rlike(head), after(head)).otherwise(F.concat(plain, F.lit("\n"), page))
 
 
 def category_and_summary(answer: Column) -> Column:

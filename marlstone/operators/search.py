@@ -103,7 +103,7 @@ def tagging_candidates(files: DataFrame, include: str = "*", exclude: str | None
     f = files.filter(~F.col("path").rlike(r"(^|/)\.|(^|/)\.excluded/") & F.element_at(F.split("path", "/"), -1).rlike(glob(include)))
     if exclude:
         f = f.filter(~F.element_at(F.split("path", "/"), -1).rlike(glob(exclude)))
-    f = f.filter(~F.col("text").rlike(r"(?s)\A---\n(?:(?!\n---).)*\ntags:\s*\[[^\]]") & ~F.lower("text").rlike(r"<meta\s+name=.keywords"))
+    f = f.filter(~F.col("text").rlike(r"(?sm)\A---\n(?:(?!\n---).)*?^tags:\s*\[[^\]]") & ~F.lower("text").rlike(r"<meta\s+name=.keywords"))
     return f.orderBy("path").limit(limit) if limit else f
 
 
