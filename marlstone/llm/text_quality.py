@@ -25,6 +25,8 @@ KEY_VALUE = r"^\s*[\p{L}\d][\p{L}\d_ ./-]{0,38}(?::|\s=)\s+\S.{0,60}$"
 #: Cells parted by semicolons or commas, the line not a sentence; bars, tabs and columns are tested without a pattern.
 ROW = r"^[^.;]{0,40};[^;]{0,40};.*$|^[^,]{1,30}(?:,[^, ][^,]{0,30}){3,}$"
 LIST_ITEM_WORDS = 6
+#: Words of a window of distinct_word_ratio, so that long texts compare with short ones.
+WINDOW_WORDS = 200
 CONSONANT = "[\\p{L}&&[^aeiouyåäöæøéèêëüáàâãíìîïóòôõúùûœ]]"
 #: Words without a vowel, with five consonants in a row, or longer than any word.
 ODD_WORD = rf"(?<!\p{{L}})(?:{CONSONANT}{{3,}}(?!\p{{L}})|\p{{L}}*?{CONSONANT}{{5}}\p{{L}}*|\p{{L}}{{25,}})"
@@ -76,6 +78,7 @@ def measure(df: DataFrame, text: str, keep: list[str], common_words: list[str])
     """The measures of each text: `keep`, n_words, n_lines and MEASURES (null for a blank text).
 
     A leading line is left out where half of the text or more follows it. Shares of lines are by their characters.
+    distinct_word_ratio is the mean over windows of WINDOW_WORDS words that cover the whole text.
     common_words: frequent words of the languages at hand (a bounded list).
     """
     base = spread(df.select(F.struct(*keep).alias("_keep"), F.regexp_replace(F.col(text).cast("string"), "\r\n?", "\n").alias("_t")))
@@ -92,6 +95,10 @@ def measure(df: DataFrame, text: str, keep: list[str], common_words: list[str])
         t = F.trim(x)
         return (F.startswith(t, F.lit("|")) & F.endswith(t, F.lit("|"))) | F.contains(t, F.lit("\t")) | (F.contains(t, F.lit("  ")) & (F.size(F.split(t, " {2,}")) >= 3)) | x.rlike(ROW)
 
+    # the last window ends with the text, so that all windows of a longer text have the same length
+    starts = F.when(n > WINDOW_WORDS, F.transform(F.sequence(F.lit(1), n, F.lit(WINDOW_WORDS)), lambda i: F.least(i, n - WINDOW_WORDS + 1))).otherwise(F.array(F.lit(1)))
+    distinct = F.aggregate("_starts", F.lit(0), lambda a, i: a + F.size(F.array_distinct(F.slice("_w", i, WINDOW_WORDS))))
+    base = base.withColumn("_starts", starts)
     chars = F.greatest(F.length("_b"), F.lit(1))
     m = {
         "log_words": F.log1p(F.size("_tok").cast("double")),
@@ -109,7 +116,7 @@ def measure(df: DataFrame, text: str, keep: list[str], common_words: list[str])
         "long_line_share": _share(lines, lambda x: F.size(F.split(F.trim(x), r"\s+")) > 12, F.col("_len")),
         "furniture_share": F.try_divide(F.size(F.filter(lines, lambda x: x.rlike(FURNITURE))), F.size(lines)),
         "repeated_line_share": 1 - F.try_divide(F.size(F.array_distinct(lines)), F.size(lines)),
-        "distinct_word_ratio": F.try_divide(F.size(F.array_distinct(F.slice("_w", 1, 200))), F.least(n, F.lit(200))),
+        "distinct_word_ratio": F.try_divide(distinct, F.size("_starts") * F.least(n, F.lit(WINDOW_WORDS))),
         "broken_char_ratio": F.when(F.length("_b") == F.octet_length("_b"), 0.0).otherwise(count("[Ã¡-¿�€™ðŸ˜ÂŸ˜]") / chars),  # plain ASCII has none
     }
     return base.select("_keep.*", n.alias("n_words"), F.size("_l").alias("n_lines"), *[F.when(F.size("_l") > 0, F.coalesce(m[k], F.lit(0.0)).cast("double")).alias(k) for k in MEASURES])

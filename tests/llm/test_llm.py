@@ -328,6 +328,24 @@ def test_text_classes(spark, sf_dir):
     assert text_quality.text_quality(df.limit(0), "text", ["k"], spark.read.parquet(f"{sf_dir}/common_words.parquet")).count() == 0
 
 
+def test_distinct_words_of_the_whole_text(spark):
+    rng = random.Random(5)
+    vocabulary = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in "bdfgklmnprst"]
+    head = [rng.choice(vocabulary) for _ in range(200)]
+    texts = {"head": head, "tail": head + ["more", "here"] * 200, "late": head * 2 + ["more"] * 37, "short": head[:30], "none": []}
+    df = spark.createDataFrame([(k, " ".join(w) if w else "123 456") for k, w in texts.items()], "k string, text string")
+    got = {r["k"]: r["distinct_word_ratio"] for r in text_quality.measure(df, "text", ["k"], ["the"]).collect()}
+
+    def brute(w):
+        if not w:
+            return 0.0
+        starts = [min(i, max(0, len(w) - 200)) for i in range(0, len(w), 200)]
+        return float(np.mean([len(set(w[i : i + 200])) / min(len(w), 200) for i in starts]))
+
+    assert got == pytest.approx({k: brute(w) for k, w in texts.items()})
+    assert got["tail"] < got["head"] / 2 and got["late"] < got["head"]
+
+
 def test_em_raises_the_likelihood():
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(m, 0.2, (100, len(text_quality.MEASURES))) for m in (-1, 1)])
