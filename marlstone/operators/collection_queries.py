@@ -188,6 +188,34 @@ UPSERT_SQL = """SELECT doc_id AS chunk_id, doc_id, substr(text, 1, 40) AS chunk
 UNION ALL SELECT 1000000 + row_number() OVER (ORDER BY doc_id), doc_id, substr(text, 1, 40) FROM documents WHERE doc_id % 4 = 0"""
 
 
+def _current(documents: DataFrame) -> DataFrame:
+    """The last delivery of each address, and the documents without one."""
+    return cleanup.latest_deliveries(documents.select("doc_id", "url", "modified_time"), "url", "modified_time", "doc_id").select("doc_id")
+
+
+def _whole_index(documents: DataFrame) -> DataFrame:
+    """What an index held: the chunks of every document's whole text, numbered from 1."""
+    return maintenance.number_chunks(staged(convert.chunk_documents(documents, "doc_id", "text")), 0, ["doc_id", "chunk_number"])
+
+
+def pruned_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of whole texts without those of documents whose address was delivered again later."""
+    d = table(spark, sf_dir, "documents")
+    return maintenance.orphan_prune(_whole_index(d), _current(d)).select("chunk_id", "doc_id", "chunk_number")
+
+
+def upserted_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of whole texts after an update: documents changed since the mark come in anew, superseded ones go."""
+    d = table(spark, sf_dir, "documents")
+    index, current, since = _whole_index(d), staged(_current(d)), maintenance.high_water_mark(d).select("read_from")
+    changed = d.join(F.broadcast(since), F.col("modified_time") >= F.col("read_from")).join(current, "doc_id", "left_semi")  # one row
+    chunks = staged(convert.chunk_documents(changed, "doc_id", "text"))
+    last_id = index.agg(F.max("chunk_id")).first()[0] or 0
+    # a changed document may have no text left: its old chunks go all the same
+    kept = index.join(changed.select("doc_id"), "doc_id", "left_anti")
+    return maintenance.upsert_chunks(kept, chunks, last_id, ["doc_id", "chunk_number"], source_ids=current).select("chunk_id", "doc_id", "chunk_number", "heading", "chunk")
+
+
 def manifest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "youtube_videos").select(F.col("video_id").alias("id"), "title", "ingest_id")
     first = v.filter("ingest_id % 2 = 0").groupBy("id").agg(F.min("title").alias("title")).filter("id is not null")
@@ -597,7 +625,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         body_classifier, exclusion_reasons, noise_patterns, latest_deliveries, rescued_parents, recovered_report, sanitized_lines, email_counts, pii_counts, redacted_comments, exact_copies, tag_histogram, valid_tags, tag_coverage, collection_overview,
-        orphan_prune, upsert_delta, manifest_merge, high_water_mark, reread_excluded, prefix_cache, categorized_files,
+        orphan_prune, upsert_delta, pruned_chunks, upserted_chunks, manifest_merge, high_water_mark, reread_excluded, prefix_cache, categorized_files,
         breadcrumbs, clean_bodies, snippets, heading_chunks, session_chunks, indexed_texts, issue_texts, issue_markdown, notion_pages, transcript_chapters, transcript_lines, video_ids, issue_queries,
         run_ledger, run_times, phase_rollup, median_by_variant, job_overview,
         graph_merge, graph_edges, graph_stats, graph_hops, graph_subtree, node_details, issue_graph_edges, epic_children, entity_mentions, entity_answers, entity_contexts,

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from marlstone.operators import cleanup, ledger, maintenance as mt
+from marlstone.operators import cleanup, collection_queries as cq, convert, ledger, maintenance as mt
 from marlstone.operators.graph import subtree
 
 
@@ -18,6 +18,22 @@ def test_upsert_numbers_on(spark):
     assert got == [(1, "a", "x"), (8, "b", "y2"), (9, "c", "z"), (10, "c", "z2")]
 
 
+def test_upsert_of_whole_texts(spark, tmp_path):
+    long = "# A\n" + "first words " * 900 + "\n# B\n" + "other words " * 900
+    rows = [
+        (1, long, "u", "2024-01-01 00:00:00"), (2, long + " end", "u", "2024-03-01 00:00:00"), (3, "short", None, "2024-01-02 00:00:00"), (4, long + " x", None, "2024-02-29 12:00:00"),
+        (5, "", "v", "2024-02-29 13:00:00"), (6, "old", "w", None), (7, "no time", None, None), (8, "newer", "w", "2024-01-01 00:00:00"),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string, url string, at string").selectExpr("doc_id", "text", "url", "cast(at as timestamp) as modified_time").write.parquet(f"{tmp_path}/documents.parquet")
+    parts = {i: [(k, c["heading"], c["text"]) for k, c in enumerate(convert.heading_sections(t))] if t else [] for i, t, _, _ in rows}
+    assert len(parts[2]) > 3 and sum(len(x[2]) for x in parts[2]) > 10_000
+    index = [(n, i, *c) for n, (i, c) in enumerate(((i, c) for i in sorted(parts) for c in parts[i]), 1)]
+    kept = [x for x in index if x[1] not in (1, 6)]
+    assert sorted(map(tuple, cq.pruned_chunks(spark, str(tmp_path)).collect())) == [x[:3] for x in kept]
+    new = [(len(index) + n, i, *c) for n, (i, c) in enumerate(((i, c) for i in (2, 4, 5) for c in parts[i]), 1)]
+    assert sorted(map(tuple, cq.upserted_chunks(spark, str(tmp_path)).collect())) == [x for x in kept if x[1] not in (2, 4, 5)] + new
+
+
 def test_manifest_keeps_entries_without_id(spark):
     s = "id string, title string"
     got = mt.merge_manifest(spark.createDataFrame([("1", "a"), ("", "b")], s), spark.createDataFrame([("1", "c"), ("2", "d"), ("", "e"), (None, "f")], s))
