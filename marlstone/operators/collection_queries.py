@@ -595,6 +595,51 @@ def community_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.community_summaries(members, pairs.filter(F.col("similarity") >= t), docs).select("community", "size", "name")
 
 
+#: Vectors of a block, when all pairs of the single vectors are compared.
+VECTOR_BLOCK = 500
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(graph.mean_vectors(table(spark, sf_dir, "embeddings"), "vec_id"))
+
+
+def _vector_pairs(vectors: DataFrame, threshold: float | None = None) -> DataFrame:
+    return graph.document_similarities(vectors, -(-vectors.count() // VECTOR_BLOCK) or 1, threshold)
+
+
+def _vector_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").filter("embedding is not null").groupBy("vec_id").agg(F.min("label").alias("label"))
+
+
+def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The percentile of the similarities of all pairs of vectors."""
+    return graph.similarity_threshold(_vector_pairs(_vectors(spark, sf_dir)))
+
+
+def vector_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest neighbours of each vector, every pair once."""
+    return graph.nearest_edges(_vector_pairs(_vectors(spark, sf_dir)), 3, -1.0)
+
+
+def vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector, its class, and how many other vectors are as similar as the threshold."""
+    v = _vectors(spark, sf_dir)
+    t = graph.similarity_threshold(_vector_pairs(v)).first()[0]
+    pairs = _vector_pairs(v, t)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("vec_id")).groupBy("vec_id").agg(F.count("*").alias("links"))
+    return _vector_classes(spark, sf_dir).join(links, "vec_id", "left").select("vec_id", "label", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def vector_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of the vectors linked at the threshold, named by the commonest classes in them."""
+    v = _vectors(spark, sf_dir)
+    t = graph.similarity_threshold(_vector_pairs(v)).first()[0]
+    t = t if t is not None else 1.0
+    pairs = staged(_vector_pairs(v, t))
+    docs = _vector_classes(spark, sf_dir).select(F.col("vec_id").alias("doc"), F.col("vec_id").cast("string").alias("title"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("category"), F.array().cast("array<string>").alias("tags"))
+    return graph.community_summaries(graph.communities(pairs, docs, t), pairs, docs).select("community", "size", "name")
+
+
 def gap_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the vectors of even labels are from those of odd ones."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
@@ -629,7 +674,7 @@ QUERIES = {
         breadcrumbs, clean_bodies, snippets, heading_chunks, session_chunks, indexed_texts, issue_texts, issue_markdown, notion_pages, transcript_chapters, transcript_lines, video_ids, issue_queries,
         run_ledger, run_times, phase_rollup, median_by_variant, job_overview,
         graph_merge, graph_edges, graph_stats, graph_hops, graph_subtree, node_details, issue_graph_edges, epic_children, entity_mentions, entity_answers, entity_contexts,
-        document_vectors, document_similarity, similarity_threshold, similarity_edges, community_summary, gap_analysis, gap_summary, author_graph,
+        document_vectors, document_similarity, similarity_threshold, similarity_edges, community_summary, vector_threshold, vector_edges, vector_links, vector_communities, gap_analysis, gap_summary, author_graph,
     )
 }
 SQL = {

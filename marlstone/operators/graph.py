@@ -245,6 +245,7 @@ def document_similarities(vectors: DataFrame, blocks: int | None = None, thresho
         out = []
         if len(l) and len(r):
             s = np.array(l["vector"].tolist()) @ np.array(r["vector2"].tolist()).T
+            s = s.round(6)  # before it meets a threshold, which is rounded too
             a, b = l["doc"].to_numpy(), r["doc2"].to_numpy()
             aa, bb = np.broadcast_to(a[:, None], s.shape).ravel(), np.broadcast_to(b[None, :], s.shape).ravel()
             keep = (aa < bb) if key[0] == key[1] else np.ones(len(aa), bool)
@@ -252,7 +253,7 @@ def document_similarities(vectors: DataFrame, blocks: int | None = None, thresho
                 keep &= s.ravel() >= threshold
             aa, bb, s = aa[keep], bb[keep], s.ravel()[keep]
             swap = aa > bb
-            out.append(pd.DataFrame({"a": np.where(swap, bb, aa), "b": np.where(swap, aa, bb), "similarity": s.round(6)}))
+            out.append(pd.DataFrame({"a": np.where(swap, bb, aa), "b": np.where(swap, aa, bb), "similarity": s}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"similarity": float})
 
     return left.groupBy("_x", "_y").cogroup(right.groupBy("_x", "_y")).applyInPandas(run, f"a {kind}, b {kind}, similarity double")
