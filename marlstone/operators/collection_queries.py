@@ -263,12 +263,19 @@ def categorized_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "articles").select(F.coalesce(F.lower("category"), F.lit("none")).alias("category"), F.split("title", " ")[0].alias("title"), "url")
     none = a.limit(0).withColumn("file_name", F.lit(""))
     named = maintenance.write_categorized(a.filter("url is not null").distinct(), none)
-    return named.groupBy("category", "title").agg(F.count("*").alias("files"), F.countDistinct("file_name").alias("names"))
+    return named.groupBy("category", "title").agg(F.count_if(~F.col("replaces")).alias("files"), F.countDistinct("file_name").alias("names"))
 
 
 CATEGORIZED_SQL = """WITH a AS (SELECT DISTINCT lower(coalesce(category, 'none')) AS category, split_part(title, ' ', 1) AS title, url FROM articles WHERE url IS NOT NULL), g AS (SELECT category, title, count(*) FILTER (url = '') AS e, count(*) AS n FROM a GROUP BY ALL)
 SELECT category, title, least(n, 99) AS files, least(n, 99) AS names FROM g"""
 
+
+def article_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file of every article by its category and whole title, in the order of delivery."""
+    a = table(spark, sf_dir, "articles").orderBy("ingest_id").select(F.coalesce(F.lower("category"), F.lit("none")).alias("category"), F.coalesce("title", F.lit("untitled")).alias("title"), "url")
+    return maintenance.write_categorized(a, a.limit(0).withColumn("file_name", F.lit("")))
+
+
 # Conversion --------------------------------------------------------------------------------------------------------------
 
 
@@ -670,7 +677,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         body_classifier, exclusion_reasons, noise_patterns, latest_deliveries, rescued_parents, recovered_report, sanitized_lines, email_counts, pii_counts, redacted_comments, exact_copies, tag_histogram, valid_tags, tag_coverage, collection_overview,
-        orphan_prune, upsert_delta, pruned_chunks, upserted_chunks, manifest_merge, high_water_mark, reread_excluded, prefix_cache, categorized_files,
+        orphan_prune, upsert_delta, pruned_chunks, upserted_chunks, manifest_merge, high_water_mark, reread_excluded, prefix_cache, categorized_files, article_files,
         breadcrumbs, clean_bodies, snippets, heading_chunks, session_chunks, indexed_texts, issue_texts, issue_markdown, notion_pages, transcript_chapters, transcript_lines, video_ids, issue_queries,
         run_ledger, run_times, phase_rollup, median_by_variant, job_overview,
         graph_merge, graph_edges, graph_stats, graph_hops, graph_subtree, node_details, issue_graph_edges, epic_children, entity_mentions, entity_answers, entity_contexts,

@@ -119,9 +119,10 @@ class VersionedTables:
 
 def write_categorized(entries: DataFrame, existing: DataFrame) -> DataFrame:
     """File names for entries (category, title, url): an entry whose address is known in its category and title replaces that
-    file; another address gets the next ` (2)` to ` (99)`; entries without an address always get a name of their own.
+    file; another address gets the next ` (2)` to ` (99)`; entries without an address always get a name of their own. Entries
+    past 99 of a category and title replace file 99. Every entry has a row.
     existing: category, title, url, file_name. Result: category, title, url, file_name, replaces."""
-    e = entries.withColumn("_i", F.monotonically_increasing_id())
+    e = cut(entries.withColumn("_i", F.monotonically_increasing_id()))  # read twice: the numbers must stay
     same = existing.filter("coalesce(url, '') <> ''").groupBy("category", "title", "url").agg(F.min("file_name").alias("old"))
     j = e.join(same, ["category", "title", "url"], "left")
     taken = existing.groupBy("category", "title").agg(F.count("*").alias("taken"))
@@ -131,7 +132,7 @@ def write_categorized(entries: DataFrame, existing: DataFrame) -> DataFrame:
     new = new.join(order, ["category", "title", "_k"]).join(taken, ["category", "title"], "left")
     number = F.col("_n") + F.coalesce("taken", F.lit(0))
     stem = F.concat_ws("/", "category", "title")
-    named = new.filter(number <= 99).select("category", "title", "url", F.concat(stem, F.when(number > 1, F.concat(F.lit(" ("), number.cast("string"), F.lit(")"))).otherwise(""), F.lit(".md")).alias("file_name"), F.lit(False).alias("replaces"))
+    named = new.select("category", "title", "url", F.concat(stem, F.when(number > 1, F.concat(F.lit(" ("), F.least(number, F.lit(99)).cast("string"), F.lit(")"))).otherwise(""), F.lit(".md")).alias("file_name"), (number > 99).alias("replaces"))
     return j.filter("old is not null").select("category", "title", "url", F.col("old").alias("file_name"), F.lit(True).alias("replaces")).unionByName(named)
 
 

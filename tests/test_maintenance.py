@@ -40,6 +40,20 @@ def test_manifest_keeps_entries_without_id(spark):
     assert sorted((r["id"] or "", r["title"]) for r in got.collect()) == [("", "b"), ("", "e"), ("", "f"), ("1", "a"), ("2", "d")]
 
 
+def test_every_article_gets_a_file(spark, tmp_path):
+    rows = [(1, "A", "One two", "u1"), (2, "a", "One two", "u2"), (3, None, None, None), (4, "a", "One two", None), (5, "a", "One two", "u1"), (6, "a", "One two", ""), (7, "a", "One", "u1")]
+    spark.createDataFrame(rows[::-1], "ingest_id long, category string, title string, url string").write.parquet(f"{tmp_path}/articles.parquet")
+    got = sorted((r["url"] or "", r["file_name"], r["replaces"]) for r in cq.article_files(spark, str(tmp_path)).collect())
+    assert got == [("", "a/One two (3).md", False), ("", "a/One two (4).md", False), ("", "none/untitled.md", False), ("u1", "a/One two.md", False), ("u1", "a/One two.md", False), ("u1", "a/One.md", False), ("u2", "a/One two (2).md", False)]
+
+
+def test_files_past_99_replace_the_last(spark):
+    e = spark.range(103).selectExpr("'c' as category", "'t' as title", "if(id % 2 = 0, cast(id as string), null) as url")
+    got = mt.write_categorized(e, e.limit(0).withColumn("file_name", F.lit(""))).collect()
+    assert len(got) == 103 and len({r["file_name"] for r in got}) == 99
+    assert {r["file_name"] for r in got if r["replaces"]} == {"c/t (99).md"} and sum(r["replaces"] for r in got) == 4
+
+
 def test_versions(spark, tmp_path):
     store = mt.VersionedTables(spark, str(tmp_path / "v"))
     assert store.current() is None
