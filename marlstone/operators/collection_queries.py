@@ -136,7 +136,7 @@ TAG_HISTOGRAM_SQL = f"WITH {TAGGED_CTE} SELECT collection, tag, count(*) AS n FR
 
 
 def valid_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags that at least one issue uses as a label."""
+    """Tags before 'p' that at least one issue uses as a label; `labelled_tags` has all."""
     taxonomy = table(spark, sf_dir, "jira_issues").select(F.explode("labels").alias("tag")).filter("tag < 'p'").distinct()
     return cleanup.valid_tags(_tagged(spark, sf_dir), taxonomy).select("doc_id", "tag")
 
@@ -144,6 +144,12 @@ def valid_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 VALID_TAGS_SQL = f"WITH {TAGGED_CTE}, tax AS (SELECT DISTINCT unnest(labels) AS tag FROM jira_issues) SELECT DISTINCT doc_id, tag FROM tagged WHERE tag IN (SELECT tag FROM tax WHERE tag < 'p')"
 
 
+def labelled_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags that at least one issue uses as a label."""
+    taxonomy = table(spark, sf_dir, "jira_issues").select(F.explode("labels").alias("tag"))
+    return cleanup.valid_tags(_tagged(spark, sf_dir), taxonomy).select("doc_id", "tag")
+
+
 def tag_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.tag_coverage(table(spark, sf_dir, "documents").select(F.col("metadata")["tags"].alias("tags")))
 
@@ -676,7 +682,7 @@ def author_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        body_classifier, exclusion_reasons, noise_patterns, latest_deliveries, rescued_parents, recovered_report, sanitized_lines, email_counts, pii_counts, redacted_comments, exact_copies, tag_histogram, valid_tags, tag_coverage, collection_overview,
+        body_classifier, exclusion_reasons, noise_patterns, latest_deliveries, rescued_parents, recovered_report, sanitized_lines, email_counts, pii_counts, redacted_comments, exact_copies, tag_histogram, valid_tags, labelled_tags, tag_coverage, collection_overview,
         orphan_prune, upsert_delta, pruned_chunks, upserted_chunks, manifest_merge, high_water_mark, reread_excluded, prefix_cache, categorized_files, article_files,
         breadcrumbs, clean_bodies, snippets, heading_chunks, session_chunks, indexed_texts, issue_texts, issue_markdown, notion_pages, transcript_chapters, transcript_lines, video_ids, issue_queries,
         run_ledger, run_times, phase_rollup, median_by_variant, job_overview,

@@ -40,6 +40,12 @@ def test_manifest_keeps_entries_without_id(spark):
     assert sorted((r["id"] or "", r["title"]) for r in got.collect()) == [("", "b"), ("", "e"), ("", "f"), ("1", "a"), ("2", "d")]
 
 
+def test_all_labels_are_tags(spark, tmp_path):
+    spark.createDataFrame([(1, ["alpha", "vault"]), (2, ["proxy", "vault"]), (3, None)], "ingest_id long, labels array<string>").write.parquet(f"{tmp_path}/jira_issues.parquet")
+    spark.createDataFrame([(1, "s", {"tags": "vault, alpha,vault"}), (2, None, {"tags": "proxy,zebra"}), (3, "s", None)], "doc_id long, source string, metadata map<string,string>").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, cq.labelled_tags(spark, str(tmp_path)).collect())) == [(1, "alpha"), (1, "vault"), (2, "proxy")]
+
+
 def test_every_article_gets_a_file(spark, tmp_path):
     rows = [(1, "A", "One two", "u1"), (2, "a", "One two", "u2"), (3, None, None, None), (4, "a", "One two", None), (5, "a", "One two", "u1"), (6, "a", "One two", ""), (7, "a", "One", "u1")]
     spark.createDataFrame(rows[::-1], "ingest_id long, category string, title string, url string").write.parquet(f"{tmp_path}/articles.parquet")
