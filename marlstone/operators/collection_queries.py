@@ -505,6 +505,11 @@ NODE_DETAILS_SQL = f"""WITH {STAR_CTE}, j AS (SELECT e.source, e.target, e.type,
 SELECT n.id, coalesce((SELECT string_agg(type || '/' || target || '/' || tl, ';' ORDER BY type, target) FROM j WHERE source = n.id), '') AS outgoing, coalesce((SELECT string_agg(type || '/' || source || '/' || sl, ';' ORDER BY type, source) FROM j WHERE target = n.id), '') AS incoming FROM nodes n WHERE n.type IN ('Nation', 'Region')"""
 
 
+def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of every node of the star graph, of all kinds."""
+    return graph.node_edges(*_star(spark, sf_dir))
+
+
 def _issue_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     i = _latest_issues(spark, sf_dir).filter("issue_key is not null").select(F.col("issue_key").alias("key"), F.col("title").alias("summary"), F.col("epic_link").alias("epic"), F.lit(None).cast("string").alias("parent"), F.col("description").alias("text"))
     return graph.issue_graph(i)
@@ -554,8 +559,7 @@ def entity_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _star(spark, sf_dir)
-    return graph.entity_context(nodes.filter("type <> 'Customer'"), edges)
+    return graph.entity_context(*_star(spark, sf_dir))
 
 
 # Similarity --------------------------------------------------------------------------------------------------------------
@@ -686,7 +690,7 @@ QUERIES = {
         orphan_prune, upsert_delta, pruned_chunks, upserted_chunks, manifest_merge, high_water_mark, reread_excluded, prefix_cache, categorized_files, article_files,
         breadcrumbs, clean_bodies, snippets, heading_chunks, session_chunks, indexed_texts, issue_texts, issue_markdown, notion_pages, transcript_chapters, transcript_lines, video_ids, issue_queries,
         run_ledger, run_times, phase_rollup, median_by_variant, job_overview,
-        graph_merge, graph_edges, graph_stats, graph_hops, graph_subtree, node_details, issue_graph_edges, epic_children, entity_mentions, entity_answers, entity_contexts,
+        graph_merge, graph_edges, graph_stats, graph_hops, graph_subtree, node_details, star_edges, issue_graph_edges, epic_children, entity_mentions, entity_answers, entity_contexts,
         document_vectors, document_similarity, similarity_threshold, similarity_edges, community_summary, vector_threshold, vector_edges, vector_links, vector_communities, gap_analysis, gap_summary, author_graph,
     )
 }

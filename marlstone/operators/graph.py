@@ -81,7 +81,10 @@ def expansion_terms(mentions: DataFrame, nodes: DataFrame, edges: DataFrame, lim
 
 def entity_context(nodes: DataFrame, edges: DataFrame, per_type: int = 3) -> DataFrame:
     """A line for each node: its label, type, and up to `per_type` neighbours per kind of edge: id, context."""
-    near = neighbours(edges).join(nodes.select(F.col("id").alias("other"), "label"), "other", "left").groupBy("node", "type", "direction").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(F.coalesce("label", "other"))), 1, per_type).alias("labels"))
+    # counted by label and ranked before they are collected: a hot node's labels never meet in one value
+    labels = neighbours(edges).join(nodes.select(F.col("id").alias("other"), "label"), "other", "left").groupBy("node", "type", "direction", F.coalesce("label", "other").alias("l")).agg(F.count("*").alias("c"))
+    ranked = labels.withColumn("_n", F.row_number().over(Window.partitionBy("node", "type", "direction").orderBy("l")))
+    near = ranked.groupBy("node", "type", "direction").agg(F.sum("c").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_n") <= per_type, F.col("l")))).alias("labels"))
     part = F.concat(F.col("type"), F.when(F.col("direction") == "incoming", "⁻¹").otherwise(""), F.lit(": "), F.array_join("labels", ", "), F.when(F.col("n") > per_type, F.concat(F.lit(" (+"), (F.col("n") - per_type).cast("string"), F.lit(")"))).otherwise(""))
     parts = near.groupBy("node").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     head = F.concat(F.coalesce("label", "id"), F.lit(" ("), F.coalesce("type", F.lit("?")), F.lit(")"))
@@ -120,6 +123,27 @@ def node_detail(nodes: DataFrame, edges: DataFrame, types: list[str] | None = No
     return out.withColumns({c: F.coalesce(c, empty) for c in ("outgoing", "incoming")})
 
 
+def node_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """As `node_detail`, but a row for each edge of a node, which a node of any number of edges allows: id, direction,
+    position (from 1, by type and id of the other end), type, other, label."""
+    end = nodes.select(F.col("id").alias("other"), "label")
+    e = neighbours(edges).withColumnRenamed("node", "id").join(nodes.select("id"), "id", "left_semi").join(end, "other", "left")
+    position = F.row_number().over(Window.partitionBy("id", "direction").orderBy("type", "other"))
+    return e.select("id", "direction", position.alias("position"), "type", "other", F.coalesce("label", F.lit("")).alias("label"))
+
+
+def tree_paths(reached: DataFrame, walked: DataFrame, max_depth: int) -> DataFrame:
+    """The path of ids from the root to each reached node, by the first parent: root, id, path. reached, walked: of `subtree`."""
+    steps = walked.select("root", F.col("source").alias("id"), F.col("target").alias("parent")).unionByName(walked.select("root", F.col("target").alias("id"), F.col("source").alias("parent")))
+    level = reached.filter("depth = 0").select("root", "id", F.array("id").alias("path"))
+    out = level
+    for depth in range(1, max_depth + 1):
+        above = level.select("root", F.col("id").alias("parent"), F.col("path").alias("_p"))
+        level = reached.filter(F.col("depth") == depth).select("root", "id").join(steps, ["root", "id"]).join(above, ["root", "parent"]).groupBy("root", "id").agg(F.min(F.concat("_p", F.array("id"))).alias("path"))
+        out = out.unionByName(level)
+    return out
+
+
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Counts by kind: what (node, edge), type, n."""
     count = lambda df, what: df.groupBy(F.coalesce("type", F.lit("Unknown")).alias("type")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "type", "n")

@@ -99,6 +99,13 @@ def rendered_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendering.render_subtree(reached, nodes)
 
 
+def region_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole star graph as a list for each region, two levels deep."""
+    nodes, edges = (staged(x) for x in cq._star(spark, sf_dir))
+    reached, walked = (staged(x) for x in graph.subtree(nodes, edges, nodes.filter("type = 'Region'").select(F.col("id").alias("root")), "incoming", ["in_region", "in_nation"], 2, 10**9))
+    return rendering.render_subtree(reached, nodes, graph.tree_paths(reached, walked, 2))
+
+
 RENDERED_SUBTREES_SQL = """WITH l AS (SELECT 'region:' || r_regionkey AS root, 0 AS depth, 'region:' || r_regionkey AS id, '- ' || r_name AS t FROM region UNION ALL SELECT 'region:' || n_regionkey, 1, 'nation:' || n_nationkey, '  - ' || n_name FROM nation)
 SELECT root, string_agg(t, chr(10) ORDER BY depth, id) AS markdown FROM l GROUP BY root"""
 
@@ -231,7 +238,7 @@ COLLECTION_MANIFEST_SQL = "SELECT coalesce(lower(trim(source)), 'none') AS colle
 QUERIES = {
     f.__name__: f
     for f in (
-        search_pipeline, rendered_results, similar_documents, index_update, topic_coverage, constrained_tags, tag_discovery, block_paths, rendered_subtrees, augmented_queries, event_sessions, event_windows, event_streaks, segment_cube, pricing_summary,
+        search_pipeline, rendered_results, similar_documents, index_update, topic_coverage, constrained_tags, tag_discovery, block_paths, rendered_subtrees, region_trees, augmented_queries, event_sessions, event_windows, event_streaks, segment_cube, pricing_summary,
         exchange_pairs, component_comparison, rubric_scores, text_functions, transcript_documents, last_runs, issue_chunks, collection_manifest,
     )
 }

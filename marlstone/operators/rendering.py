@@ -22,11 +22,15 @@ def render_nodes(details: DataFrame) -> DataFrame:
     return details.select("id", F.array_join(F.concat(F.array(F.concat(F.lit("## "), F.coalesce("label", "id"), F.lit(" ("), F.coalesce("type", F.lit("?")), F.lit(")"))), edges("outgoing", "→"), edges("incoming", "←")), "\n").alias("markdown"))
 
 
-def render_subtree(reached: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Subtrees as indented lists: root, markdown."""
+def render_subtree(reached: DataFrame, nodes: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """Subtrees as indented lists: root, markdown. paths: of `tree_paths`; with them each node stands below its parent, else
+    nodes go by depth and id."""
     line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), F.coalesce("label", "id"))
     j = reached.join(nodes.select("id", "label"), "id", "left")
-    return j.groupBy("root").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "id", line.alias("t")))), lambda x: x["t"]), "\n").alias("markdown"))
+    order = ["depth", "id"]
+    if paths is not None:
+        j, order = j.join(paths, ["root", "id"]), ["path"]
+    return j.groupBy("root").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("t")))), lambda x: x["t"]), "\n").alias("markdown"))
 
 
 def render_tags(histogram: DataFrame) -> DataFrame:
