@@ -76,7 +76,7 @@ _WIKI = [
     re.compile(r"^----+[ \t]*$(?!\n)", re.M),
     re.compile(r"\{\{[^{}]*\}\}"),
 ]
-_WIKI_ANY = re.compile(r"^[ \t]*(?:h[1-6]\.|bq\.)[ \t]|^==|\{(?:color|quote|panel|info|tip|note|warning|expand|anchor|toc|section|column)\b|\|\||\[\[|\[~|\[[^\]|\[\n]+\||\[(?:https?|ftp|mailto):|\.(?:png|jpe?g|gif|svg)(?:\|[^!\n]*)?!|''|\?\?|\{\||\{\{|</?ref|\^\S+\^|\+\S[^+\n]*\+", re.M | re.I)
+_WIKI_ANY = re.compile(r"^[ \t]*(?:h[1-6]\.|bq\.)[ \t]|^==|\{(?:color|quote|panel|info|tip|note|warning|expand|anchor|toc|section|column)\b|\|\||\[\[|\[~|\[[^\]|\[\n]+\||\[(?:https?|ftp|mailto):|\.(?:png|jpe?g|gif|svg|bmp|webp)(?:\|[^!\n]*)?!|''|\?\?|^[ \t]*\{\||^\|[}-]|^----|\{\{|</?(?:ref|gallery|blockquote-wiki)|\^[^\s^][^^\n]*\^|\+\S[^+\n]*\+", re.M | re.I)
 _MD = [
     re.compile(r"^[ \t]{0,3}(?P<l>#{1,6})[ \t]+(?P<x>\S.*?)[ \t]*#*[ \t]*$", re.M),
     re.compile(r"^(?P<x>[^\n]*\w[^\n]*)\n(?P<l>=|-)(?P=l){2,}[ \t]*$", re.M),
@@ -92,7 +92,7 @@ _MD = [
     re.compile(r"<(?P<x>https?://[^<>\s]+)>"),
 ]
 _MD_ANY = re.compile(r"^[ \t]{0,3}#{1,6}[ \t]|\n[=-]{3,}[ \t]*$|\|?[ \t]*:?--+:?[ \t]*\||\]\(|\][\[:]|\[[ xX]\][ \t]|^[ \t]{0,3}>|\*\*|__|~~|<https?://", re.M)
-_ANY = re.compile(r"[<&`{\[\\$|=#>~!?^+]|\*\*|__|''|^(?:h\d|bq)\.|^[-=]{3}", re.M)
+_ANY = re.compile(r"[<&`{\[\\$|=#>~!?^+]|\*\*|__|''|^[ \t]*(?:h\d|bq)\.|^[-=]{3}", re.M)
 _ROW = re.compile(r"^[ \t]*\|(?!\|)(?P<x>[^\n]*)\|[ \t]*$", re.M)
 
 

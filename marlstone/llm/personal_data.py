@@ -35,7 +35,7 @@ PLACEHOLDER_DOMAINS = {"example.com", "example.org", "test.com"}
 FILE_ENDINGS = set("xsl xml xsd json yml yaml css js ts java kt py md txt htm html log csv pdf png jpg jpeg gif svg zip gz tar sql sh doc docx xls xlsx ini cfg conf properties".split())
 
 _HIDDEN = re.compile("[​‌‍⁠﻿­]+")
-_DIGITS = re.compile(r"\b(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + r")(?:[ -]+(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + r")){5,}\b", re.I)
+_DIGITS = re.compile(rf"\b(?=[{''.join(sorted({w[0] for w in DIGIT_WORDS}))}])(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + r")(?:[ -]+(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + r")){5,}\b", re.I)
 _LOCAL, _LABEL = r"[A-Za-z0-9_%+-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}|\sdot\s)\s?[A-Za-z0-9_%+-]+)*", r"[A-Za-z0-9-]+"
 _DOT = r"(?:\.|\s?[(\[{]\s?(?:dot|punkt)\s?[)\]}]\s?|\s+dot\s+)"
 _AT_MARKED = r"\s?[(\[{<]\s?(?:at|a|@|krøllalfa|snabela)\s?[)\]}>]\s?"
@@ -45,6 +45,8 @@ _DISGUISED = re.compile(
     re.I,
 )
 _DOTS = re.compile(_DOT, re.I)
+#: Any form of at that _DISGUISED knows.
+_AT_ANY = re.compile(rf"@|{_AT_MARKED}|{_AT_PLAIN}", re.I)
 _EMAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9_%+][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w@])")
 _ID = re.compile(r"(?<![\w/#])(?<!\d[.-])(\d{6})[ .-]?(\d{5})(?![\w])")
 _LONG_DIGITS = re.compile(r"\d[\d ().-]{5,}\d")
@@ -80,14 +82,13 @@ def plain(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
     found = []
     if not folded.isascii():
         found += [(m.start(), m.end(), "") for m in _HIDDEN.finditer(folded)]
-    low = folded.lower()
-    if " at " in low or "(at)" in low or "[at]" in low or "{at}" in low or " @" in low or "@ " in low or "dot" in low:
+    if _AT_ANY.search(folded):
         for m in _DISGUISED.finditer(folded):
             new = _DOTS.sub(".", m["l"]) + "@" + _DOTS.sub(".", m["d"] or m["e"])
             new = re.sub(r"\s", "", new)
             if new != m[0]:
                 found.append((m.start(), m.end(), new))
-    for m in _DIGITS.finditer(folded) if any(w in low for w in ("zero", "null", "seven", "sju", "syv", "three", "tre ", "five", "fem")) else ():
+    for m in _DIGITS.finditer(folded):
         found.append((m.start(), m.end(), "".join(DIGIT_WORDS[w.lower()] for w in re.split(r"[ -]+", m[0]))))
     if not found:
         return folded, []
@@ -189,6 +190,10 @@ def find(text: str, names: NameModel) -> list[tuple[str, int, int]]:
             for m in _PHONE.finditer(p):
                 if free(*m.span()) and 7 <= sum(c.isdigit() for c in m[0]) <= 15:
                     add("phone", *m.span())
+            for a, b, _, _ in spans:  # spelled digits have no blanks; counting isn't a number
+                d = p[a:b]
+                if 8 <= len(d) <= 15 and d.isdecimal() and d not in "01234567890" and d not in "09876543210" and len(set(d)) > 1 and free(a, b):
+                    add("phone", a, b)
         for m in _STREET.finditer(p):
             if free(*m.span()) and not _LABEL_BEFORE.search(p, max(0, m.start() - 12), m.start()):
                 add("street_address", *m.span())

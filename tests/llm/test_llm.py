@@ -192,6 +192,21 @@ def test_personal_data(text, kinds):
     assert [k for k, _, _ in pii.find(text, NAMES)] == kinds
 
 
+@pytest.mark.parametrize("text,kinds", [
+    ("skriv til ola (krøllalfa) firma (punkt) no", ["email"]), ("ola [snabela] firma.no", ["email"]), ("ola (a) firma.no", ["email"]), ("ola <at> firma.no", ["email"]), ("x(@)y.no", ["email"]),
+    ("ruf neun eins zwei acht vier sechs eins acht an", ["phone"]), ("appelez sept un quatre deux huit six un neuf", ["phone"]), ("call nine one two four eight six one two now", ["phone"]),
+    ("one two three four five six seven eight nine", []), ("look at firma and at night", []), ("one two one two one two", []),
+])
+def test_disguises_of_every_kind(text, kinds):
+    assert [k for k, _, _ in pii.find(text, NAMES)] == kinds
+
+
+@pytest.mark.parametrize("text", ["words\n  h2. Title\nmore", "  bq. said", "before <gallery> after", "see !picture.webp! there", "see !a/b.bmp! there", "two words\n----", "a ^small print^ b"])
+def test_wiki_markup_of_every_kind(text):
+    clean, kinds = markup.convert(text)
+    assert "wiki" in " ".join(kinds) and clean != text
+
+
 def test_spans_are_those_of_the_source(spark):
     t = "Кто: x dot y at a dot example​! Ring +46 70 174 06 51, Anna Bergquist, ann@b.example"
     rows = [(1, t), (2, None), (3, ""), (4, "z " * 200_000 + "q@w.example")]
