@@ -17,6 +17,8 @@ from marlstone.plans import staged, with_fields
 
 #: Tokens packed by one task; a shard of average texts has some tens of thousands of items.
 SHARD_TOKENS = 8_000_000
+#: The most tokens of one character: one a byte.
+MOST_TOKENS = 4
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -79,8 +81,10 @@ def pack_texts(df: DataFrame, id: str, text: str, capacity: int, folder: str = t
     """Texts in containers of `capacity` tokens: whole where they fit, else in pieces cut at natural boundaries.
 
     Result: container, id, piece, start, end (characters), n_tokens, used, unused. Null and empty texts take no room: they
-    are listed with piece 0 and 0 tokens.
+    are listed with piece 0 and 0 tokens. One character has up to MOST_TOKENS tokens, so no capacity may be smaller.
     """
+    if capacity < MOST_TOKENS:
+        raise ValueError(f"a character may have {MOST_TOKENS} tokens")
     rows = df.select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.lit(capacity).alias("_limit"), F.lit(0).alias("_overlap"))
     pieces = split_texts(rows, "_text", ["_id"], "_limit", "_overlap", "token", folder, vocabulary).select("_id", "piece", "start", "end", F.col("units").alias("_n"))
     none = rows.filter("_text is null or _text = ''").select("_id", *[F.lit(0).alias(c) for c in ("piece", "start", "end", "_n")])

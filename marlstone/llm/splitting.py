@@ -8,7 +8,7 @@ lies in reach, the cut is hard.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,58 +27,62 @@ KINDS = [
 ]
 
 
-def split(text: str, limit: int, overlap: int, starts: np.ndarray | None = None) -> list[tuple[int, int, int, str]]:
-    """(start, end, units, kind of the cut) of each piece, in characters. starts: where each unit starts, and the end
-    (default: characters). Pieces hold at most `limit` units; each starts exactly `overlap` units before the last one's end."""
+def split(text: str, limit: int, overlap: int, starts: np.ndarray | None = None, count: Callable[[str], int] | None = None) -> list[tuple[int, int, int, str]]:
+    """(start, end, units, kind of the cut) of each piece, in characters.
+
+    starts: where each unit starts, and the end (default: units are characters). count: the units of a piece by itself, where
+    a cut may change them; a piece over the limit is then cut again with that much less room. Pieces hold at most `limit`
+    units, but for a single character that has more. The next piece starts `overlap` units before the cut (where a unit
+    starts there), and always after the start and far enough to reach beyond the end of the one before.
+    """
     if limit <= 0 or not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
-    n = len(text) if starts is None else len(starts) - 1
+    end = len(text)
     if not text:
         return []
+    n = end if starts is None else len(starts) - 1
     if n <= limit:
-        return [(0, len(text), n, "end")]
-    at: list[np.ndarray] = []
-    for _, pattern, _ in KINDS:
-        ends = np.fromiter((m.end() for m in pattern.finditer(text)), np.int64)
-        if starts is not None:  # in units, where a unit starts just there; the first of several at one character
-            i = np.searchsorted(starts, ends)
-            ends = i[starts[i] == ends]
-        at.append(ends)
-    char = (lambda u: u) if starts is None else (lambda u: int(starts[u]))
-    out, start = [], 0
-    while n - start > limit:
-        end, kind = start + limit, "hard"
+        return [(0, end, n, "end")]
+    before = np.arange(end + 1) if starts is None else np.searchsorted(starts[:-1], np.arange(end + 1), "left")  # units begun before each character
+    at = [np.fromiter((m.end() for m in pattern.finditer(text)), np.int64) for _, pattern, _ in KINDS]
+
+    def last(units: int) -> int:
+        """The last character with at most so many units before it."""
+        return int(np.searchsorted(before, units, "right")) - 1
+
+    def boundary(a: int, room: int) -> tuple[int, str]:
+        top = max(a + 1, last(before[a] + room))
+        if top >= end:
+            return end, "end"
         for (name, _, fill), ends in zip(KINDS, at):
-            i = np.searchsorted(ends, start + limit, "right") - 1
-            if i >= 0 and ends[i] > start + max(overlap, int(fill * limit)):
-                end, kind = int(ends[i]), name
+            i = int(np.searchsorted(ends, top, "right")) - 1
+            if i >= 0 and ends[i] > a and before[ends[i]] > before[a] + max(overlap, int(fill * limit)):
+                return int(ends[i]), name
+        return top, "hard"
+
+    out, a = [], 0
+    while True:
+        room = limit
+        while True:
+            z, kind = boundary(a, room)
+            held = int(before[z] - before[a])
+            units = held if count is None else count(text[a:z])
+            if units <= limit or z == a + 1:
                 break
-        if starts is not None and kind == "hard":  # never inside a character
-            while end > start + overlap + 1 and starts[end] == starts[end - 1]:
-                end -= 1
-        out.append((char(start), char(end), end - start, kind))
-        start = end - overlap
-        if starts is not None:
-            while start > 0 and starts[start] == starts[start - 1]:
-                start -= 1
-    out.append((char(start), len(text), n - start, "end"))
-    return out
+            room = max(0, min(room, held) - (units - limit))
+        out.append((a, z, units, kind))
+        if z == end:
+            return out
+        need = int(before[z + 1] - limit)  # the next character must find room
+        fit = last(need) if need > 0 else 0
+        fit += bool(before[fit] < need)
+        a = min(z, max(last(before[z] - overlap), fit, a + 1))
 
 
 def split_by_tokens(text: str, limit: int, overlap: int, folder: str = tokens.FOLDER, vocabulary: str = tokens.VOCABULARY) -> list[tuple[int, int, int, str]]:
-    """As `split`, in tokens; units are the tokens of the piece by itself. A cut may change how the characters beside it are
-    joined: where a piece would then hold more than the limit, the text is cut again with that much less room."""
+    """As `split`, in tokens; units are the tokens of the piece by itself."""
     e, starts = tokens.encoding(folder, vocabulary), tokens.token_starts(text, folder, vocabulary)
-    room = limit
-    while True:
-        pieces = split(text, room, overlap, starts)
-        if len(pieces) < 2:
-            return pieces
-        own = [(a, z, len(e.encode_ordinary(text[a:z])), k) for a, z, _, k in pieces]
-        over = max(u for _, _, u, _ in own) - limit
-        if over <= 0 or room - over <= overlap:
-            return own
-        room -= over
+    return split(text, limit, overlap, starts, lambda t: len(e.encode_ordinary(t)))
 
 
 def split_texts(df: DataFrame, text: str, keep: list[str], limit: str, overlap: str, unit: str = "char", folder: str = tokens.FOLDER, vocabulary: str = tokens.VOCABULARY) -> DataFrame:

@@ -127,6 +127,34 @@ def test_token_pieces_hold_their_tokens(spark):
         assert "".join(text[a:z] for a, z, _, _ in own) == text and all(u == len(e.encode_ordinary(text[a:z])) <= 50 for a, z, u, _ in own)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab. ,\né😀𓀀日", min_size=1, max_size=80), st.integers(1, 24), st.integers(0, 23))
+def test_token_pieces_end(text, limit, overlap):
+    """Limits near the tokens of one character, overlaps near the limit."""
+    if overlap >= limit:
+        return
+    e = tokens.encoding()
+    p = splitting.split_by_tokens(text, limit, overlap)
+    assert all(u == len(e.encode_ordinary(text[a:z])) and (u <= limit or z == a + 1) for a, z, u, _ in p)
+    assert p[0][0] == 0 and p[-1][1] == len(text)
+    for (a, y, _, _), (b, z, _, _) in zip(p, p[1:]):
+        assert a < b <= y < z
+    if not overlap:
+        assert "".join(text[a:z] for a, z, _, _ in p) == text
+
+
+def test_small_limits_end():
+    for text, limit, overlap in (("😀" * 40, 4, 3), ("𓀀" * 40, 3, 0), ("𓀀" * 40, 20, 18)):
+        p = splitting.split_by_tokens(text, limit, overlap)
+        assert p[-1][1] == len(text) and len(p) <= len(text)
+
+
+def test_token_pieces_end_at_words():
+    text = "some ordinary words of a long text without any stop " * 30
+    p = splitting.split_by_tokens(text, 40, 8)
+    assert {k for _, _, _, k in p[:-1]} == {"word"} and all(text[z - 1] == " " for _, z, _, _ in p)
+
+
 # problem 3 ---------------------------------------------------------------------------------------------------------------
 
 MARKUP = [
@@ -322,6 +350,35 @@ def test_mixing(spark):
     assert out.count() == 0 and shares.count() == 4
 
 
+def brute_rates(tokens, share, cap):
+    """Water filling by halving the level."""
+    total, caps = sum(tokens), [c * t for c, t in zip(cap, tokens)]
+    if total >= sum(caps):
+        return [float(c) for c in cap]
+    low, high = 0.0, 1e12
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(c, mid * s) for c, s in zip(caps, share)) < total else (low, mid)
+    return [min(c, low * s) / t for c, s, t in zip(caps, share, tokens)]
+
+
+def test_rates_hold_small_sources_and_fill_up_the_rest(spark):
+    rng = random.Random(5)
+    for _ in range(10):
+        n = rng.randrange(1, 9)
+        tokens = [rng.choice([10, 500, 20_000, 1_000_000]) + rng.randrange(9) for _ in range(n)]
+        share, cap = [rng.random() + 0.01 for _ in range(n)], [rng.randrange(1, 5) for _ in range(n)]
+        sizes = spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(tokens)] + [("other", 77), (None, 5)], "source string, tokens long")
+        targets = spark.createDataFrame([(f" S{i}", s, c) for i, (s, c) in enumerate(zip(share, cap))] + [("absent", 0.4, 3)], "source string, target_share double, max_repeats int")
+        got = {r["source"]: r for r in mixing.rates(sizes, targets).collect()}
+        want = brute_rates(tokens, share, cap)
+        assert [got[f"s{i}"]["rate"] for i in range(n)] == pytest.approx(want, rel=1e-9)
+        assert sum(w * t for w, t in zip(want, tokens)) == pytest.approx(sum(tokens)) and got["other"]["rate"] == got["absent"]["rate"] == got[None]["rate"] == 0
+        assert sum(r["reachable_share"] for r in got.values()) == pytest.approx(1)
+    none = mixing.rates(sizes.limit(0), targets).collect()
+    assert len(none) == n + 1 and all(r["rate"] == 0 for r in none)
+
+
 # problem 10 --------------------------------------------------------------------------------------------------------------
 
 
