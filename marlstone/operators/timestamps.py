@@ -67,38 +67,64 @@ EPOCH = [
 NAMES = [f[0] for f in CIVIL] + [f[0] for f in EPOCH]
 PRIOR = np.array([f[3] for f in CIVIL] + [f[3] for f in EPOCH])
 DMY, MDY = NAMES.index("slash-dmy"), NAMES.index("slash-mdy")
-#: The weight of the order of day and month that a source doesn't declare, against the declared one.
-UNDECLARED = 1e-9
 #: A choice whose posterior is below this is marked ambiguous.
 SURE = 0.95
+#: The prior weights count as so many values of each format (so two values that only one order can read make it sure), and the most rounds.
+PSEUDO, ROUNDS = 0.1, 5_000
 
 
-def fit_mixture(counts: np.ndarray, masks: np.ndarray, prior: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Posterior of each format for each set of formats. counts: values with that set; masks: sets x formats, 0 or 1;
-    prior: pseudo-counts' proportions, which break ties among formats that no value tells apart."""
-    pi = prior / prior.sum()
-    pseudo = pi * 1e-3
-    for _ in range(rounds):
+def expectation_maximisation(counts: np.ndarray, masks: np.ndarray, alpha: np.ndarray, rounds: int = ROUNDS, tolerance: float = 1e-6) -> tuple[np.ndarray, int]:
+    """The formats' shares, and the rounds taken (`rounds` + 1: not converged).
+
+    The E step shares each set's values out among its formats by the shares so far; the M step adds the pseudo-counts alpha
+    (Dirichlet) once. Where few values tell formats apart plain steps get ever smaller, so each round extrapolates two of
+    them (squared iterative method) and keeps the result if the posterior density doesn't fall. It ends when the way that is
+    left, by the ratio of two steps, is under the tolerance.
+    """
+    def step(pi: np.ndarray) -> np.ndarray:
         w = masks * pi
-        post = w / np.maximum(w.sum(1, keepdims=True), 1e-300)
-        # the prior stays in the M step's weight: evidence moves shares, a declaration can't be outvoted by its own ambiguity
-        new = (counts[:, None] * post).sum(0) * prior + pseudo
-        new /= new.sum()
-        if np.abs(new - pi).max() < 1e-10:
-            pi = new
-            break
-        pi = new
-    w = masks * pi
+        new = (counts[:, None] * w / np.maximum(w.sum(1, keepdims=True), 1e-300)).sum(0) + alpha
+        return new / new.sum()
+
+    def density(pi: np.ndarray) -> float:
+        return float(counts @ np.log(np.maximum(masks @ pi, 1e-300)) + alpha @ np.log(np.maximum(pi, 1e-300)))
+
+    pi = alpha / alpha.sum()
+    for k in range(1, rounds + 1):
+        one = step(pi)
+        two = step(one)
+        r, v = one - pi, two - 2 * one + pi
+        now, then = np.sqrt(r @ r), np.sqrt((two - one) @ (two - one))
+        if now < 1e-15 or (then < now and then * then / (now - then) < tolerance):
+            return two, k
+        far = two
+        if np.abs(v).max() > 0:
+            length = max(1.0, now / np.sqrt(v @ v))
+            far = pi + 2 * length * r + length * length * v
+            far = step(np.maximum(far, 1e-300) / np.maximum(far, 1e-300).sum()) if far.min() > 0 else two
+            if density(far) < density(two):
+                far = two
+        pi = far
+    return pi, rounds + 1
+
+
+def fit_mixture(counts: np.ndarray, masks: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Posterior of each format for each set of formats. counts: values with that set; masks: sets x formats, 0 or 1;
+    prior: weights that decide among formats as long as no value tells them apart. A fit that didn't converge leaves sets of
+    several formats undecided (all their formats equal)."""
+    pi, took = expectation_maximisation(counts, masks, np.maximum(prior * PSEUDO, 1e-12))
+    w = masks * (pi if took <= ROUNDS else 1.0)
     return w / np.maximum(w.sum(1, keepdims=True), 1e-300)
 
 
 def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     masks = np.array([[(int(m) >> k) & 1 for k in range(len(NAMES))] for m in pdf["_mask"]], float)
-    prior = PRIOR.copy()
     order = pdf["_order"].dropna()
-    if len(order):
-        prior[MDY if order.iloc[0] == "dmy" else DMY] *= UNDECLARED
-    post = fit_mixture(pdf["_n"].to_numpy(float), masks, prior)
+    if len(order):  # the order that isn't declared is no reading, but where it is the only one
+        declared = masks.copy()
+        declared[:, MDY if order.iloc[0] == "dmy" else DMY] = 0
+        masks = np.where(declared.any(1, keepdims=True), declared, masks)
+    post = fit_mixture(pdf["_n"].to_numpy(float), masks, PRIOR)
     best = post.argmax(1)
     return pd.DataFrame({"_source": pdf["_source"], "_mask": pdf["_mask"], "_fmt": best.astype("int32"), "_posterior": post[np.arange(len(best)), best]})
 
@@ -161,7 +187,7 @@ def normalise_timestamps(df: DataFrame, value: str, source: str, zone: str | Non
 
     value: the column with the text; source: the column whose values name the sources among which formats are learnt;
     zone: the column with the zone of wall times without one (null or unknown: UTC); order: the column with `dmy` or `mdy`,
-    the order a source declares between slashes (null: learnt). keep: the columns to carry along (default: all but value).
+    the order a source declares between slashes (null: learnt; else the other one counts only where it alone can be read). keep: the columns to carry along (default: all but value).
 
     Result: `keep`, then epoch_us (null: no time is stated), format, posterior, ambiguous (posterior under 0.95),
     clock ("gap", "overlap": a wall time that its zone skips or repeats; the offset before the change and the first pass are

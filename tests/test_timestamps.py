@@ -3,7 +3,7 @@ import zoneinfo
 
 import numpy as np
 
-from marlstone.operators.timestamps import fit_mixture, normalise_timestamps
+from marlstone.operators.timestamps import ROUNDS, expectation_maximisation, fit_mixture, normalise_timestamps
 
 
 def us(*a, tz="UTC"):
@@ -53,3 +53,43 @@ def test_undeclared_order_is_learnt(spark):
 def test_fit_prefers_evidence():
     post = fit_mixture(np.array([10.0, 1.0]), np.array([[1, 0], [1, 1]], float), np.array([1.0, 1.0]))
     assert post[1, 0] > 0.99
+
+
+def test_evidence_outweighs_the_prior(spark):
+    """An undeclared year-day-month source: what only that order can read decides what both can."""
+    rows = [("a", f"2024-{d:02d}-{m:02d}") for d in range(13, 29) for m in range(1, 13)] * 10 + [("a", "2024-05-04")] * 10 + [("b", "2024-05-04")]
+    got = normalise_timestamps(spark.createDataFrame(rows, "s string, v string"), "v", "s", keep=["s", "v"]).filter("v = '2024-05-04'").distinct().collect()
+    by = {r["s"]: r for r in got}
+    assert by["a"]["format"] == "year-day-month" and by["a"]["epoch_us"] == us(2024, 4, 5) and not by["a"]["ambiguous"]
+    assert by["b"]["format"] == "iso" and not by["b"]["ambiguous"]
+
+
+def test_mixed_evidence_is_ambiguous(spark):
+    rows = [("a", f"{d:02d}/03/2024 10:00") for d in range(13, 23)] + [("a", f"03/{d:02d}/2024 10:00") for d in range(13, 23)] + [("a", "05/04/2024 10:00")] * 5
+    got = normalise_timestamps(spark.createDataFrame(rows, "s string, v string"), "v", "s", keep=["v"]).filter("v = '05/04/2024 10:00'").collect()
+    assert len(got) == 5 and all(r["ambiguous"] and abs(r["posterior"] - 0.5) < 1e-6 for r in got)
+
+
+def test_the_declared_order_is_a_mask(spark):
+    rows = [("03/25/2024", "dmy"), ("03/04/2024", "dmy")] + [(f"03/{d}/2024", "dmy") for d in range(13, 29)]
+    got = {r["v"]: r for r in normalise_timestamps(spark.createDataFrame([(v, o, "s") for v, o in rows], "v string, o string, s string"), "v", "s", order="o", keep=["v"]).collect()}
+    assert got["03/25/2024"]["epoch_us"] == us(2024, 3, 25) and got["03/04/2024"]["epoch_us"] == us(2024, 4, 3) and not got["03/04/2024"]["ambiguous"]
+
+
+def test_the_fit_converges():
+    masks = np.array([[1, 0], [1, 1]], float)
+    for n, near in ((1_000.0, 1e-5), (1e6, 1e-4), (1e9, 1e-2)):  # at a billion, steps near the precision of floats
+        pi, took = expectation_maximisation(np.array([1.0, n]), masks, np.array([0.1, 0.1]))
+        assert took <= ROUNDS and abs(pi[0] - 1.1 / 1.2) < near
+    rng = np.random.default_rng(0)
+    for _ in range(20):  # the same as many plain steps
+        masks, counts, alpha = (rng.random((6, 4)) < 0.5).astype(float), rng.integers(1, 50, 6).astype(float), rng.random(4) + 0.05
+        masks[:, 0] = np.maximum(masks[:, 0], masks.sum(1) == 0)
+        pi = alpha / alpha.sum()
+        for _ in range(20_000):
+            w = masks * pi
+            pi = (counts[:, None] * w / w.sum(1, keepdims=True)).sum(0) + alpha
+            pi /= pi.sum()
+        assert np.abs(expectation_maximisation(counts, masks, alpha)[0] - pi).max() < 1e-5
+    post = fit_mixture(np.array([9_000.0, 10.0]), np.array([[0, 1], [1, 1]], float), np.array([1.0, 1e-6]))
+    assert post[1, 1] > 0.999
