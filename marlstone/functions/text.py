@@ -15,11 +15,14 @@ from pyspark.sql import types as T
 NOISE_SCORE, LOW_SCORE = -0.10, -0.10
 SIGMOID_SLOPE, SIGMOID_SHIFT = 8.0, 0.15
 HIGH_RELEVANCE, MEDIUM_RELEVANCE, MEDIUM_UNRANKED = 0.65, 0.40, 0.5
-#: Function words of Norwegian and English questions.
+# Filler words of Norwegian and English, and the signs stripped from words.
 STOPWORDS = set(
-    "og i på for til av er som med en et den det de å om fra ved hva hvem hvor hvordan når kan skal vil ikke har jeg vi du eller men så "
-    "the a an of in on at to for and or is are was were be with by from how what when where who which can do does not that this it as".split()
+    "og men på til for i av en et er var ikke som det den de vi du jeg han hun om med fra ved kan skal vil har hadde være blir hva hvor hvilke hvilken hvordan hvorfor "
+    "the a an and or of in on at to for with by is was are were be been being has have had what which where how why who this that these those from into".split()
 )
+WORD_SIGNS = ".,!?;:\"'()"
+# Words between the parts of a query, the first that occurs cuts.
+CONJUNCTIONS = [" versus ", " vs. ", " vs ", " and ", " og ", " & "]
 
 
 def bm25_tokens(text: Column) -> Column:
@@ -119,11 +122,12 @@ def chunk_fingerprint(document: Column, chunk: Column) -> Column:
 
 # Patterns of the codes that documents mention.
 ENTITY_PATTERNS = {
-    "buc": r"(?i)\b([A-Z]{1,3}_BUC_\d{2}[a-z]?)\b",
-    "sed": r"(?i)\b([AFHPRSUX]\d{3})\b",
-    "article": r"(?i)art(?:ikkel|icle|\.)?\s*(\d+(?:\.\d+)?)",
-    "regulation": r"\b(\d{3,4}/\d{4})\b",
-    "issue": r"\b([A-Z][A-Z0-9]+-\d+)\b",
+    "buc": r"(?iU)LA[_ ]?BUC[_ ]?(\d{1,2})",
+    "sed_a": r"(?iU)\b(A\d{3})\b",
+    "sed_x": r"(?iU)\b(X\d{3})\b",
+    "article": r"(?iU)art(?:ikkel)?\.?\s*(\d{1,2})(?:\s*(?:nr\.?\s*)?(\d+))?",
+    "regulation": r"(?iU)(?:forordning\s+)?(\d{3}/\d{4})\b",
+    "issue": r"(?U)\b([A-Z][A-Z0-9]+-\d+)\b",
 }
 
 
@@ -132,6 +136,23 @@ def entity_codes(text: Column, kind: str) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(ENTITY_PATTERNS[kind]), 1), F.upper))
 
 
+def entity_candidates(text: Column, kind: str) -> Column:
+    """The nodes that the codes of one kind may name, in order: array<struct<span, ids>>. Of the ids of a code the first known
+    one counts, but for articles, where both the article's part and the article count."""
+    spans, codes = F.regexp_extract_all(text, F.lit(ENTITY_PATTERNS[kind]), 0), F.regexp_extract_all(text, F.lit(ENTITY_PATTERNS[kind]), 1)
+    named = lambda prefix, x: F.concat(F.lit(prefix), x)
+    if kind == "article":
+        parts = F.regexp_extract_all(text, F.lit(ENTITY_PATTERNS[kind]), 2)
+        pairs = F.zip_with(codes, parts, lambda a, p: F.when(F.coalesce(p, F.lit("")) != "", F.array(F.concat(F.lit("artikkel:"), a, F.lit("."), p), named("artikkel:", a))).otherwise(F.array(named("artikkel:", a))))
+    else:
+        ids = {
+            "buc": lambda c: F.array(named("buc:LA_BUC_", F.lpad(c, 2, "0"))), "sed_a": lambda c: F.array(named("sed:", F.upper(c))), "sed_x": lambda c: F.array(named("sed:", F.upper(c))),
+            "regulation": lambda c: F.array(named("forordning:", c)), "issue": lambda c: F.array(named("issue:", c), named("epic:", c)),
+        }[kind]
+        pairs = F.transform(codes, ids)
+    return F.zip_with(spans, pairs, lambda s, i: F.struct(s.alias("span"), i.alias("ids")))
+
+
 def email_addresses(text: Column) -> Column:
     """Addresses but for those at placeholder domains and file names."""
     found = F.regexp_extract_all(text, F.lit(r"\b([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.(?!(?:xsl|xml|xsd|json|ya?ml|css|js|ts|java|kt|py|md|txt|html?|log)\b)[a-zA-Z]{2,})\b"), 1)
@@ -197,9 +218,20 @@ def percent(rel: Column) -> Column:
     return F.format_string("%d%%", F.bround(rel * 100).cast("int"))
 
 
+# Words that make a question one of relations, and those that name what is asked for.
+RELATION_WORDS = "hvilke which what hva inneholder contains inngår tilhører".split()
+ASKED_WORDS = {
+    "seds": "sed seder seds sedene".split(), "bucs": "buc bucer bucs bucene".split(), "articles": "artikkel article hjemmel hjemmelen".split(),
+    "issues": "issues issue oppgaver oppgave saker sak tasks".split(), "epic": "epic epics".split(), "contains": "inneholder contains inngår tilhører".split(),
+}
+
+
 def relational_intent(text: Column) -> Column:
-    """A question about relations: which, belongs, under, part of, epic ..."""
-    words = "hvilke hvilken which tilhører belongs under epic epos del part inneholder contains relatert related bruker uses hører child children parent".split()
+    """A question about relations."""
+    return asks_for(text, RELATION_WORDS)
+
+
+def asks_for(text: Column, words: list[str]) -> Column:
     return F.arrays_overlap(word_tokens(text), F.array(*[F.lit(w) for w in words]))
 
 
@@ -227,23 +259,58 @@ def json_strings(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+def _bare(word: str) -> str:
+    return word.lower().strip(WORD_SIGNS)
+
+
 def broaden_query(q: str) -> tuple[str, str] | None:
-    """A broader query and how it was found: without the part after a conjunction, without trailing parentheses, unquoted, or
-    without the last content word. None if fewer than two words would stay."""
+    """A broader query and how it was found: the part before a conjunction, without trailing parentheses, without quotes, or
+    without the last content word and the filler before it. The first way that applies decides; None if fewer than two words
+    stay then. The plain twin of `broaden`."""
     q = q.strip()
-    tries = []
-    m = re.split(r"\s+(?:og|and|samt|eller|or)\s+", q, maxsplit=1, flags=re.I)
-    if len(m) == 2:
-        tries.append((m[0], "conjunction"))
-    p = re.sub(r"\s*\([^()]*\)\s*$", "", q)
-    if p != q:
-        tries.append((p, "parentheses"))
-    u = re.sub(r"[\"“”']", "", q)
-    if u != q:
-        tries.append((u, "unquote"))
-    w = q.split()
-    for i in range(len(w) - 1, 0, -1):
-        if w[i].lower().strip(".,?!") not in STOPWORDS:
-            tries.append((" ".join(w[:i] + w[i + 1 :]), "drop_word"))
-            break
-    return next(((t.strip(), how) for t, how in tries if len(t.split()) >= 2 and t.strip() != q), None)
+    low = q.lower()
+    for sep in CONJUNCTIONS:
+        if low.find(sep) > 0:
+            got, how = q[: low.find(sep)].strip(), "conjunction"
+            return (got, how) if len(got.split()) > 1 else None
+    m = re.search(r"\s*\([^)]*\)\s*$", q)
+    words = q.split()
+    last = max((i for i, w in enumerate(words) if _bare(w) and _bare(w) not in STOPWORDS), default=-1)
+    if m and m.start():
+        got, how = q[: m.start()].strip(), "parentheses"
+    elif '"' in q and q.replace('"', "").strip():
+        got, how = q.replace('"', "").strip(), "unquote"
+    elif len(words) > 2 and last >= 0:
+        rest = words[:last] + words[last + 1 :]
+        while rest and _bare(rest[-1]) in STOPWORDS:
+            rest.pop()
+        got, how = " ".join(rest), "drop_word"
+    else:
+        return None
+    return (got, how) if len(got.split()) > 1 else None
+
+
+def broaden(query: Column) -> Column:
+    """A broader query as struct<query, strategy>, or null; in Spark's own expressions. The rules of `broaden_query`, the
+    strategies by their names in hints: conjunction_split, trailing_parens, unquote, drop_last_word."""
+    q = F.trim(query)
+    low = F.lower(q)
+    option = lambda text, how: F.struct(F.trim(text).alias("query"), F.lit(how).alias("strategy"))
+    out = None
+    for sep in CONJUNCTIONS:
+        at = F.instr(low, sep)
+        out = F.when(at > 1, option(q.substr(F.lit(1), at - 1), "conjunction_split")) if out is None else out.when(at > 1, option(q.substr(F.lit(1), at - 1), "conjunction_split"))
+    bare = F.regexp_replace(q, r"\s*\([^)]*\)\s*$", "")
+    out = out.when((bare != q) & (F.trim(bare) != ""), option(bare, "trailing_parens"))
+    unquoted = F.replace(q, F.lit('"'), F.lit(""))
+    out = out.when((unquoted != q) & (F.trim(unquoted) != ""), option(unquoted, "unquote"))
+    words = F.split(q, r"\s+")
+    sign = "[" + re.escape(WORD_SIGNS) + "]+"
+    plain = lambda w: F.regexp_replace(F.lower(w), f"^{sign}|{sign}$", "")
+    filler = lambda w: plain(w).isin(sorted(STOPWORDS))
+    last_where = lambda ws, test: F.array_max(F.transform(ws, lambda w, i: F.when(test(w), i)))
+    last = last_where(words, lambda w: (plain(w) != "") & ~filler(w))
+    rest = F.filter(words, lambda w, i: i != last)
+    kept = F.slice(rest, F.lit(1), F.coalesce(last_where(rest, lambda w: ~filler(w)) + 1, F.lit(0)))
+    out = out.when((F.size(words) > 2) & last.isNotNull(), option(F.array_join(kept, " "), "drop_last_word"))
+    return F.when(F.size(F.split(out["query"], r"\s+")) > 1, out)

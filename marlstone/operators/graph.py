@@ -44,25 +44,43 @@ def provenance(nodes: DataFrame, manifests: DataFrame) -> DataFrame:
 # Detection and answers ---------------------------------------------------------------------------------------------------
 
 
-def detect_entities(texts: DataFrame, nodes: DataFrame, id: str = "text_id", text: str = "text", label_words: int = 6) -> DataFrame:
-    """Nodes that texts mention: text_id, node_id, position (characters from 0, first place of the node).
+#: Words of a label that are looked up; of longer labels the rest is compared where these were found.
+GRAM_WORDS = 6
 
-    Codes come by pattern; labels of nodes `entity:...` of at least three letters as whole words, whatever the case. Labels
-    are matched by words: text n-grams up to the longest label (at most `label_words`) join the labels' words, so no text is
-    tested against every label.
+
+def detect_entities(texts: DataFrame, nodes: DataFrame, id: str = "text_id", text: str = "text") -> DataFrame:
+    """Nodes that texts mention: text_id, node_id, kind_no, position, span (of the first place). Their order is that of kind_no,
+    position and node_id: kinds of codes in the order of ENTITY_PATTERNS, then labels.
+
+    Codes come by pattern; position counts the codes of a kind. Labels of nodes `entity:...` of at least three characters are
+    found as whole words, whatever the case; position is that of the first word. They are looked up by words: text n-grams of
+    the lengths that labels have, at most GRAM_WORDS, join the labels' first words, and what was found is compared with the
+    whole label, of any length. So no text is tested against every label. Labels without a letter or digit aren't found.
+    Null texts mention nothing; repeated text ids count as one text.
     """
     base = spread(texts.select(F.col(id).alias("text_id"), F.col(text).alias("t")).filter("t is not null"))
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), tx.entity_codes(F.col("t"), k).alias("codes")) for k in tx.ENTITY_PATTERNS])
-    codes = base.select("text_id", "t", F.explode(kinds).alias("x")).select("text_id", "t", F.explode("x.codes").alias("code"))
-    prefixed = codes.select("text_id", F.instr(F.upper("t"), F.col("code")).alias("position"), F.explode(F.array(F.col("code"), F.concat(F.lit("epic:"), F.col("code")), F.concat(F.lit("issue:"), F.col("code")))).alias("node_id"))
-    by_code = join_small(prefixed, nodes.select(F.col("id").alias("node_id")), ["node_id"], "inner").select("text_id", "node_id", (F.col("position") - 1).alias("position"))
-    norm = lambda c: F.array_join(tx.word_tokens(c), " ")
-    labels = nodes.filter(F.col("id").startswith("entity:") & (F.length("label") >= 3)).select(F.col("id").alias("node_id"), norm(F.col("label")).alias("gram"), F.size(tx.word_tokens(F.col("label"))).alias("n")).filter(F.col("n").between(1, label_words))
-    words = base.select("text_id", tx.word_tokens(F.col("t")).alias("w"))
-    grams = words.select("text_id", "w", F.explode(F.sequence(F.lit(1), F.lit(label_words))).alias("n")).filter(F.size("w") >= F.col("n"))
-    grams = grams.select("text_id", F.posexplode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - F.col("n")), lambda i: F.array_join(F.slice("w", i + 1, F.col("n")), " ")))).alias("position", "gram"))
-    by_label = join_small(grams, labels.select("gram", "node_id"), ["gram"], "inner").select("text_id", "node_id", "position")
-    return by_code.unionByName(by_label).groupBy("text_id", "node_id").agg(F.min("position").alias("position"))
+    kinds = F.array(*[F.struct(F.lit(n).alias("kind_no"), F.lit(k == "article").alias("each"), tx.entity_candidates(F.col("t"), k).alias("found")) for n, k in enumerate(tx.ENTITY_PATTERNS)])
+    codes = base.select("text_id", F.inline(kinds)).select("text_id", "kind_no", "each", F.posexplode("found").alias("position", "f")).select("text_id", "kind_no", "each", "position", "f.span", F.posexplode("f.ids").alias("choice", "node_id"))
+    known = join_small(codes, nodes.select(F.col("id").alias("node_id")).distinct(), ["node_id"], "inner")
+    best = F.min("choice").over(Window.partitionBy("text_id", "kind_no", "position"))  # at most two choices each
+    by_code = known.withColumn("_best", best).filter(F.col("each") | (F.col("choice") == F.col("_best"))).select("text_id", "node_id", "kind_no", (F.col("position") * 2 + F.col("choice")).alias("position"), "span")
+    labels = nodes.filter(F.col("id").startswith("entity:") & (F.length("label") >= 3)).select(F.col("id").alias("node_id"), "label", tx.word_tokens(F.col("label")).alias("_l"))
+    labels = labels.filter(F.size("_l") > 0).select("node_id", "label", F.array_join(F.slice("_l", 1, GRAM_WORDS), " ").alias("gram"), F.least(F.size("_l"), F.lit(GRAM_WORDS)).alias("n"))
+    sizes = sorted(r[0] for r in labels.select("n").distinct().collect())  # at most GRAM_WORDS numbers
+    if not sizes:
+        return _first_mentions(by_code)
+    words = base.select("text_id", tx.word_tokens(F.col("t")).alias("w")).select("text_id", "w", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n")).filter(F.size("w") >= F.col("n"))
+    grams = words.select("text_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - F.col("n")), lambda i: F.array_join(F.slice("w", i + 1, F.col("n")), " "))).alias("position", "gram"))
+    hits = join_small(grams.groupBy("text_id", "gram").agg(F.min("position").alias("position")), labels.select("gram", "node_id", "label"), ["gram"], "inner")
+    literal = F.replace("label", F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    span = F.regexp_substr("t", F.concat(F.lit(r"(?iU)(?<!\w)\Q"), literal, F.lit(r"\E(?!\w)")))
+    by_label = hits.join(base, "text_id").withColumn("span", span).filter("span is not null")
+    return _first_mentions(by_code.unionByName(by_label.select("text_id", "node_id", F.lit(len(tx.ENTITY_PATTERNS)).alias("kind_no"), "position", "span")))
+
+
+def _first_mentions(found: DataFrame) -> DataFrame:
+    first = found.groupBy("text_id", "node_id").agg(F.min(F.struct("kind_no", "position", "span")).alias("_f"))
+    return first.select("text_id", "node_id", "_f.*")
 
 
 def neighbours(edges: DataFrame, types: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
-from marlstone.operators import graph, retrieval as rt
+from marlstone.operators import graph, knowledge, retrieval as rt
 from marlstone.plans import join_small, staged
 
 # How many rows the stages ask for.
@@ -33,13 +33,14 @@ def wants_reranking(query: Column, has_reranker: bool, opted_out: bool = False)
     return ~((F.size(words) >= 3) & (F.size(F.array_intersect(words, english)) > F.size(F.array_intersect(words, nordic))))
 
 
-def augment_queries(queries: DataFrame, nodes: DataFrame, edges: DataFrame, terms: int = 5) -> DataFrame:
-    """Queries with the labels of their entities' neighbours added: query_id, query, expanded, entities, answer."""
+def augment_queries(queries: DataFrame, nodes: DataFrame, edges: DataFrame, terms: int = knowledge.EXPANSION_TERMS) -> DataFrame:
+    """Queries (query_id, query) with the search terms of the nodes they mention: query_id, query, expanded, entities (in the
+    order of their mention), answer. Queries that mention nothing stay as they are, with null entities."""
     texts = queries.select(F.col("query_id").alias("text_id"), F.col("query").alias("text"))
     found = staged(graph.detect_entities(texts, nodes))
-    more = graph.expansion_terms(found, nodes, edges, terms)
-    answers = graph.answer_questions(texts, found, nodes, edges)
-    ids = found.groupBy("text_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "node_id"))), lambda x: x["node_id"]).alias("entities"))
+    more = knowledge.typed_terms(found, nodes, edges, terms)
+    answers = knowledge.typed_answers(texts, found, nodes, edges)
+    ids = found.groupBy("text_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("kind_no", "position", "node_id"))), lambda x: x["node_id"]).alias("entities"))
     j = queries.join(ids.withColumnRenamed("text_id", "query_id"), "query_id", "left").join(more.withColumnRenamed("text_id", "query_id"), "query_id", "left").join(answers.withColumnRenamed("text_id", "query_id"), "query_id", "left")
     return j.select("query_id", "query", F.concat_ws(" ", "query", F.array_join("terms", " ")).alias("expanded"), "entities", "answer")
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -48,7 +50,8 @@ def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only where none is set, a temporary one of this machine (tests)."""
+    """The shared folder of the cluster. Where none is set, a temporary one of this machine, in local mode only: the executors
+    of a cluster couldn't read it."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     held = sc._jsc.sc().getCheckpointDir()
@@ -57,6 +60,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if not held.isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="marlstone-")
         atexit.register(shutil.rmtree, own, True)
         sc.setCheckpointDir(own)
@@ -76,6 +81,37 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def content_key(df: DataFrame) -> str | None:
+    """A key of what a frame reads and does: its files with their sizes and times, and its plan. None where it reads no files."""
+    files = df.inputFiles()
+    if not files:
+        return None
+    spark = df.sparkSession
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    seen = []
+    for f in sorted(files):
+        status = path(f).getFileSystem(conf).getFileStatus(path(f))
+        seen.append((f, status.getLen(), status.getModificationTime()))
+    return hashlib.sha256(repr((seen, df._jdf.queryExecution().analyzed().canonicalized().toString())).encode()).hexdigest()[:32]
+
+
+def kept(df: DataFrame, name: str, key: str | None) -> DataFrame:
+    """As `staged`, but once for each key: a later call with the same name and key reads what was written, also in another
+    session that shares the folder. Two writers at once write the same; the table is complete once it has its success mark."""
+    if key is None:
+        return staged(df)
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/marlstone-kept-{name}-{key}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path(folder, "_SUCCESS")):
+        own = f"{folder}.{uuid.uuid4().hex}"
+        df.write.parquet(own)
+        if not fs.rename(path(own), path(folder)) or fs.exists(path(folder, own.rsplit("/", 1)[1])):
+            return spark.read.parquet(own if fs.exists(path(own)) else f"{folder}/{own.rsplit('/', 1)[1]}")
+    return spark.read.parquet(folder)
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a side that is usually small: it is counted, broadcast up to `rows` rows, else shuffled
     (AQE then splits hot keys). `small` should be cheap to count (a file, or cut)."""
@@ -89,11 +125,14 @@ def with_fields(schema: StructType, ddl: str) -> StructType:
 
 def hash_sample(df: DataFrame, rows: int, id: list[str]) -> DataFrame:
     """About `rows` rows of `df` (all, if it has no more), the same in every run: those whose id hashes low enough. The id
-    should be unique, so that no repeated value is drawn as a block; twice the rows are never exceeded."""
+    must be nearly unique: values that repeat so often that more than twice the rows would be drawn are an error."""
     n = df.count()
     if n <= rows:
         return df
-    return df.filter(F.pmod(F.xxhash64(*id), F.lit(1 << 40)) < int((1 << 40) * (rows / n))).limit(2 * rows)
+    drawn = df.filter(F.pmod(F.xxhash64(*id), F.lit(1 << 40)) < int((1 << 40) * (rows / n)))
+    if drawn.limit(2 * rows + 1).count() > 2 * rows:
+        raise ValueError(f"{id} repeats too often for a sample by hash")
+    return drawn
 
 
 def ship(spark: SparkSession) -> None:
