@@ -40,8 +40,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
             have = found.setdefault(s, [])
             if not have or have[0].bit_count() == weight:
                 have.append(sum(1 << b for b in bits))
-    errors = np.array([(found[s] * 6)[:6] if len(found[s]) < 6 else found[s][:6] for s in range(4096)], np.int64)
-    low, high = np.zeros(4096, np.int64), np.zeros(4096, np.int64)
+    errors = np.array([(found[s] * 6)[:6] if len(found[s]) < 6 else found[s][:6] for s in range(4096)], np.int32)
+    low, high = np.zeros(4096, np.int32), np.zeros(4096, np.int32)
     for w in range(4096):
         for b in range(12):
             if w >> b & 1:
@@ -59,24 +59,25 @@ def nearest(soft: np.ndarray, count: int) -> np.ndarray:
     errors, half = _tables()
     n = len(soft)
     size = np.abs(soft).astype(np.float32)
-    word = ((soft > 0) @ (1 << np.arange(24, dtype=np.int64))).astype(np.int64)
+    word = ((soft > 0).astype(np.float32) @ (2.0 ** np.arange(24)).astype(np.float32)).astype(np.int32)
     weak = np.argpartition(size, 3, axis=1)[:, :3]
-    flips = np.zeros((n, 8), np.int64)
+    flips = np.zeros((n, 8), np.int32)
     for k in range(8):
         for j in range(3):
             if k >> j & 1:
-                flips[:, k] ^= np.int64(1) << weak[:, j]
+                flips[:, k] ^= np.int32(1) << weak[:, j].astype(np.int32)
     tried = word[:, None] ^ flips
     error = errors[half[0][tried & 0xFFF] ^ half[1][tried >> 12]]  # n x 8 x 6
-    error = (error ^ flips[:, :, None]).reshape(n, 48)
-    index = ((word[:, None] ^ error) >> 12) & 0xFFF
-    # the weight of a pattern: two lookups of 12 bits would need a table a row; six of four bits need 16 sums each
-    nibble = size.reshape(n, 6, 4) @ ((np.arange(16)[None, :] >> np.arange(4)[:, None]) & 1).astype(np.float32)  # n x 6 x 16
-    rows = np.arange(n)[:, None]
-    loss = sum(nibble[rows, q, (error >> (4 * q)) & 15] for q in range(6))
-    order = np.argsort(index + loss * 0, axis=1, kind="stable")
-    index, loss = np.take_along_axis(index, order, 1), np.take_along_axis(loss, order, 1)
-    loss[:, 1:][index[:, 1:] == index[:, :-1]] = np.inf  # the same codeword has the same loss
-    best = np.argpartition(loss, count - 1, axis=1)[:, :count]
-    got = np.take_along_axis(loss, best, 1)
-    return np.where(np.isinf(got), -1, np.take_along_axis(index, best, 1))
+    error = (error ^ flips[:, :, None]).reshape(n, -1)
+    index = (word[:, None] ^ error) >> 12
+    # the weight of a pattern: four lookups of 6 bits in the row's own tables
+    table = (size.reshape(-1, 6) @ ((np.arange(64)[None, :] >> np.arange(6)[:, None]) & 1).astype(np.float32)).ravel()
+    at, base = error.astype(np.intp), (np.arange(n) * 256)[:, None]
+    loss = sum(table.take(base + (64 * q) + (at >> (6 * q) & 63)) for q in range(4))
+    out, rows = np.full((n, count), -1, np.int64), np.arange(n)
+    for k in range(count):  # a codeword taken isn't taken again
+        best = loss.argmin(1)
+        own = index[rows, best]
+        out[:, k] = np.where(np.isinf(loss[rows, best]), -1, own)
+        loss[index == own[:, None]] = np.inf
+    return out

@@ -1,14 +1,16 @@
 """Near duplicates: Golay-code fuzzy hashing finds candidates, exact shingle sets verify them.
 
 A document's fingerprint is a sum of random signs over its word pairs, cut into segments of 24 numbers. Each segment is
-decoded to its nearest Golay codewords, which tolerates the bits that a few edits flip; a key joins the codewords of two
+decoded to its nearest Golay codewords, which tolerates the bits that a few edits flip; a key joins the codewords of some
 segments. By the pigeonhole principle, edits that spoil some segments leave others whole, so similar documents share a key
-of some pair of segments. Candidates are verified on the exact sets of three-word shingles.
+of some group of segments. How many segments make a key, and how many groups there are, follows from the documents' number
+and the threshold. Candidates are verified on the exact sets of shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +20,12 @@ from pyspark.sql import functions as F
 from marlstone.llm import golay
 from marlstone.plans import cut, spread, staged
 
-#: Pairs of segments, and codewords kept per segment: each pair gives CODEWORDS**2 keys.
-PAIRS, CODEWORDS = 16, 3
-#: Candidates whose 128-bit sketches differ in more bits aren't verified (unrelated texts differ in about 61, texts at the threshold in about 25).
-SKETCH_BITS = 50
-BATCH = 256
+#: The chance with which a pair right at the threshold is found, and the most segments of a fingerprint.
+RECALL, MOST_SEGMENTS = 0.95, 128
+#: Bits of the sketch of a document's shingles, by which candidates are dropped that can't reach the threshold.
+SKETCH_BITS = 256
+#: Documents fingerprinted at once, and shingles of them.
+BATCH, CHUNK = 256, 1 << 16
 #: Stands for a null group inside the operator.
 NULL_GROUP = "\0null"
 
@@ -32,10 +35,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-def shingles(w: Column, n: int) -> Column:
-    """The distinct hashes of n consecutive words; none for fewer words."""
-    at = F.sequence(F.lit(0), F.size(w) - n)
-    return F.when(F.size(w) >= n, F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])))).otherwise(F.array().cast("array<bigint>"))
+def shingles(h: Column, n: int) -> Column:
+    """The distinct hashes of n consecutive words, of the words' hashes; none for fewer words."""
+    at = F.sequence(F.lit(0), F.size(h) - n)
+    return F.when(F.size(h) >= n, F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)])))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -45,51 +48,103 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprints(hashes: np.ndarray, ends: np.ndarray, segments: int) -> np.ndarray:
-    """Per document (its hashes end at ends[i]) the sums of random signs, documents x segments x 24."""
-    seeds = -(-segments * 24 // 64)
-    bits = np.stack([_mix(hashes, s) for s in range(seeds)], 1)
-    signs = np.unpackbits(bits.view(np.uint8), axis=1)[:, : segments * 24]
-    sums = np.zeros((len(ends), segments * 24), np.float32)
-    start = 0
-    for i, end in enumerate(ends):
-        if end > start:
-            sums[i] = signs[start:end].sum(0, dtype=np.int32) * 2.0 - (end - start)
-        start = end
-    return sums.reshape(len(ends), segments, 24)
-
-
-def _keys(pairs: int, codewords: int):
+def fingerprints(hashes: np.ndarray, ends: np.ndarray, bits: int) -> np.ndarray:
+    """Per document (its hashes end at ends[i]) the sums of random signs, documents x bits. Long documents are summed in parts."""
+    sums = np.zeros((len(ends), bits), np.float32)
+    seeds = range(-(-bits // 64))
+    start = np.concatenate([[0], ends[:-1]])
+    for at in range(0, int(ends[-1]) if len(ends) else 0, CHUNK):
+        to = min(at + CHUNK, int(ends[-1]))
+        own = hashes[at:to]
+        signs = np.unpackbits(np.stack([_mix(own, s) for s in seeds], 1).view(np.uint8), axis=1)[:, :bits]
+        first = int(np.searchsorted(ends, at, "right"))
+        for i in range(first, len(ends)):
+            a, b = max(int(start[i]), at), min(int(ends[i]), to)
+            if a >= to:
+                break
+            if b > a:
+                sums[i] += signs[a - at : b - at].sum(0, dtype=np.int32) * 2.0 - (b - a)
+    return sums
+
+
+@cache
+def shared_codeword(cosine: float, codewords: int) -> float:
+    """The chance that two segments of documents of this cosine have a codeword in common, by simulation."""
+    rng = np.random.default_rng(0)
+    a = rng.standard_normal((4000, 24)).astype(np.float32)
+    b = cosine * a + (1 - cosine**2) ** 0.5 * rng.standard_normal(a.shape).astype(np.float32)
+    x, y = golay.nearest(a, codewords), golay.nearest(b, codewords)
+    return float(((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0)).any((1, 2)).mean())
+
+
+def plan_keys(documents: int, threshold: float, recall: float = RECALL) -> tuple[int, int, int]:
+    """(segments a key, keys' segment groups, codewords a segment) that find a pair at the threshold with at least this chance
+    at the least cost: the keys' rows, and the pairs that meet by chance, which grow with the square of the documents (counted
+    twice, as the texts of one collection share some words)."""
+    c = cosine_of(threshold)
+    best = None
+    for codewords in (2, 3):
+        p, q = shared_codeword(round(c, 3), codewords), codewords**2 / 4096
+        for width in (1, 2, 3, 4):
+            groups = max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - p**width))))
+            if groups * width > MOST_SEGMENTS:
+                continue
+            cost = documents * groups * (codewords**width + width) + documents**2 * groups * q**width
+            if best is None or cost < best[0]:
+                best = (cost, width, groups, codewords)
+    if best is None:
+        raise ValueError("no plan finds pairs of so low a threshold; lower the recall")
+    return best[1:]
+
+
+def cosine_of(threshold: float) -> float:
+    """The least cosine of two sets whose intersection is this share of their union."""
+    return 2 * threshold / (1 + threshold)
+
+
+def sketch_limit(threshold: float, bits: int = SKETCH_BITS) -> int:
+    """Differing bits of two sketches of sets at the threshold, and six standard deviations more: of a billion pairs one is
+    over it by chance. The sketch is made of the very sets that are verified, so the bound holds for any texts."""
+    p = float(np.arccos(cosine_of(threshold)) / np.pi)
+    return int(np.ceil(bits * p + 6 * (bits * p * (1 - p)) ** 0.5))
+
+
+def _keys(width: int, groups: int, codewords: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 b = whole.slice(at, BATCH)
-                lists = b.column("_pairs")
-                offsets = np.asarray(lists.offsets)
-                flat = np.asarray(lists.values)[offsets[0] : offsets[-1]].view(np.uint64)
-                sums = fingerprints(flat, offsets[1:] - offsets[0], 2 * pairs)
-                n = len(sums)
-                near = golay.nearest(sums.reshape(-1, 24) + 1e-3, codewords).reshape(n, pairs, 2, codewords)
-                keys = near[:, :, 0, :, None] << 12 | near[:, :, 1, None, :] | (np.arange(pairs) << 24)[None, :, None, None]
-                keys = np.where((near[:, :, 0, :, None] < 0) | (near[:, :, 1, None, :] < 0), -1, keys).reshape(n, -1)
-                sketch = np.packbits(sums.reshape(n, -1)[:, :128] > 0, axis=1).view(np.int64)
-                kept = keys >= 0
+                flat = {}
+                for c in ("_pairs", "_set"):
+                    offsets = np.asarray(b.column(c).offsets)
+                    flat[c] = np.asarray(b.column(c).values)[offsets[0] : offsets[-1]].view(np.uint64), offsets[1:] - offsets[0]
+                n = b.num_rows
+                near = golay.nearest(fingerprints(*flat["_pairs"], groups * width * 24).reshape(-1, 24) + 1e-3, codewords).reshape(n, groups, width, codewords)
+                keys, known = np.zeros((n, groups, 1), np.int64), np.ones((n, groups, 1), bool)
+                for k in range(width):  # 12 bits a segment; every choice of one codeword of each
+                    own = near[:, :, k, :]
+                    keys = (keys[..., None] << 12 | np.maximum(own, 0)[:, :, None, :]).reshape(n, groups, -1)
+                    known = (known[..., None] & (own >= 0)[:, :, None, :]).reshape(n, groups, -1)
+                keys = keys | (np.arange(groups, dtype=np.int64) << (12 * width))[None, :, None]
+                keys, kept = keys.reshape(n, -1), known.reshape(n, -1)
+                sketch = np.packbits(fingerprints(*flat["_set"], SKETCH_BITS) > 0, axis=1).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(kept.sum(1))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("_n"), b.column("_g"), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[kept])), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy())],
-                    names=["_n", "_g", "_keys", "_s1", "_s2"],
+                    [b.column("_n"), b.column("_g"), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[kept])), *[pa.array(sketch[:, k].copy()) for k in range(SKETCH_BITS // 64)]],
+                    names=["_n", "_g", "_keys", *[f"_s{k}" for k in range(SKETCH_BITS // 64)]],
                 )
 
     return run
 
 
-def near_duplicates(df: DataFrame, id: str, text: str, group: str | None = None, threshold: float = 0.8, size: int = 5, least_words: int = 20, pairs: int = PAIRS, codewords: int = CODEWORDS) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, id: str, text: str, group: str | None = None, threshold: float = 0.8, size: int = 5, least_words: int = 20, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """Classes of equal word sequences, and the links between classes.
 
     df: rows with a unique `id` (long) and a `text`; rows are only compared within one value of `group` (null counts as
     a value). Words are the longest runs of letters and digits, lower-cased; texts under `least_words` words (null and
     empty ones too) are in no class. Two classes are linked if their sets of `size` consecutive words have an intersection
-    of at least `threshold` of their union. Candidates come from Golay keys; no cap applies to a key's documents.
+    of at least `threshold` of their union. Candidates come from Golay keys, planned so that a pair right at the threshold is
+    found with the chance `recall`, more similar ones nearly always; no cap applies to a key's documents.
 
     Result: members (group, id, rep: the least id of the class), links (group, rep_a, rep_b, similarity; rep_a < rep_b).
     An empty input gives empty results; other columns don't matter.
@@ -97,32 +152,35 @@ def near_duplicates(df: DataFrame, id: str, text: str, group: str | None = None,
     least_words = max(least_words, size)
     named = F.coalesce(F.col(group).cast("string"), F.lit(NULL_GROUP)) if group else F.lit("")
     base = spread(df.select(named.alias("_g"), F.col(id).cast("bigint").alias("_id"), F.col(text).alias("_text")).filter("_id is not null"))
-    w = base.withColumn("_w", words(F.col("_text"))).filter(F.size("_w") >= least_words)
-    w = staged(w.select("_g", "_id", F.md5(F.concat_ws(" ", "_w")).alias("_md5"), shingles(F.col("_w"), size).alias("_set"), shingles(F.col("_w"), 2).alias("_pairs")))
+    w = base.withColumn("_w", words(F.col("_text"))).filter(F.size("_w") >= least_words).withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
+    w = staged(w.select("_g", "_id", F.md5(F.concat_ws(" ", "_w")).alias("_md5"), shingles(F.col("_h"), size).alias("_set"), shingles(F.col("_h"), 2).alias("_pairs")))
     reps = w.groupBy("_g", "_md5").agg(F.min("_id").alias("_rep"))
     members = w.select("_g", "_id", "_md5").join(reps, ["_g", "_md5"]).select("_g", "_id", "_rep")
     # classes get numbers of their own: keys and pairs, of which there are many, are then two longs a row
     own = w.drop("_md5").join(reps.select("_g", F.col("_rep").alias("_id")), ["_g", "_id"], "left_semi")
     own = staged(own.withColumn("_n", F.monotonically_increasing_id()))
-    keyed = staged(own.select("_n", "_g", "_pairs").mapInArrow(_keys(pairs, codewords), "_n long, _g string, _keys array<bigint>, _s1 long, _s2 long"))
+    width, groups, codewords = plan_keys(own.count(), threshold, recall)
+    sketches = [f"_s{k}" for k in range(SKETCH_BITS // 64)]
+    keyed = staged(own.select("_n", "_g", "_pairs", "_set").mapInArrow(_keys(width, groups, codewords), "_n long, _g string, _keys array<bigint>, " + ", ".join(f"{s} long" for s in sketches)))
     # the group as four bits of the key: small numbers stay compressible; pairs of two groups that share them are dropped below
-    rows = keyed.select("_n", F.explode("_keys").alias("_key"), F.pmod(F.xxhash64("_g"), F.lit(16)).alias("_x")).select("_n", (F.col("_x") * (1 << 28) + F.col("_key")).alias("_key"))
+    rows = keyed.select("_n", F.explode("_keys").alias("_key"), F.pmod(F.xxhash64("_g"), F.lit(16)).alias("_x")).select("_n", (F.shiftleft("_key", 4) + F.col("_x")).alias("_key"))
     pair = rows.withColumnRenamed("_n", "_a").join(rows.withColumnRenamed("_n", "_b"), "_key").filter("_a < _b").select("_a", "_b").distinct()
     for x in ("_a", "_b"):
-        pair = pair.join(keyed.select(F.col("_n").alias(x), F.col("_s1").alias(f"{x}1"), F.col("_s2").alias(f"{x}2")), x)
-    differ = F.bit_count(F.col("_a1").bitwiseXOR(F.col("_b1"))) + F.bit_count(F.col("_a2").bitwiseXOR(F.col("_b2")))
-    pair = pair.filter(differ <= SKETCH_BITS).select("_a", "_b")
+        pair = pair.join(keyed.select(F.col("_n").alias(x), F.col("_g").alias(f"{x}_g"), *[F.col(s).alias(f"{x}{s}") for s in sketches]), x)
+    differ = sum((F.bit_count(F.col(f"_a{s}").bitwiseXOR(F.col(f"_b{s}"))) for s in sketches), F.lit(0))
+    pair = staged(pair.filter((F.col("_a_g") == F.col("_b_g")) & (differ <= sketch_limit(threshold))).select("_a", "_b"))
     for x in ("_a", "_b"):
         pair = pair.join(own.select(F.col("_n").alias(x), F.col("_g").alias(f"{x}_g"), F.col("_id").alias(f"{x}_id"), F.col("_set").alias(f"{x}_set")), x)
     both = F.size(F.array_intersect("_a_set", "_b_set"))
-    links = pair.filter("_a_g = _b_g").select(F.col("_a_g").alias("_g"), F.least("_a_id", "_b_id").alias("rep_a"), F.greatest("_a_id", "_b_id").alias("rep_b"), (both / (F.size("_a_set") + F.size("_b_set") - both)).alias("similarity")).filter(F.col("similarity") >= threshold)
+    links = pair.select(F.col("_a_g").alias("_g"), F.least("_a_id", "_b_id").alias("rep_a"), F.greatest("_a_id", "_b_id").alias("rep_b"), (both / (F.size("_a_set") + F.size("_b_set") - both)).alias("similarity")).filter(F.col("similarity") >= threshold)
     name = F.nullif(F.col("_g"), F.lit(NULL_GROUP)).alias(group or "group")
     return members.select(name, F.col("_id").alias("id"), F.col("_rep").alias("rep")), links.select(name, "rep_a", "rep_b", "similarity")
 
 
-def components(links: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, rounds: int = 200) -> DataFrame:
     """Connected components of the undirected graph of `links` by alternating large and small stars (node, component: the
-    least node). Each round is cut to the checkpoint folder; it ends when a round changes nothing."""
+    least node). Each round is cut to the checkpoint folder; it ends when a round changes nothing. The rounds grow with the
+    logarithm of the nodes; a graph that isn't done after `rounds` of them is an error."""
     e = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
     if e.limit(1).count() == 0:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -138,5 +196,5 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
         same = now.count() == e.count() and now.join(e, ["u", "v"], "left_anti").limit(1).count() == 0
         e = now
         if same:
-            break
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    raise RuntimeError(f"components aren't found after {rounds} rounds")

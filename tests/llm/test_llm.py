@@ -75,6 +75,68 @@ def test_near_duplicates_by_group_and_of_nothing(spark):
     assert members.count() == links.count() == 0
 
 
+def block_edits(rng, base, threshold, size):
+    """The longest run of new words in the text, put in or put over others, that keeps the similarity at the threshold."""
+    sets = lambda w: set(zip(*[w[k:] for k in range(size)]))
+    one, out = sets(base), {}
+    for kind in ("over", "in"):
+        at = rng.randrange(5, len(base) // 2)
+        for n in range(1, len(base)):
+            t = base[:at] + [f"n{rng.randrange(10**9)}" for _ in range(n)] + base[at + (n if kind == "over" else 0) :]
+            if len(one & sets(t)) < threshold * len(one | sets(t)):
+                break
+            out[kind] = t
+    return [t for t in out.values()]
+
+
+@pytest.mark.parametrize("threshold,size", [(0.6, 3), (0.8, 5)])
+def test_block_edits_right_at_the_threshold(spark, threshold, size):
+    """The hardest pairs: the planned keys find them with the chance they are planned for."""
+    rng = random.Random(2)
+    rows, pairs = [], 0
+    for _ in range(150):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(40, 160))]
+        rows.append(base)
+        edits = block_edits(rng, base, threshold, size)
+        rows += edits
+    texts = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    want = {(a, b) for a, b in brute_pairs(texts, size, threshold, 20)}
+    _, links = nd.near_duplicates(spark.createDataFrame(texts, "id long, t string"), "id", "t", threshold=threshold, size=size)
+    got = {(r["rep_a"], r["rep_b"]) for r in links.collect()}
+    assert got <= want and len(want) >= 250 and len(got) >= (nd.RECALL - 0.03) * len(want)
+
+
+def test_no_pair_at_the_threshold_is_over_the_limit_of_sketches():
+    rng = np.random.default_rng(3)
+    for threshold in (0.6, 0.8):
+        limit, most = nd.sketch_limit(threshold), 0
+        for _ in range(300):
+            n = int(rng.integers(20, 200))
+            shared, own = rng.integers(0, 2**63, n), rng.integers(0, 2**63, int(n / threshold) - n)
+            a, b = shared.astype(np.uint64), np.concatenate([shared, own]).astype(np.uint64)
+            s = nd.fingerprints(np.concatenate([a, b]), np.array([len(a), len(a) + len(b)]), nd.SKETCH_BITS) > 0
+            most = max(most, int((s[0] != s[1]).sum()))
+        assert most <= limit < nd.SKETCH_BITS * 0.42
+
+
+def test_long_documents_are_summed_in_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 2**63, 1000).astype(np.uint64)
+    ends = np.array([0, 3, 3, 700, 1000])
+    whole = nd.fingerprints(h, ends, 128)
+    monkeypatch.setattr(nd, "CHUNK", 7)
+    assert np.array_equal(whole, nd.fingerprints(h, ends, 128)) and not whole[0].any() and not whole[2].any()
+
+
+def test_keys_widen_with_the_documents():
+    for threshold in (0.6, 0.8):
+        plans = [nd.plan_keys(n, threshold) for n in (100, 10**5, 10**8)]
+        assert plans[0][0] <= plans[1][0] <= plans[2][0] and plans[0][0] < plans[2][0]
+        for width, groups, codewords in plans:
+            p = nd.shared_codeword(round(nd.cosine_of(threshold), 3), codewords)
+            assert 1 - (1 - p**width) ** groups >= nd.RECALL
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 12)] + [(20, 21), (30, 30)], "a long, b long")
     got = {r["node"]: r["component"] for r in nd.components(e, "a", "b").collect()}
