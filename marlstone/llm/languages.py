@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from marlstone.plans import hash_sample, spread, with_fields
 
 ORDER = 4
-#: Bounds of the training sample: texts drawn by hash, characters read of each, and letters kept per language.
-SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_LETTERS = 4_000, 6_000, 120_000
+#: Bounds of the training sample: texts drawn by hash, which are read whole, and letters of their segments, drawn at random, per language.
+SAMPLE_TEXTS, SAMPLE_LETTERS = 4_000, 120_000
 #: A segment counts with this many words and this lead in bits over the runner-up; an unbroken run of more than LONG words is cut every CHUNK
 #: (its pieces need twice the lead, as they may straddle two languages).
 WORDS, LEAD, LONG, CHUNK = 5, 14.0, 45, 15
@@ -235,9 +235,8 @@ def fit(langs: list[str], parts: list[list[np.ndarray]]) -> Model:
 
 def train(texts: DataFrame, id: list[str], common_words: DataFrame) -> Model:
     """The model of a bounded sample of `texts` (the id columns, unique together, text, lang): texts whose doubtful label agrees with the frequent words, then
-    with the model so far. about SAMPLE_TEXTS texts drawn by hash, of each the first SAMPLE_CHARS
-    characters (training only; every text is later read whole). common_words: lang, word."""
-    t = texts.filter("text is not null").select(*id, F.substring("text", 1, SAMPLE_CHARS).alias("x"), label_language(F.col("lang")).alias("label"))
+    with the model so far. About SAMPLE_TEXTS texts are drawn by hash and read whole. common_words: lang, word."""
+    t = texts.filter("text is not null").select(*id, F.col("text").alias("x"), label_language(F.col("lang")).alias("label"))
     rows = sorted(hash_sample(t, SAMPLE_TEXTS, id).select("x", "label").collect(), key=lambda r: (r[0], r[1] or ""))
     np.random.default_rng(0).shuffle(rows)
     sample, labels = [r[0] for r in rows], [r[1] for r in rows]
@@ -267,7 +266,7 @@ def train(texts: DataFrame, id: list[str], common_words: DataFrame) -> Model:
         best = score.argmax(1)
         out = [list(x) for x in own_words]
         size = [0] * len(langs)
-        for i in np.nonzero(agreed[s.text] & (s.words >= 3))[0]:
+        for i in np.random.default_rng(0).permutation(np.nonzero(agreed[s.text] & (s.words >= 3))[0]):
             k = label[s.text[i]]
             if size[k] <= SAMPLE_LETTERS and score[i, k] >= score[i, best[i]]:
                 out[k].append(pieces[i])

@@ -125,7 +125,8 @@ def is_national_id(d: str) -> bool:
 class NameModel:
     """Naive Bayes over the beginnings and endings of words: given names, family names, other words."""
 
-    def __init__(self, names: list[str], texts: list[str]):
+    def __init__(self, names: list[str], words: list[str]):
+        """names: full names; words: different words of texts, of any kind."""
         given, family = Counter(), Counter()
         for n in names:
             t = [x for x in n.split() if len(x.rstrip(".")) > 1]
@@ -134,8 +135,7 @@ class NameModel:
                     given[g.lower()] = 1
                 for f in t[-1].split("-"):
                     family[f.lower()] = 1
-        other = Counter(w.lower() for x in texts for w in re.findall(r"[^\W\d_]{2,}", x))
-        other = Counter({w: 1 for w in other if w not in given and w not in family})
+        other = Counter({w: 1 for w in set(words) if w not in given and w not in family})
         self.words = {"g": frozenset(given), "f": frozenset(family)}
         self.counts = {k: Counter(f for w in c for f in self._features(w)) for k, c in (("g", given), ("f", family), ("o", other))}
         self.n = {"g": len(given), "f": len(family), "o": len(other)}
@@ -217,11 +217,12 @@ def find(text: str, names: NameModel) -> list[tuple[str, int, int]]:
 
 
 def train_names(names: DataFrame, texts: DataFrame, id: list[str]) -> NameModel:
-    """The model of a bounded sample: about NAME_SAMPLE distinct names and TEXT_SAMPLE texts, drawn by hash.
-    names: a frame of one column; texts: the id columns, unique together, and text."""
+    """The model of a bounded sample: about NAME_SAMPLE distinct names, and the different words of about TEXT_SAMPLE whole
+    texts, drawn by hash. names: a frame of one column; texts: the id columns, unique together, and text."""
     n = names.toDF("x").filter("x is not null").distinct()
-    t = texts.filter("text is not null").select(*id, F.substring("text", 1, 4000).alias("x"))
-    return NameModel(sorted(r[0] for r in hash_sample(n, NAME_SAMPLE, ["x"]).collect()), sorted(r[0] for r in hash_sample(t, TEXT_SAMPLE, id).select("x").collect()))
+    t = hash_sample(texts.filter("text is not null").select(*id, "text"), TEXT_SAMPLE, id)
+    words = t.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{2,})"), 1)).alias("w")).distinct()
+    return NameModel(sorted(r[0] for r in hash_sample(n, NAME_SAMPLE, ["x"]).collect()), sorted(r[0] for r in words.collect()))
 
 
 def find_personal_data(df: DataFrame, text: str, keep: list[str], names: NameModel, redact: bool = True) -> DataFrame:

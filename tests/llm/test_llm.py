@@ -267,7 +267,7 @@ def test_subjects(spark, sf_dir):
 
 # problem 5 ---------------------------------------------------------------------------------------------------------------
 
-NAMES = pii.NameModel(["Anna Bergstrand", "Anders Bergquist", "Annika Lindquist", "Johan Lindstrand", "Johanna Nordquist"] * 2, ["The report on the parser. Please check the Release. Open Field and Save. Workaround: restart the Worker Portal. Gate 12 Fast Lane Board."] * 3)
+NAMES = pii.NameModel(["Anna Bergstrand", "Anders Bergquist", "Annika Lindquist", "Johan Lindstrand", "Johanna Nordquist"] * 2, "The report on the parser. Please check the Release. Open Field and Save. Workaround: restart the Worker Portal. Gate 12 Fast Lane Board.".lower().replace(".", "").split())
 PII = [
     ("mail x.y@a.example now", ["email"]), ("x dot y at a dot example now", ["email"]), ("x (at) a.example", ["email"]), ("someone@example.com", []), ("a@b.example.com", ["email"]), ("File@file.xsl", []), ("<redacted-email>", []), ("x＠a.example", ["email"]),
     ("+46701740651", ["phone"]), ("07700 900 953", ["phone"]), ("(202) 555-0104", ["phone"]), ("202.555.0127", ["phone"]), ("070-174 06 84", ["phone"]), ("+44(0)20 7946 0288", ["phone"]), ("192.0.2.126 port 5626", []), ("order 54566628", []), ("run 893545178697", []), ("build 2024.05.12-1234", []),
