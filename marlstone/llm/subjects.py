@@ -1,8 +1,8 @@
 """Subject areas of texts: one-versus-rest linear classifiers over hashed word n-grams, read sentence by sentence.
 
 Clean examples train a first model. It tells what the values of section metadata and address paths usually stand for; these
-weak labels bring many more sentences, on which the final model is trained. A text's subjects are those that a calibrated
-share of its sentences are about.
+weak labels bring many more sentences, on which the final model is trained. Held-out texts, alone and mixed, calibrate the score
+a sentence of a text needs to count for a class, and the share of its sentences that makes a subject of a text.
 """
 
 from __future__ import annotations
@@ -19,17 +19,26 @@ from pyspark.sql import functions as F
 
 from marlstone.plans import hash_sample, spread, with_fields
 
-#: Hashed features, bound of the weakly labelled sample (texts, characters read of each in training), and passes over it.
-BITS, SAMPLE_TEXTS, SAMPLE_CHARS, EPOCHS = 18, 6_000, 3_000, 6
-#: The share of a text's sentences that makes a subject, and the sentences a second subject needs.
+#: Hashed features, bound of the weakly labelled sample (texts, read whole), and passes over it.
+BITS, SAMPLE_TEXTS, EPOCHS = 18, 6_000, 6
+#: The share of a text's sentences that makes a subject (calibrated around it), and the sentences a second subject needs.
 SHARE, LEAST_SENTENCES = 0.25, 2
-#: A metadata value is a weak label if the first model gives one subject this share of its texts.
+#: A metadata value is a weak label if the first model gives one subject this share of those of its texts that it gives any
+#: (texts in other languages have none).
 WEAK_SHARE = 0.5
-#: How far below its class's threshold a sentence may score and still count, for the subject that its text suggests.
-SLACK = -4.0
+#: The least share of a subject in a text before its sentences are read, and the rounds in which sentences and shares are fitted.
+PRIOR, ROUNDS = 0.02, 3
+#: The share and the score of sentences about none of the subjects.
+NONE, NONE_SCORE = 0.1, -4.5
+#: The share of a text's sentences that must speak for its weak label.
+SPEAKING = 0.25
+#: Differences of F1 that don't tell two thresholds apart.
+F1_TIE = 0.002
 PIECE_WORDS, LONG_WORDS = 14, 40
 
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+#: Addresses: their letters are no words.
+_ADDRESS = re.compile(r"(?:https?|ftp)://\S+|www\.\S+|\S+@\S+\.\S+")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|\n+")
 _MASK = (1 << BITS) - 1
 
@@ -43,9 +52,9 @@ class _Ids(dict):
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence or line; unbroken runs are cut into pieces of about a sentence."""
+    """The words of each sentence or line, without addresses; unbroken runs are cut into pieces of about a sentence."""
     out = []
-    for s in _SENTENCE.split(text):
+    for s in _SENTENCE.split(_ADDRESS.sub(" ", text) if "/" in text or "@" in text or "www." in text else text):
         w = _WORD.findall(s.lower())
         if len(w) > LONG_WORDS:
             n = max(1, round(len(w) / PIECE_WORDS))
@@ -69,13 +78,15 @@ def features(rows: list[list[str]], ids: _Ids) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Weights per hashed feature and class, biases, and the score a sentence needs to count for a class."""
+    """Weights per hashed feature and class, biases, the score a sentence of a text needs to count for a class, and the share
+    of a text's sentences that makes a subject."""
 
     def __init__(self, classes: list[str]):
         self.classes = classes
         self.w = np.zeros((1 << BITS, len(classes)), np.float32)
         self.b = np.full(len(classes), -2.0, np.float32)
-        self.threshold = np.full(len(classes), -1.0, np.float32)
+        self.threshold = np.zeros(len(classes))
+        self.share = SHARE
 
     def scores(self, rows: list[list[str]], ids: _Ids) -> np.ndarray:
         f, start = features(rows, ids)
@@ -102,16 +113,59 @@ class Model:
                 square[keys] += step * step
                 self.w[keys] -= rate * step / np.sqrt(square[keys])
 
-    def calibrate(self, rows: list[list[str]], y: np.ndarray, ids: _Ids) -> None:
-        """Per class the threshold of best F1 on labelled rows."""
-        z = self.scores(rows, ids)
+    def in_texts(self, z: np.ndarray, of: np.ndarray, texts: int) -> np.ndarray:
+        """Log odds that a sentence is about a class and not about another one or none, in its text: words that several
+        subjects use are read as the text's other sentences suggest, whose shares weigh the classifiers' probabilities."""
+        k = len(self.classes)
+        prior, none = np.full((texts, k), 1.0 / k), NONE / (1 + np.exp(-NONE_SCORE))
+        n = np.maximum(np.bincount(of, minlength=texts), 1)[:, None]
+        p = np.exp(-np.logaddexp(0, -np.clip(z.astype(np.float64), -30, 30)))
+        for _ in range(ROUNDS):
+            q = p * prior[of]
+            q /= q.sum(1, keepdims=True) + none
+            total = np.zeros((texts, k))
+            np.add.at(total, of, q)
+            prior = (total + PRIOR * n) / (n * (1 + PRIOR * k))
+        q = np.clip(p * prior[of] / ((p * prior[of]).sum(1, keepdims=True) + none), 1e-12, 1 - 1e-12)
+        return np.log(q) - np.log1p(-q)
+
+    def calibrate(self, texts: list[tuple[list[list[str]], np.ndarray]], ids: _Ids) -> None:
+        """Per class the threshold of best F1 for the sentences of held-out texts (sentences, the class of each), then the
+        share of best F1 for the classes that hold at least SHARE of a text's sentences."""
+        flat, truth = [x for t, _ in texts for x in t], np.concatenate([y for _, y in texts]) if texts else np.zeros(0, int)
+        if not flat:
+            return
+        of = np.repeat(np.arange(len(texts)), [len(t) for t, _ in texts])
+        s = self.in_texts(self.scores(flat, ids), of, len(texts))
         for k in range(len(self.classes)):
-            order = np.argsort(-z[:, k])
-            hit = np.cumsum(y[order, k])
-            f1 = 2 * hit / (np.arange(1, len(order) + 1) + max(1, y[:, k].sum()))
-            best = int(f1.argmax())
-            below = z[order[best + 1], k] if best + 1 < len(order) else z[order[best], k] - 2
-            self.threshold[k] = min((z[order[best], k] + below) / 2, 0.0)
+            own = truth == k
+            if not own.any():
+                continue
+            order = np.argsort(-s[:, k], kind="stable")
+            hit = np.cumsum(own[order])
+            f1 = 2 * hit / (np.arange(1, len(order) + 1) + own.sum())
+            at = s[order, k]
+            below = np.append(at[1:], at[-1] - 2)
+            good = f1 >= f1.max() - F1_TIE  # of thresholds as good, the one nearest to even odds
+            cut = np.clip(0.0, below[good] + 1e-9, at[good] - 1e-9)
+            self.threshold[k] = cut[np.abs(cut).argmin()]
+        shares, _ = self.shares(s, of, len(texts))
+        held = np.zeros_like(shares)
+        np.add.at(held, (of, truth), 1)
+        wanted = held >= SHARE * held.sum(1, keepdims=True)
+        grid = np.arange(0.10, 0.41, 0.01)
+        f1 = [2 * (wanted & (shares >= g)).sum() / max(1, wanted.sum() + (shares >= g).sum()) for g in grid]
+        near = np.nonzero(np.array(f1) >= max(f1) - 1e-9)[0]
+        self.share = float(grid[near[np.abs(grid[near] - SHARE).argmin()]])
+
+    def shares(self, s: np.ndarray, of: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Texts x classes: the share of the sentences with a subject that count for each, and their number. A sentence counts
+        for every class whose threshold it reaches."""
+        counts = np.zeros((texts, len(self.classes)))
+        t, k = np.nonzero(s > self.threshold)
+        np.add.at(counts, (of[t], k), 1)
+        n = np.bincount(of[np.unique(t)], minlength=texts)[:, None]
+        return counts / np.maximum(n, 1), counts
 
 
 def judge(model: Model, texts: list[str], ids: _Ids) -> list[list[dict]]:
@@ -121,30 +175,23 @@ def judge(model: Model, texts: list[str], ids: _Ids) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in texts]
     if not flat:
         return out
-    z = model.scores(flat, ids)
     of = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
-    k = len(model.classes)
-    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    # words that several subjects use are read as the text's other sentences suggest
-    prior = np.full((len(texts), k), 0.02)
-    for _ in range(3):
-        q = p * prior[of]
-        q /= np.maximum(q.sum(1, keepdims=True), 1e-12)
-        sure = (z > model.threshold + SLACK).any(1)
-        total = np.zeros((len(texts), k))
-        np.add.at(total, of[sure], q[sure])
-        n = np.bincount(of[sure], minlength=len(texts))[:, None]
-        prior = (total + 0.02 * np.maximum(n, 1)) / (np.maximum(n, 1) * (1 + 0.02 * k))
-    best = q.argmax(1)
-    counts = np.zeros((len(texts), k))
-    np.add.at(counts, (of[sure], best[sure]), 1)
-    for i in range(len(texts)):
-        n = counts[i].sum()
-        if n:
-            every = len(parts[i])
-            order = np.argsort(-counts[i], kind="stable")
-            got = [j for r, j in enumerate(order) if r == 0 or (r == 1 and counts[i, j] / n >= SHARE and counts[i, j] >= LEAST_SENTENCES)]
-            out[i] = [{"subject": model.classes[j], "share": float(counts[i, j] / every), "sentences": int(counts[i, j])} for j in got]
+    shares, counts = model.shares(model.in_texts(model.scores(flat, ids), of, len(texts)), of, len(texts))
+    for i in np.nonzero(counts.any(1))[0]:
+        order = np.argsort(-counts[i], kind="stable")
+        got = [j for r, j in enumerate(order) if r == 0 or (r == 1 and shares[i, j] >= model.share and counts[i, j] >= LEAST_SENTENCES)]
+        out[i] = [{"subject": model.classes[j], "share": float(counts[i, j] / len(parts[i])), "sentences": int(counts[i, j])} for j in got]
+    return out
+
+
+def mixtures(texts: list[tuple[list[list[str]], int]]) -> list[tuple[list[list[str]], np.ndarray]]:
+    """Held-out texts of one class each, alone and with a part of a text of another class behind them."""
+    rng, out = np.random.default_rng(1), []
+    for i in rng.permutation(len(texts)):
+        a, x = texts[i]
+        b, y = texts[int(rng.integers(len(texts)))]
+        n = min(len(b), int(round(len(a) * rng.choice([0.0, 0.1, 0.5, 1.0])))) if x != y else 0
+        out.append((a + b[:n], np.array([x] * len(a) + [y] * n)))
     return out
 
 
@@ -177,15 +224,15 @@ def train(examples: DataFrame, rows: DataFrame, id: list[str], metadata: list[st
         return first
     first.train([s for _, s in x0], one_hot([c for c, _ in x0]), ids, epochs=20)
     own = hash_sample(rows.filter("text is not null and text <> ''"), SAMPLE_TEXTS, id)
-    sample = sorted((r["text"], sections(*[r[m] for m in metadata])) for r in own.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), *metadata).collect())
+    sample = sorted((r["text"], sections(*[r[m] for m in metadata])) for r in own.select("text", *metadata).collect())
     guess = judge(first, [t for t, _ in sample], ids)
     votes: dict[str, Counter] = defaultdict(Counter)
     for (_, labels), g in zip(sample, guess):
-        for v in set(labels):
-            votes[v][g[0]["subject"] if g else None] += 1
-    meaning = {v: c.most_common(1)[0][0] for v, c in votes.items() if sum(c.values()) >= 5 and c.most_common(1)[0][1] >= WEAK_SHARE * sum(c.values()) and c.most_common(1)[0][0]}
-    x, y = [s for _, s in x0], [c for c, _ in x0]
-    for (t, labels), g in zip(sample, guess):
+        for v in set(labels) if g else ():
+            votes[v][g[0]["subject"]] += 1
+    meaning = {v: c.most_common(1)[0][0] for v, c in votes.items() if sum(c.values()) >= 5 and c.most_common(1)[0][1] >= WEAK_SHARE * sum(c.values())}
+    x, y, held = [s for _, s in x0], [c for c, _ in x0], []
+    for i, ((t, labels), g) in enumerate(zip(sample, guess)):
         weak = {meaning[v] for v in labels if v in meaning}
         if len(weak) != 1 or not g or g[0]["subject"] not in weak or len(g) > 1:
             continue  # a label that the text itself contradicts, or of a text on two subjects
@@ -193,15 +240,16 @@ def train(examples: DataFrame, rows: DataFrame, id: list[str], metadata: list[st
         own_s = sentences(t)
         if own_s:
             z = first.scores(own_s, ids)
-            for s, v in zip(own_s, z):  # sentences that speak clearly for another subject are strays
-                if v[k] >= v.max() - 1.0:
-                    x.append(s)
-                    y.append(k)
-    held = np.arange(len(x)) % 5 == 4
+            # sentences that speak clearly for another subject are strays; texts of which no sentence speaks for this one are in another language
+            kept = [s for s, v in zip(own_s, z) if v[k] >= v.max() - 1.0] if (z[:, k] > 0).mean() >= SPEAKING else []
+            if i % 5 == 4 and kept:
+                held.append((kept, k))
+            else:
+                x += kept
+                y += [k] * len(kept)
     model = Model(classes)
-    y1 = one_hot(y)
-    model.train([s for s, h in zip(x, held) if not h], y1[~held], ids)
-    model.calibrate([s for s, h in zip(x, held) if h], y1[held], ids)
+    model.train(x, one_hot(y), ids)
+    model.calibrate(mixtures(held), ids)
     return model
 
 
