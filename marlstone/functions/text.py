@@ -106,6 +106,57 @@ def metadata_lines(text: Column) -> Column:
     return F.map_from_entries(F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda x: F.lit(True)))
 
 
+def leading_metadata(text: Column) -> Column:
+    """A text's leading `**Key:** value` lines and `[A > B]` breadcrumb: struct<content, metadata, breadcrumb>. Blank lines among
+    them are skipped, the first other line starts the content; of repeated keys and breadcrumbs the last counts."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    pair = r"^\*\*([^*\n]+):\*\*\s*(.*)$"
+    crumb = r"^\[(.*>.*)\]$"
+    other = F.transform(lines, lambda x, i: F.when(~(F.trim(x).rlike(pair) | F.trim(x).rlike(crumb) | (F.trim(x) == "")), i))
+    first = F.coalesce(F.array_min(other), F.size(lines))
+    head = F.transform(F.slice(lines, F.lit(1), first), lambda x: F.trim(x))
+    entries = F.transform(F.filter(head, lambda x: x.rlike(pair)), lambda x: F.struct(F.trim(F.regexp_extract(x, pair, 1)).alias("k"), F.trim(F.regexp_extract(x, pair, 2)).alias("v")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda f: f["k"] == e["k"]))
+    crumbs = F.filter(head, lambda x: x.rlike(crumb))
+    content = F.trim(F.array_join(F.slice(lines, first + 1, F.greatest(F.size(lines) - first, F.lit(0))), "\n"))
+    return F.struct(F.regexp_replace(content, r"\A\s+|\s+\z", "").alias("content"), F.map_from_entries(last).alias("metadata"), F.trim(F.regexp_extract(F.try_element_at(crumbs, F.lit(-1)), crumb, 1)).alias("breadcrumb"))
+
+
+def document_date(date: Column, modified: Column) -> Column:
+    """A document's date: its own (as text), else the time it was changed."""
+    return F.coalesce(F.nullif(F.trim(date), F.lit("")), modified.cast("string"))
+
+
+# Spellings of true in settings.
+TRUE_WORDS = ("1", "true", "yes")
+
+
+def setting_bool(value: Column, default: bool = False) -> Column:
+    """A setting as a boolean: the default if there is none, true for a spelling of true, else false."""
+    return F.when(value.isNull(), F.lit(default)).otherwise(F.lower(value).isin(*TRUE_WORDS))
+
+
+def valid_category(category: Column, known: list[str], default: str | None = None) -> Column:
+    """The category if it is a known one, the default where there is none, else an error that names the known ones."""
+    c = F.coalesce(F.nullif(category, F.lit("")), F.lit(default or known[0]))
+    return F.when(c.isin(*known), c).otherwise(F.raise_error(F.concat(F.lit("invalid category '"), c, F.lit("', must be one of: " + ", ".join(known)))))
+
+
+# Prefixes that embedders of one family expect of queries and passages.
+EMBEDDING_PREFIXES = {"multilingual-e5-base": ("query: ", "passage: ")}
+
+
+def embedding_text(text: Column, model: str, passage: bool) -> Column:
+    """What is embedded of a query or passage: with the prefix that the model's family expects."""
+    prefix = next((p for name, p in EMBEDDING_PREFIXES.items() if name in model), ("", ""))[int(passage)]
+    return F.concat(F.lit(prefix), text) if prefix else text
+
+
+def phase_status(exit_code: Column) -> Column:
+    """The state of a phase by its exit code: `skipped` as such, 0 succeeded, else failed."""
+    return F.when(exit_code == "skipped", "skipped").when(exit_code.try_cast("int") == 0, "succeeded").otherwise("failed")
+
+
 def contains_word(text: Column, word: Column) -> Column:
     """The word stands in the text as a whole word, whatever the case (all letters count as word characters)."""
     return F.rlike(text, F.concat(F.lit(r"(?iU)(?<!\w)\Q"), word, F.lit(r"\E(?!\w)")))

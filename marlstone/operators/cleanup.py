@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +39,26 @@ def classify_body(text: Column, least_length: int, noise: list[str] = [], least_
     return reason.when(F.size(F.split(rest, r"\s+")) < least_words, "low_word_count") if least_words > 0 else reason
 
 
+#: A hand-written list of patterns is at most this long.
+MOST_PATTERNS = 2_000
+
+
 def match_noise(docs: DataFrame, patterns: DataFrame, on: str = "path") -> DataFrame:
-    """The first noise pattern of each document: doc_id, reason. patterns: a small list of pattern_no, kind (glob on the path,
-    text in the title), pattern, reason. Globs and texts match whatever the case."""
-    glob = F.concat(F.lit("(?is)^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("pattern", r"([.+^$(){}|\\\[\]])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))
-    p = F.broadcast(patterns.withColumn("_re", glob))  # a hand-written list
-    hit = F.when(F.col("kind") == "glob", F.rlike(F.col("path"), F.col("_re"))).otherwise(F.contains(F.lower("title"), F.lower("pattern")))
-    return docs.select("doc_id", "path", "title").join(p, hit).groupBy("doc_id").agg(F.min_by("reason", "pattern_no").alias("reason"))
+    """The first noise pattern of each document: doc_id, reason. patterns: a hand-written list of pattern_no, kind (glob on the
+    path, text in the title), pattern, reason; a longer one than MOST_PATTERNS is an error. Globs and texts match whatever the
+    case. The list becomes one expression, so documents are read once and not joined."""
+    rows = patterns.select("pattern_no", "kind", "pattern", "reason").limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} noise patterns")
+    path, title = F.col(on), F.lower("title")
+
+    def hit(r) -> Column:
+        if r["kind"] != "glob":
+            return F.contains(title, F.lit(r["pattern"].lower()))
+        return path.rlike("(?is)^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in r["pattern"]) + "$")
+
+    tests = [(r["reason"], hit(r)) for r in sorted((r for r in rows if r["pattern"] is not None), key=lambda r: r["pattern_no"])]
+    return docs.select("doc_id", first_reason(*tests).alias("reason")).filter("reason is not null").groupBy("doc_id").agg(F.min("reason").alias("reason"))
 
 
 def first_reason(*tests: tuple[str, Column]) -> Column:
@@ -61,6 +76,14 @@ def keep_parents(excluded: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataF
     return excluded.join(named, "key", "left_anti"), excluded.join(named, "key", "left_semi")
 
 
+def excluded_stubs(excluded: DataFrame, active: DataFrame) -> DataFrame:
+    """Excluded items that still belong in the graph: those whose parent is active, and that aren't active themselves, once a key.
+    excluded: key, parent and more; active: key."""
+    keys = active.select("key").filter("coalesce(key, '') <> ''").distinct()
+    stubs = excluded.filter("coalesce(key, '') <> ''").join(keys.withColumnRenamed("key", "parent"), "parent", "left_semi").join(keys, "key", "left_anti")
+    return stubs.select(*excluded.columns).dropDuplicates(["key"]).withColumn("from_excluded", F.lit(True))
+
+
 def recovered_report(was_excluded: DataFrame, active: DataFrame) -> DataFrame:
     """Earlier exclusions by bucket of their reason, and how many are active again: bucket, excluded, recovered."""
     bucket = F.when(F.col("reason").startswith("noise_"), "noise").when(F.col("reason").isin("empty_stub", "minimal_content", "low_word_count", "reference_only"), "content").when(F.col("reason").rlike("age|old"), "age").otherwise("other")

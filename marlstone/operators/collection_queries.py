@@ -488,7 +488,7 @@ GRAPH_HOPS_SQL = f"WITH {STAR_CTE} SELECT source AS node, type, 'outgoing' AS di
 def graph_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes under each region, two levels deep."""
     nodes, edges = (staged(x) for x in _star(spark, sf_dir))
-    return graph.subtree(nodes, edges, nodes.filter("type = 'Region'").select(F.col("id").alias("root")), "incoming", max_nodes=10**9)[0]
+    return graph.subtree(nodes, edges, nodes.filter("type = 'Region'").select(F.col("id").alias("root")), "incoming", max_nodes=None)[0]
 
 
 GRAPH_SUBTREE_SQL = f"""WITH RECURSIVE {STAR_CTE}, b AS (SELECT id AS root, id, 0 AS depth FROM nodes WHERE type = 'Region' UNION ALL SELECT b.root, e.source, b.depth + 1 FROM b JOIN edges e ON e.target = b.id WHERE b.depth < 2)

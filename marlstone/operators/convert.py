@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.plans import carry_forward, spread, with_fields
+from marlstone.plans import carry_forward, running_sum, spread, staged, with_fields
 
 CHUNK, OVERLAP = 1000, 100
 #: Frontmatter fields that become metadata.
@@ -507,19 +507,49 @@ def category_and_summary(answer: Column) -> Column:
     return F.struct(F.lower(F.nullif(F.trim(F.regexp_extract(answer, r"(?im)^\s*CATEGORY:\s*(.+)$", 1)), F.lit(""))).alias("category"), F.nullif(F.trim(F.regexp_extract(answer, r"(?is)\bSUMMARY:\s*(.+)$", 1)), F.lit("")).alias("summary"))
 
 
-def guarded_record(record: Column, most: int = 2048) -> Column:
-    """A record's JSON for a log, without its detail where that is too long."""
-    return F.when(F.length(F.to_json(record)) > most, F.lit(None)).otherwise(F.to_json(record))
+# The characters of a phase's detail and of an error, and the bytes of a record.
+MOST_DETAIL, MOST_RECORD = 2048, 64 * 1024
 
 
-def issue_chunks(issues: DataFrame, comments: DataFrame) -> DataFrame:
+def guarded_records(records: DataFrame, detail: int = MOST_DETAIL, most: int = MOST_RECORD) -> DataFrame:
+    """Records as JSON lines for a log, with a column `record`; a record is never dropped for its size.
+
+    A phase's `detail` (phases array<struct<..., detail string>>, where there is one) over the limit becomes null and the phase
+    says detailTruncated; the `error` of a record that is still too long is cut.
+    """
+    r = records
+    kind = dict(r.dtypes).get("phases", "")
+    if "detail:" in kind:
+        long = lambda p: F.coalesce(F.length(p["detail"]) > detail, F.lit(False))
+        r = r.withColumn("phases", F.transform("phases", lambda p: p.withField("detailTruncated", F.when(long(p), True)).withField("detail", F.when(~long(p), p["detail"]))))
+    whole = F.struct(*[F.col(c) for c in r.columns])
+    line = F.to_json(whole)
+    if "error" in r.columns:
+        cut = F.to_json(F.struct(*[F.substring("error", 1, detail).alias(c) if c == "error" else F.col(c) for c in r.columns]))
+        line = F.when(F.octet_length(line) > most, cut).otherwise(line)
+    return r.withColumn("record", line)
+
+
+#: Characters of an issue's comments that one task splits; longer issues are split in parts of this size.
+PART_CHARS = 1_000_000
+
+
+def issue_chunks(issues: DataFrame, comments: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     """Chunks of issues: issue_key, chunk_number, chunk. The first is `KEY : title`, the others split description and comments.
-    issues: issue_key, title, description; comments: issue_key, pos, body."""
-    c = comments.filter("body <> ''").groupBy("issue_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda x: x["body"]).alias("_c"))
-    t = issues.join(c, "issue_key", "left").select("issue_key", F.concat_ws(" : ", "issue_key", "title").alias("_head"), F.concat_ws("\n\n", F.nullif(F.col("description"), F.lit("")), F.array_join("_c", "\n\n")).alias("_text"))
-    body = chunk_documents(t, "issue_key", "_text", lambda x: [{"heading": None, "text": p} for p in recursive_split(x)])
-    head = t.select("issue_key", F.lit(0).alias("chunk_number"), F.col("_head").alias("chunk"))
-    return head.unionByName(body.select("issue_key", (F.col("chunk_number") + 1).alias("chunk_number"), "chunk"))
+    issues: issue_key (unique), title, description; comments: issue_key, pos, body. Issues without either have their first chunk
+    only. An issue with very many comments is split in parts of `part_chars` characters, cut between comments, so that no task
+    holds all of it; the chunks are numbered on."""
+    texts = issues.select("issue_key", F.lit(None).cast(dict(comments.dtypes)["pos"]).alias("pos"), F.lit(0).alias("_k"), F.col("description").alias("body")).unionByName(comments.select("issue_key", "pos", F.lit(1).alias("_k"), "body"))
+    texts = texts.filter("coalesce(body, '') <> '' and issue_key is not null").join(issues.select("issue_key").distinct(), "issue_key", "left_semi")
+    measured = running_sum(texts, ["issue_key"], ["_k", "pos", "body"], F.length("body") + 2, "_end")
+    parts = measured.withColumn("_part", F.floor((F.col("_end") - F.length("body") - 2) / part_chars))
+    joined = parts.groupBy("issue_key", "_part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "pos", "body"))), lambda x: x["body"]), "\n\n").alias("_text"))
+    body = chunk_documents(joined.select(F.struct("issue_key", "_part").alias("_id"), "_text"), "_id", "_text", lambda x: [{"heading": None, "text": p} for p in recursive_split(x)])
+    body = staged(body.select("_id.*", "chunk_number", "chunk"))
+    sizes = body.groupBy("issue_key", "_part").agg(F.count("*").alias("_n"))  # one row a part
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("issue_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    body = body.join(sizes.select("issue_key", "_part", before.alias("_before")), ["issue_key", "_part"]).select("issue_key", (F.col("chunk_number") + F.col("_before") + 1).cast("int").alias("chunk_number"), "chunk")
+    return issues.select("issue_key", F.lit(0).alias("chunk_number"), F.concat_ws(" : ", "issue_key", "title").alias("chunk")).unionByName(body)
 
 
 def page_chunks(pages: DataFrame) -> DataFrame:

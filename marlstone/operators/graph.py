@@ -168,12 +168,13 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return count(nodes, "node").unionByName(count(edges, "edge"))
 
 
-def subtree(nodes: DataFrame, edges: DataFrame, roots: DataFrame, direction: str = "incoming", types: list[str] | None = None, max_depth: int = 2, max_nodes: int = 1000) -> tuple[DataFrame, DataFrame]:
+def subtree(nodes: DataFrame, edges: DataFrame, roots: DataFrame, direction: str = "incoming", types: list[str] | None = None, max_depth: int = 2, max_nodes: int | None = 1000) -> tuple[DataFrame, DataFrame]:
     """Breadth-first subtrees of many roots at once: reached (root, id, depth), walked (root, source, target, type).
 
     Each level is one join and is cut to the checkpoint folder. Edges to nodes that don't exist are left out; edges between
     nodes reached before are kept. Once a root has max_nodes nodes it goes no further: the last level is cut to the first
-    nodes by id, which is why a cap of 1 still gives 2. An unknown root gives nothing.
+    nodes by id, which is why a cap of 1 still gives 2. None: no cap, and no order of a root's nodes is needed. An unknown
+    root gives nothing.
     """
     ids = nodes.select("id").distinct()
     e = edges if types is None else edges.filter(F.col("type").isin(types))
@@ -189,13 +190,16 @@ def subtree(nodes: DataFrame, edges: DataFrame, roots: DataFrame, direction: str
     walked = reached.select("root", *[F.lit(None).cast("string").alias(c) for c in ("source", "target", "type")]).limit(0)
     frontier = reached
     for depth in range(1, max_depth + 1):
-        full = reached.groupBy("root").count().filter(F.col("count") >= max(max_nodes, 2)).select("root")
-        out = cut(frontier.join(full, "root", "left_anti").select("root", F.col("id").alias("at")).join(step, "at").select("root", "to", "source", "target", "type"))
+        going = frontier
+        if max_nodes is not None:
+            going = frontier.join(reached.groupBy("root").count().filter(F.col("count") >= max(max_nodes, 2)).select("root"), "root", "left_anti")
+        out = cut(going.select("root", F.col("id").alias("at")).join(step, "at").select("root", "to", "source", "target", "type"))
         if out.isEmpty():
             break
         new = out.select("root", F.col("to").alias("id")).distinct().join(reached, ["root", "id"], "left_anti")
-        have = reached.groupBy("root").agg(F.count("*").alias("have"))
-        new = new.join(have, "root").withColumn("_n", F.row_number().over(Window.partitionBy("root").orderBy("id"))).filter(F.col("have") + F.col("_n") <= F.greatest(F.lit(max_nodes), F.lit(2)))
+        if max_nodes is not None:
+            have = reached.groupBy("root").agg(F.count("*").alias("have"))
+            new = new.join(have, "root").withColumn("_n", F.row_number().over(Window.partitionBy("root").orderBy("id"))).filter(F.col("have") + F.col("_n") <= F.greatest(F.lit(max_nodes), F.lit(2)))
         frontier = cut(new.select("root", "id", F.lit(depth).alias("depth")))
         reached = reached.unionByName(frontier)
         walked = walked.unionByName(out.join(reached.select("root", F.col("id").alias("to")), ["root", "to"], "left_semi").select("root", "source", "target", "type"))
@@ -254,6 +258,15 @@ def author_graph(documents: DataFrame, scores: DataFrame, skip: list[str] = ["#"
     return known.crossJoin(most).select("source", "target", F.round(F.col("w") / F.col("most"), 6).alias("weight"))
 
 
+def author_communities(members: DataFrame, authors: DataFrame) -> DataFrame:
+    """Communities of at least two authors (doc, community; authors: handle, score, title): community, size, name (the two
+    best-scored), top (the three best-scored), the largest first by position."""
+    j = members.select(F.col("doc").alias("handle"), "community").join(authors, "handle")
+    ranked = j.withColumn("_n", F.row_number().over(Window.partitionBy("community").orderBy(F.desc("score"), "handle")))
+    g = ranked.groupBy("community").agg(F.count("*").alias("size"), F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= 3, F.struct("_n", "title")))), lambda x: x["title"]).alias("top")).filter("size >= 2")
+    return g.select(F.row_number().over(Window.orderBy(F.desc("size"), "community")).alias("position"), "community", "size", F.array_join(F.slice("top", 1, 2), " + ").alias("name"), "top")  # a row a community
+
+
 def _starts(x: Column, signs: list[str]) -> Column:
     out = F.lit(False)
     for s in signs:
@@ -414,5 +427,19 @@ def coverage_gaps(distances: DataFrame, documents: DataFrame) -> DataFrame:
     return distances.join(documents, "id").groupBy("doc").agg(F.round(F.avg("distance"), 6).alias("mean"), F.min("distance").alias("least"), F.count("*").alias("chunks"))
 
 
+def top_gaps(gaps: DataFrame, k: int = 10) -> DataFrame:
+    """The k documents that the other collection covers worst: the largest means, with their rank from 1."""
+    first = gaps.orderBy(F.desc("mean"), "doc").limit(k)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean"), "doc")))  # k rows
+
+
+def epic_of(issues: DataFrame, epics: DataFrame) -> DataFrame:
+    """The epic of each issue: issue_key, epic_key, epic_summary. An issue whose parent is an epic has that; else the linked one,
+    whose summary is looked up. issues: issue_key, parent, parent_type, parent_summary, epic_link; epics: key, summary."""
+    own = (F.lower(F.coalesce("parent_type", F.lit(""))) == "epic") & (F.coalesce("parent", F.lit("")) != "")
+    j = issues.join(epics.select(F.col("key").alias("epic_link"), F.col("summary").alias("_s")), "epic_link", "left")
+    return j.select("issue_key", F.when(own, F.col("parent")).otherwise(F.coalesce("epic_link", F.lit(""))).alias("epic_key"), F.when(own, F.coalesce("parent_summary", F.lit(""))).otherwise(F.coalesce("_s", F.lit(""))).alias("epic_summary"))
+
+
 def gap_summary(gaps: DataFrame) -> DataFrame:
     return gaps.agg(F.round(F.avg("mean"), 6).alias("mean"), F.round(F.median("mean"), 6).alias("median"), F.max("mean").alias("most"), F.count("*").alias("documents"))

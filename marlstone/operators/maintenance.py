@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.plans import cut
@@ -117,6 +118,117 @@ class VersionedTables:
         return self.spark.read.parquet(f"{self.path}/{v}/{name}")
 
 
+def _write_text(spark: SparkSession, fs, folder: str, name: str, text: str) -> None:
+    """A small file put in its place at once: readers see the old or the new one."""
+    jvm, path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path
+    tmp = path(f"{folder}/_{name}.{uuid.uuid4().hex}")
+    out = fs.create(tmp, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri()).rename(tmp, path(f"{folder}/{name}"), options)
+
+
+class BucketedTable:
+    """A table of chunks in buckets by the hash of their document, of which an update rewrites only those it touches.
+
+    A manifest file names the folder of each bucket, the highest id, and the last applied batch; it is replaced at once, so a
+    reader sees a whole version and a crash leaves the old one. Folders of earlier versions stay for readers that hold them.
+    """
+
+    MANIFEST = "MANIFEST"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, key: str = "doc_id", id: str = "chunk_id"):
+        self.spark, self.path, self.buckets, self.key, self.id = spark, path.rstrip("/"), buckets, key, id
+        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def manifest(self) -> dict:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{self.MANIFEST}")
+        if not self._fs.exists(p):
+            return {"buckets": self.buckets, "folders": {}, "last_id": 0, "batch": None}
+        return json.loads(self.spark.read.text(p.toString(), wholetext=True).first()[0])
+
+    def _bucket(self, m: dict):
+        return F.pmod(F.xxhash64(self.key), F.lit(m["buckets"])).cast("int")
+
+    def read(self, manifest: dict | None = None, only: list[int] | None = None) -> DataFrame | None:
+        """The table, or some of its buckets; None if there is nothing yet."""
+        m = manifest or self.manifest()
+        folders = sorted({f for b, f in m["folders"].items() if only is None or int(b) in only})
+        if not folders:
+            return None
+        rows = self.spark.read.option("mergeSchema", "true").option("basePath", self.path).parquet(*[f"{self.path}/{f}" for f in folders])
+        return rows.drop("version", "bucket")
+
+    def apply(self, changed: DataFrame, order: list[str], batch: str | None = None, removed: DataFrame | None = None) -> int:
+        """Chunks of changed documents replace those there were, documents of `removed` (the key) go; new chunks are numbered on.
+        A batch that was the last one applied is skipped. Returns the number of buckets rewritten."""
+        m = self.manifest()
+        if batch is not None and batch == m["batch"]:
+            return 0
+        changed = cut(changed)
+        keys = changed.select(self.key)
+        if removed is not None:
+            keys = keys.unionByName(removed.select(self.key))
+        touched = sorted(r[0] for r in keys.select(self._bucket(m).alias("b")).distinct().collect())  # at most `buckets` numbers
+        if not touched:
+            return 0
+        new = number_chunks(changed, m["last_id"], order, self.id)
+        old = self.read(m, touched)
+        if old is not None:
+            new = old.join(keys.distinct(), self.key, "left_anti").unionByName(new, allowMissingColumns=True)
+        version = f"version={uuid.uuid4().hex}"
+        new = cut(new)
+        new.withColumn("bucket", self._bucket(m)).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{version}")
+        held = {r[0] for r in new.select(self._bucket(m).alias("b")).distinct().collect()}
+        folders = {b: f for b, f in m["folders"].items() if int(b) not in touched} | {str(b): f"{version}/bucket={b}" for b in touched if b in held}
+        last = new.agg(F.max(self.id)).first()[0]
+        _write_text(self.spark, self._fs, self.path, self.MANIFEST, json.dumps({"buckets": m["buckets"], "folders": folders, "last_id": max(m["last_id"], last or 0), "batch": batch}))
+        return len(touched)
+
+
+def save_run(df: DataFrame, folder: str, name: str) -> str:
+    """A run's rows as JSON lines in a file of their own, and a `latest` pointer to it. Returns the path."""
+    spark, folder = df.sparkSession, folder.rstrip("/")
+    path = f"{folder}/{name}"
+    df.coalesce(1).write.json(path)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    _write_text(spark, fs, folder, "latest", name)
+    return path
+
+
+def latest_run(spark: SparkSession, folder: str) -> DataFrame | None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/latest")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return spark.read.json(f"{folder.rstrip('/')}/{spark.read.text(p.toString(), wholetext=True).first()[0].strip()}")
+
+
+def new_and_modified(pages: DataFrame, since: Column | str, created: str = "created", modified: str = "modified") -> DataFrame:
+    """Pages changed since a time, each told to be new (made since then) or modified: the pages' columns and change."""
+    t = F.lit(since).cast("timestamp") if isinstance(since, str) else since
+    return pages.filter(F.col(modified) >= t).withColumn("change", F.when(F.coalesce(F.col(created) >= t, F.lit(False)), "new").otherwise("modified"))
+
+
+def to_fetch(listed: DataFrame, state: DataFrame, key: str = "id") -> DataFrame:
+    """Listed items that weren't fetched with success yet (failed and skipped ones are tried again), once each. state: key, status."""
+    return listed.filter(F.col(key).isNotNull()).dropDuplicates([key]).join(state.filter("status = 'success'").select(key).distinct(), key, "left_anti")
+
+
+def fetch_state(state: DataFrame, outcomes: DataFrame, key: str = "id") -> DataFrame:
+    """The state after a fetch: each item's last outcome. state, outcomes: key, status, error, at."""
+    both = state.unionByName(outcomes)
+    return both.groupBy(key).agg(F.max_by(F.struct("status", "error", "at"), F.struct("at", "status")).alias("_s")).select(key, "_s.*")
+
+
+def fetch_statistics(state: DataFrame) -> DataFrame:
+    """One row: total, successful, failed, skipped."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    return state.agg(F.count("*").alias("total"), n("success").alias("successful"), n("failed").alias("failed"), n("skipped").alias("skipped"))
+
+
 def write_categorized(entries: DataFrame, existing: DataFrame) -> DataFrame:
     """File names for entries (category, title, url): an entry whose address is known in its category and title replaces that
     file; another address gets the next ` (2)` to ` (99)`; entries without an address always get a name of their own. Entries

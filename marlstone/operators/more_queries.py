@@ -102,7 +102,7 @@ def rendered_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole star graph as a list for each region, two levels deep."""
     nodes, edges = (staged(x) for x in cq._star(spark, sf_dir))
-    reached, walked = (staged(x) for x in graph.subtree(nodes, edges, nodes.filter("type = 'Region'").select(F.col("id").alias("root")), "incoming", ["in_region", "in_nation"], 2, 10**9))
+    reached, walked = (staged(x) for x in graph.subtree(nodes, edges, nodes.filter("type = 'Region'").select(F.col("id").alias("root")), "incoming", ["in_region", "in_nation"], 2, None))
     return rendering.render_subtree(reached, nodes, graph.tree_paths(reached, walked, 2))
 
 

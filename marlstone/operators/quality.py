@@ -87,3 +87,36 @@ def shared_top(before: DataFrame, after: DataFrame, k: int = 5) -> DataFrame:
     """How many of the first k results of a query stay: query_id, shared."""
     top = lambda d: d.filter(F.col("rank") < k).select("query_id", "doc_id").distinct()
     return top(before).join(top(after), ["query_id", "doc_id"]).groupBy("query_id").agg(F.count("*").alias("shared"))
+
+
+def reranker_lift(ranks: DataFrame, top: int = 5) -> DataFrame:
+    """What reranking brings to known queries, one row: hit rates within `top` and mean reciprocal ranks with and without it, and
+    their differences. ranks: query_id, with_rank, without_rank (from 0, null if not found)."""
+    hit = lambda c: F.avg(F.coalesce((F.col(c) < top).cast("double"), F.lit(0.0)))
+    mrr = lambda c: F.avg(F.coalesce(1 / (F.col(c) + 1), F.lit(0.0)))
+    out = ranks.agg(F.count("*").alias("queries"), hit("with_rank").alias("with_hit_rate"), mrr("with_rank").alias("with_mrr"), hit("without_rank").alias("without_hit_rate"), mrr("without_rank").alias("without_mrr"))
+    out = out.withColumns({"hit_rate_lift": F.col("with_hit_rate") - F.col("without_hit_rate"), "mrr_lift": F.col("with_mrr") - F.col("without_mrr")})
+    return out.select("queries", *[F.round(c, 6).alias(c) for c in out.columns if c != "queries"])
+
+
+def answer_metrics(cases: DataFrame) -> DataFrame:
+    """How well questions are answered, one row. cases: answerable (boolean), answer (null: none), expected (array of texts that an
+    answer must hold). Accuracy over all, the share of answerable ones answered and of the others left alone, the share of
+    expected texts found in answers."""
+    yes, has = F.col("answerable"), F.col("answer").isNotNull()
+    share = lambda part, whole: F.round(F.coalesce(F.try_divide(F.sum(part.cast("int")), F.sum(whole.cast("int"))), F.lit(0.0)), 6)
+    checked = F.when(yes & has, F.size(F.coalesce("expected", F.array().cast("array<string>")))).otherwise(0)
+    found = F.when(yes & has, F.size(F.filter(F.coalesce("expected", F.array().cast("array<string>")), lambda e: F.contains(F.col("answer"), e)))).otherwise(0)
+    content = F.round(F.coalesce(F.try_divide(F.sum(found), F.sum(checked)), F.lit(1.0)), 6)
+    return cases.agg(F.count("*").alias("cases"), share(yes == has, F.lit(True)).alias("accuracy"), share(yes & has, yes).alias("answer_rate"), share(~yes & ~has, ~yes).alias("non_answer_rate"), content.alias("content_accuracy"))
+
+
+def response_flags(parts: DataFrame) -> DataFrame:
+    """What holds of a whole response: reranked only if every collection's part was, low_confidence if any part's was.
+    parts: query_id, collection, reranked, low_confidence; a missing flag counts as reranked, and as not low."""
+    return parts.groupBy("query_id").agg(F.bool_and(F.coalesce("reranked", F.lit(True))).alias("reranked"), F.bool_or(F.coalesce("low_confidence", F.lit(False))).alias("low_confidence"))
+
+
+def folder_counts(paths: DataFrame, path: str = "path") -> DataFrame:
+    """Files by folder: category (the folders of the path, "" at the top), n."""
+    return paths.groupBy(F.regexp_replace(F.regexp_extract(path, r"^(.*)/[^/]*$", 1), r"^/+|/+$", "").alias("category")).agg(F.count("*").alias("n"))

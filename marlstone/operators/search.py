@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
@@ -22,15 +22,20 @@ def fetch_size(n: int, reranked: bool) -> int:
     return int(effective * 1.5) if reranked else effective
 
 
-def wants_reranking(query: Column, has_reranker: bool, opted_out: bool = False) -> Column:
-    """Reranking is skipped without a reranker, on demand, and for English questions of three words or more (told by their
-    function words)."""
+# Function words by which a question's language is told.
+ENGLISH_WORDS = "the a an of and is are was what how which when where who does do with from".split()
+NORDIC_WORDS = "og er det som en et av på til med hva hvem hvor hvordan når ikke".split()
+
+
+def wants_reranking(query: Column, has_reranker: bool, opted_out: bool = False, is_english: Callable[[Column], Column] | None = None) -> Column:
+    """Reranking is skipped without a reranker, on demand, and for English questions of three words or more. `is_english` tells
+    the language (a model); by default function words do."""
     if not has_reranker or opted_out:
         return F.lit(False)
     words = tx.word_tokens(query)
-    english = F.array(*[F.lit(w) for w in "the a an of and is are was what how which when where who does do with from".split()])
-    nordic = F.array(*[F.lit(w) for w in "og er det som en et av på til med hva hvem hvor hvordan når ikke".split()])
-    return ~((F.size(words) >= 3) & (F.size(F.array_intersect(words, english)) > F.size(F.array_intersect(words, nordic))))
+    common = lambda ws: F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in ws])))
+    english = is_english(query) if is_english else common(ENGLISH_WORDS) > common(NORDIC_WORDS)
+    return ~((F.size(words) >= 3) & english)
 
 
 def augment_queries(queries: DataFrame, nodes: DataFrame, edges: DataFrame, terms: int = knowledge.EXPANSION_TERMS) -> DataFrame:
@@ -45,20 +50,35 @@ def augment_queries(queries: DataFrame, nodes: DataFrame, edges: DataFrame, term
     return j.select("query_id", "query", F.concat_ws(" ", "query", F.array_join("terms", " ")).alias("expanded"), "entities", "answer")
 
 
-def search_collections(index: rt.BM25Index, chunks: DataFrame, documents: DataFrame, queries: DataFrame, limit: int, rerank: bool = True, scorer: Callable[[Column, Column], Column] = rt.overlap_reranker) -> DataFrame:
+def search_collections(
+    index: rt.BM25Index, chunks: DataFrame, documents: DataFrame, queries: DataFrame, limit: int, rerank: bool = True, scorer: Callable[[Column, Column], Column] = rt.overlap_reranker,
+    corpus: DataFrame | None = None, embed: Callable[[Column], Column] | None = None, filters: dict | None = None, title_queries: DataFrame | None = None,
+) -> DataFrame:
     """The whole way of a batch of queries through collections that share an index.
 
-    chunks: chunk_id, doc_id, text; documents: doc_id, collection, title, url, text. Retrieval with overfetch, reranking for the
-    queries that want it, title boost, documents in order of their best chunk, no document twice, at most `limit` before noise
-    is dropped, relevance and band: query_id, position, collection, doc_id, title, url, relevance, band, reranked.
+    chunks: chunk_id, doc_id, text; documents: doc_id, collection, title, url, text, and metadata (map) if there are filters.
+    corpus: chunk_id, embedding; with it retrieval is dense and lexical, fused (queries have an embedding, or `embed` makes it
+    of their text). title_queries: the queries as they were asked, for the title boost, where `queries` are expanded ones.
+    filters: project, branch, tags of `metadata_filter`; documents that don't match are left out before the limit.
+    Retrieval with overfetch, reranking for the queries that want it, title boost, documents in order of their best chunk, no
+    document twice, at most `limit` before noise is dropped, relevance and band: query_id, position, collection, doc_id, title,
+    url, relevance, band, reranked.
     """
     n = fetch_size(limit, rerank)
     wanted = queries.withColumn("reranked", wants_reranking(F.col("query"), rerank))
-    found = staged(index.search(queries, OVERFETCH * n)).withColumn("score", -F.col("score"))
-    again = rt.rerank(found.join(wanted.filter("reranked").select("query_id"), "query_id", "left_semi"), queries, chunks, n)
+    if corpus is None:
+        found = staged(index.search(queries, OVERFETCH * n)).withColumn("score", -F.col("score"))
+    else:
+        vectors = queries if "embedding" in queries.columns else queries.withColumn("embedding", embed(F.col("query")))
+        found = staged(rt.hybrid_search(index, corpus, vectors, OVERFETCH * n).select("query_id", "chunk_id", "score", "rank"))
+    if filters:
+        own = rt.metadata_filter(documents, **filters).select("doc_id")
+        documents = documents.join(own, "doc_id", "left_semi")
+        found = found.join(chunks.join(own, "doc_id", "left_semi").select("chunk_id"), "chunk_id", "left_semi")
+    again = rt.rerank(found.join(wanted.filter("reranked").select("query_id"), "query_id", "left_semi"), queries, chunks, n, scorer)
     plain = rt.top_k(found.join(wanted.filter("not reranked").select("query_id"), "query_id", "left_semi").drop("rank"), n, [F.asc("score"), F.asc("chunk_id")])
     ranked = again.select("query_id", "chunk_id", "score", "rank").unionByName(plain.select("query_id", "chunk_id", "score", "rank")).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
-    boosted = rt.title_boost(ranked, documents.select("doc_id", "title"), queries)
+    boosted = rt.title_boost(ranked, documents.select("doc_id", "title"), title_queries if title_queries is not None else queries)
     docs = rt.group_documents(boosted).withColumnRenamed("doc_rank", "rank").join(documents, "doc_id")
     kept = rt.keep_first_documents(docs.select("query_id", "rank", "doc_id", "url", "text")).select("query_id", "doc_id")
     docs = rt.top_k(docs.join(kept, ["query_id", "doc_id"], "left_semi").drop("rank"), limit, [F.asc("best_score"), F.asc("doc_id")]).join(wanted.select("query_id", "reranked"), "query_id")
@@ -67,6 +87,51 @@ def search_collections(index: rt.BM25Index, chunks: DataFrame, documents: DataFr
     return shaped.select("query_id", "position", "collection", "doc_id", "title", "url", "relevance", "band", "reranked")
 
 
+def answer_requests(queries: DataFrame, nodes: DataFrame, edges: DataFrame, run: Callable[[DataFrame, DataFrame], DataFrame], limit: int, mode: str = "auto", min_relevance: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Search requests from end to end: queries (query_id, query) expanded by the graph, searched, enriched with the graph's
+    contexts, and searched once more by a hint where the first pass is weak.
+
+    run: (the queries to search, the queries as asked) to shaped results, as `search_collections`. Result: results (with
+    rescued, graph_context), responses (query_id, verdict, rescue_query, strategy, answer, entities, entities_found, reranked,
+    best, no_confident_results).
+    """
+    texts = queries.select(F.col("query_id").alias("text_id"), F.col("query").alias("text"))
+    found = staged(graph.detect_entities(texts, nodes))
+    augmented = staged(augment_queries(queries, nodes, edges))
+    hints = knowledge.retry_hints(texts, found, nodes, edges).withColumnRenamed("text_id", "query_id")
+    asked = augmented.select("query_id", F.col("expanded").alias("query"))
+
+    def passes(batch: DataFrame) -> DataFrame:  # a second pass is boosted by what it asks itself
+        own = batch.join(augmented.select("query_id", F.col("query").alias("_asked"), F.col("expanded").alias("_expanded")), "query_id", "left")
+        return run(batch, own.select("query_id", F.when(F.col("query") == F.col("_expanded"), F.col("_asked")).otherwise(F.col("query")).alias("query")))
+
+    results, verdicts = rt.corrective_search(passes, asked, limit, mode, min_relevance, hints)
+    results = staged(results)
+    best = results.groupBy("query_id").agg(F.round(F.max("relevance"), 3).alias("best"), F.bool_and("reranked").alias("reranked"), F.count("*").alias("n"))
+    responses = verdicts.join(augmented.select("query_id", "answer", "entities"), "query_id", "left").join(best, "query_id", "left")
+    responses = responses.withColumns({"entities_found": F.coalesce(F.size("entities"), F.lit(0)), "best": F.coalesce("best", F.lit(0.0)), "no_confident_results": F.col("n").isNull()}).drop("n")
+    return knowledge.enrich_results(results, found.select(F.col("text_id").alias("query_id")), nodes, edges), responses
+
+
+INDEXES = ("dense", "bm25")
+
+
+def open_index(spark: SparkSession, path: str) -> Callable[[DataFrame, int], DataFrame]:
+    """The search over what a collection's folder holds: `bm25` (postings, lengths, frequencies), `dense` (chunk_id, embedding), or
+    both, fused. queries: query_id, query, and embedding for a dense search. An empty folder is an error."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    has = {n for n in INDEXES if fs_path(f"{path}/{n}").getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path(f"{path}/{n}"))}
+    if not has:
+        raise ValueError(f"no index in {path}")
+    bm25 = rt.BM25Index.load(spark, f"{path}/bm25") if "bm25" in has else None
+    corpus = spark.read.parquet(f"{path}/dense") if "dense" in has else None
+    if bm25 is not None and corpus is not None:
+        return lambda queries, k: rt.hybrid_search(bm25, corpus, queries, k)
+    if corpus is not None:
+        return lambda queries, k: rt.dense_search(corpus, queries, k)
+    return bm25.search
+
+
 def similar_documents(index: rt.BM25Index, chunks: DataFrame, documents: DataFrame, limit: int = 5) -> DataFrame:
     """Documents similar to each of `documents` (doc_id, text): by their best of 30 chunks, without the document itself."""
     q = documents.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))

@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import fnmatch
+import io
 import os
+import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +19,19 @@ from marlstone.operators import convert
 
 # Endings of files that hold no text.
 BINARY_ENDINGS = (
-    "png jpg jpeg gif bmp ico svg webp tif tiff mp3 mp4 wav avi mov mkv flac ogg zip gz tar bz2 xz 7z rar jar war class pyc pyo o so dll exe bin dat db sqlite "
-    "woff woff2 ttf eot otf lock map min.js min.css parquet avro orc pkl npy npz pt onnx safetensors iso dmg pdb"
+    "DS_Store zip tar jar rar gz tgz 7z bz2 xz lz4 zst cab deb rpm pkg dmg iso img "
+    "exe dll so dylib app msi bin run "
+    "class pyc pyo o obj lib a bundle "
+    "mp4 avi mkv mov wmv flv webm m4v 3gp mpg mpeg vob ogv "
+    "mp3 wav flac aac ogg wma m4a opus aiff au ra "
+    "ttf otf woff woff2 eot "
+    "db sqlite sqlite3 mdb accdb "
+    "vmdk vdi qcow2 vhd vhdx "
+    "swf fla unity3d unitypackage blend max 3ds fbx dae stl ply "
+    "etp"
 ).split()
+#: Further endings without text that no reader here takes: images and files of tools.
+OTHER_ENDINGS = "png jpg jpeg gif bmp ico svg webp tif tiff war dat lock map min.js min.css parquet avro orc pkl npy npz pt onnx safetensors pdb".split()
 TEXT_ENDINGS = "json md markdown mdx txt".split()
 
 
@@ -32,17 +48,80 @@ def scan_files(spark: SparkSession, root: str, include: list[str] = [r".*"], exc
     wanted = F.lit(False)
     for p in include:
         wanted = wanted | F.col("path").rlike(f"^(?:{p})$")
-    f = f.filter(wanted & ~F.lower("path").rlike(r"\.(?:" + "|".join(e.replace(".", r"\.") for e in BINARY_ENDINGS) + ")$"))
+    f = f.filter(wanted & ~F.lower("path").rlike(r"\.(?:" + "|".join(re.escape(e.lower()) for e in BINARY_ENDINGS + OTHER_ENDINGS) + ")$"))
     for p in exclude:
         f = f.filter(~F.col("path").rlike(p))
     return f.select("path", F.col("modificationTime").alias("modified"), "length", "content")
 
 
-def text_files(files: DataFrame) -> DataFrame:
-    """Text of files that are read as UTF-8; a file that can't be decoded has an error and no text."""
+def text_files(files: DataFrame, fail_fast: bool = False) -> DataFrame:
+    """Text of files that are read as UTF-8; a file that can't be decoded has an error and no text, or with `fail_fast` stops the
+    read with an error that names it."""
     ok = F.expr("is_valid_utf8(cast(content as string))")
     known = F.lower("path").rlike(r"\.(?:" + "|".join(TEXT_ENDINGS) + ")$")
-    return files.select("path", "modified", F.when(known & ok, F.col("content").cast("string")).alias("text"), F.when(~known, "unsupported").when(~ok, "not utf-8").alias("error"))
+    error = F.when(~known, "unsupported").when(~ok, "not utf-8")
+    text = F.when(known & ok, F.col("content").cast("string"))
+    if fail_fast:
+        text = F.when(known & ~ok, F.raise_error(F.concat(F.lit("not utf-8: "), "path"))).otherwise(text)
+    return files.select("path", "modified", text.alias("text"), error.alias("error"))
+
+
+def _word_pages(content: bytes) -> list[str]:
+    """Pages of a word processor file (a zip with word/document.xml): paragraphs by line, a page ends at a break that the writer
+    set or the layout left."""
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        root = ElementTree.fromstring(z.read("word/document.xml"))
+    pages: list[list[str]] = [[]]
+    for p in root.iter(f"{w}p"):
+        line = ""
+        for x in p.iter():
+            if x.tag == f"{w}lastRenderedPageBreak" or (x.tag == f"{w}br" and x.get(f"{w}type") == "page"):
+                pages[-1].append(line)
+                pages.append([])
+                line = ""
+            elif x.tag == f"{w}t":
+                line += x.text or ""
+            elif x.tag in (f"{w}tab", f"{w}br"):
+                line += "\t" if x.tag == f"{w}tab" else "\n"
+        pages[-1].append(line)
+    return ["\n".join(p).strip() for p in pages]
+
+
+def _pdf_pages(content: bytes) -> list[str]:
+    try:
+        from pypdf import PdfReader
+    except ImportError as e:
+        raise ValueError("no PDF reader installed") from e
+    return [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
+
+
+PAGE_READERS = {"docx": _word_pages, "pdf": _pdf_pages}
+
+
+def file_pages(files: DataFrame) -> DataFrame:
+    """Pages of files that have pages: path, modified, page (from 1), text, error. Empty pages are left out; a file that can't be
+    read has one row with its error. PDF files need pypdf."""
+    base = files.filter(F.lower("path").rlike(r"\.(?:" + "|".join(PAGE_READERS) + ")$")).select("path", "modified", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, modified, content in zip(b["path"], b["modified"], b["content"]):
+                try:
+                    pages = PAGE_READERS[path.rsplit(".", 1)[1].lower()](bytes(content))
+                    out += [(path, modified, i, t, None) for i, t in enumerate(pages, 1) if t]
+                except Exception as e:  # any damage to a file is its own
+                    out.append((path, modified, None, None, f"{type(e).__name__}: {e}"[:300]))
+            yield pd.DataFrame(out, columns=["path", "modified", "page", "text", "error"]).astype({"page": "Int64"})
+
+    return base.mapInPandas(run, "path string, modified timestamp, page int, text string, error string")
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """Paths below a folder with size and time, without those of writes under way (names that start with `_` or `.`, or end in
+    `.tmp`)."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", F.col("modificationTime").alias("modified")).filter(~F.col("path").rlike(r"\.tmp$"))
 
 
 def read_stats(read: DataFrame) -> DataFrame:
@@ -71,14 +150,28 @@ def existing_keys(texts: DataFrame, field: str = "issue_key") -> DataFrame:
     return texts.select(F.regexp_extract(F.substring("text", 1, 8192), rf"(?m)^{field}:\s*\"?([^\"\n]+?)\"?\s*$", 1).alias("key")).filter("key <> ''").distinct()
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+def read_sessions(spark: SparkSession, path: str, project: str | None = None, modified_after: str | None = None, existing: DataFrame | None = None, with_tools: bool = False) -> DataFrame:
     """Session logs (JSON lines of type, message{role, content}, isMeta, isSidechain) as messages: session, pos, role, text.
-    Side chains, meta lines, tool results and messages of plumbing only are dropped."""
+
+    Side chains, meta lines, tool results and messages of plumbing only are dropped. project: only files in folders whose name
+    holds it; modified_after: only files changed since; existing: sessions (session) that are left out. with_tools: an answer's
+    tool uses are listed in it as `> **Tool:** name` lines, and its thinking as details.
+    """
     schema = "type string, sessionId string, isMeta boolean, isSidechain boolean, timestamp string, message struct<role:string, content:string>"
-    r = spark.read.schema(schema).json(path).withColumn("_file", F.col("_metadata.file_path")).withColumn("pos", F.monotonically_increasing_id())
-    parts = F.from_json("message.content", "array<struct<type:string, text:string>>")
-    text = F.coalesce(F.when(F.col("message.content").startswith("["), F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: p["text"]), "\n\n")), F.col("message.content"))
+    r = spark.read.schema(schema)
+    if modified_after:
+        r = r.option("modifiedAfter", modified_after)
+    r = r.json(path).withColumn("_file", F.col("_metadata.file_path")).withColumn("pos", F.monotonically_increasing_id())
+    if project:
+        r = r.filter(F.contains(F.regexp_extract("_file", r"([^/]+)/[^/]+$", 1), F.lit(project)))
+    parts = F.from_json("message.content", "array<struct<type:string, text:string, name:string, thinking:string>>")
+    shown = F.transform(parts, lambda p: F.when(p["type"] == "text", p["text"]))
+    if with_tools:
+        shown = F.transform(parts, lambda p: F.when(p["type"] == "text", p["text"]).when(p["type"] == "tool_use", F.concat(F.lit("> **Tool:** "), p["name"])).when(p["type"] == "thinking", F.concat(F.lit("<details>\n"), p["thinking"], F.lit("\n</details>"))))
+    text = F.coalesce(F.when(F.col("message.content").startswith("["), F.array_join(F.filter(shown, lambda t: t.isNotNull()), "\n\n")), F.col("message.content"))
     m = r.filter("type in ('user', 'assistant') and not coalesce(isMeta, false) and not coalesce(isSidechain, false)").select(F.coalesce("sessionId", F.regexp_extract("_file", r"([^/]+)\.jsonl$", 1)).alias("session"), "pos", F.coalesce("message.role", "type").alias("role"), tx.clean_command_text(text).alias("text"))
+    if existing is not None:
+        m = m.join(existing.select("session").distinct(), "session", "left_anti")
     return m.filter("text <> ''")
 
 
@@ -108,6 +201,13 @@ def graph_files(folders: list[str], extra: list[str] = [], patterns: list[str] =
     return list(dict.fromkeys([*found, *extra]))
 
 
+def graph_paths(folders: list[str], extra: list[str] = [], variable: str = "GRAPH_PATHS") -> list[str]:
+    """Graph files in order of precedence: those an environment variable names (parted by the system's path sign), else those of
+    the folders and the extra ones; files that don't exist are left out."""
+    named = [p for p in os.environ.get(variable, "").split(os.pathsep) if p]
+    return [p for p in (named or graph_files(folders, extra)) if os.path.exists(p)]
+
+
 def read_graphs(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of graph files, with file_no for `merge_nodes` and `merge_edges`."""
     props = "map<string,string>"

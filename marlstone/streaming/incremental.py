@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from marlstone.operators.maintenance import VersionedTables, upsert_chunks
+from marlstone.operators.maintenance import BucketedTable, VersionedTables, upsert_chunks
 
 
 def upsert_stream(changes: DataFrame, store: VersionedTables, name: str, checkpoint: str, order: list[str], key: str = "doc_id", id: str = "chunk_id", wrap: Callable | None = None):
@@ -32,6 +32,18 @@ def upsert_stream(changes: DataFrame, store: VersionedTables, name: str, checkpo
     return (wrap(w) if wrap else w.trigger(availableNow=True)).start()
 
 
+def upsert_buckets(changes: DataFrame, table: BucketedTable, checkpoint: str, order: list[str], wrap: Callable | None = None):
+    """As `upsert_stream`, into a bucketed table: a micro-batch rewrites only the buckets of its documents, and one that is run
+    again after it was applied is skipped."""
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        if not batch.isEmpty():
+            table.apply(batch, order, f"{checkpoint}#{epoch}")
+
+    w = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (wrap(w) if wrap else w.trigger(availableNow=True)).start()
+
+
 def event_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions per user of a stream or table of events (ts, user_id, value): started, ended, events, total."""
     w = F.session_window("ts", gap)
@@ -78,6 +90,18 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def compact_log(log: DataFrame, path: str, keep: int = 500, at: str = "started") -> None:
+#: Lines after which a log is compacted, and those that stay.
+LOG_LINES, LOG_KEPT = 1_500, 500
+
+
+def compact_log(log: DataFrame, path: str, keep: int = LOG_KEPT, at: str = "started") -> None:
     """The last `keep` rows of a log, written anew in one version."""
     log.orderBy(F.desc_nulls_last(at)).limit(keep).coalesce(1).write.mode("overwrite").json(path)
+
+
+def compact_when_long(log: DataFrame, path: str, lines: int = LOG_LINES, keep: int = LOG_KEPT, at: str = "started") -> bool:
+    """Compacts a log once it has more than `lines` rows; says whether it did."""
+    if log.limit(lines + 1).count() <= lines:
+        return False
+    compact_log(log, path, keep, at)
+    return True

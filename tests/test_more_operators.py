@@ -27,12 +27,17 @@ def test_tags_and_answers(spark):
     assert [r[0] for r in j.collect()] == [["a", "b"], ["c"], None]
 
 
-def test_guarded_record_and_schema(spark):
-    df = spark.createDataFrame([("x",), ("y" * 3000,)], "d string").select(cv.guarded_record(F.struct("d")).alias("r"))
-    assert [r[0] for r in df.collect()] == ['{"d":"x"}', None]
-    assert mt.check_schema(df, {"r": "string"}) is df
+def test_guarded_records_and_schema(spark):
+    phases = "phases array<struct<name:string,detail:string>>"
+    df = spark.createDataFrame([(1, [("a", "x"), ("b", "y" * 3000), ("c", None)], "e"), (2, [], "z" * 70_000), (3, None, None)], f"n int, {phases}, error string")
+    got = {r["n"]: json.loads(r["record"]) for r in cv.guarded_records(df).collect()}
+    assert got[1] == {"n": 1, "phases": [{"name": "a", "detail": "x"}, {"name": "b", "detailTruncated": True}, {"name": "c"}], "error": "e"}
+    assert len(got[2]["error"]) == 2048 and got[3] == {"n": 3}
+    one = spark.createDataFrame([("x",), ("y" * 3000,)], "d string")
+    assert [json.loads(r["record"])["d"] for r in cv.guarded_records(one).collect()] == ["x", "y" * 3000]
+    assert mt.check_schema(one, {"d": "string"}) is one
     try:
-        mt.check_schema(df, {"r": "int"})
+        mt.check_schema(one, {"d": "int"})
         raise AssertionError
     except ValueError:
         pass
