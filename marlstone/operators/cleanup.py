@@ -143,6 +143,18 @@ def excluded_manifest(docs: DataFrame, reason: Column, id: str = "doc_id") -> tu
     return d.filter("_reason is null").drop("_reason"), d.filter("_reason is not null").select(F.col(id).alias("id"), F.col("_reason").alias("reason"), F.col("path"), F.col("title"))
 
 
+def exclusion_moves(files: DataFrame, excluded: DataFrame, folder: str = ".excluded") -> DataFrame:
+    """Where files (path) move: those of excluded documents (path, reason) into a folder of the same shape, those there that
+    aren't excluded any more back, excluded ones whose file is gone nowhere: path, target, action (exclude, restore, prune)."""
+    inside = F.startswith("path", F.lit(f"{folder}/"))
+    plain = F.when(inside, F.substring("path", len(folder) + 2, 10_000)).otherwise(F.col("path"))
+    f = files.select("path", plain.alias("_plain"), inside.alias("_inside"))
+    j = f.join(excluded.select(F.col("path").alias("_plain"), F.lit(True).alias("_out")).distinct(), "_plain", "full_outer")
+    action = F.when(F.col("path").isNull(), "prune").when(F.col("_out") & ~F.col("_inside"), "exclude").when(F.col("_out").isNull() & F.col("_inside"), "restore")
+    target = F.when(action == "exclude", F.concat(F.lit(f"{folder}/"), "_plain")).when(action == "restore", F.col("_plain"))
+    return j.select(F.coalesce("path", "_plain").alias("path"), target.alias("target"), action.alias("action")).filter("action is not null")
+
+
 def latest_deliveries(df: DataFrame, key: str, at: str = "received_at", tie: str = "ingest_id") -> DataFrame:
     """One row a key, as delivered last; rows without a key stay each. An aggregate: a key of many rows is combined before the
     shuffle."""

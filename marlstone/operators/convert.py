@@ -165,6 +165,12 @@ def chunk_documents(df: DataFrame, id: str, text: str, splitter: Callable[[str],
     return out.select(F.col("_id").alias(id), F.posexplode("c").alias("chunk_number", "x")).select(id, "chunk_number", "x.heading", F.col("x.text").alias("chunk"))
 
 
+def with_fallback_chunk(chunks: DataFrame, documents: DataFrame, id: str = "doc_id", crumb: str = "breadcrumb") -> DataFrame:
+    """Chunks, and for each document (id, breadcrumb) without any one chunk that holds its breadcrumb."""
+    none = documents.join(chunks.select(id).distinct(), id, "left_anti")
+    return chunks.unionByName(none.select(id, F.lit(0).alias("chunk_number"), F.lit(None).cast("string").alias("heading"), F.col(crumb).alias("chunk")))
+
+
 def indexed_text(crumb: Column, tags: Column, epic: Column, heading: Column, body: Column) -> Column:
     """What is indexed of a chunk: breadcrumb, tags, epic and heading lines, then its body."""
     line = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c))

@@ -4,10 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle
-from marlstone.operators import collection_queries, coverage_queries, knowledge_queries, more_queries, oracle_queries, retrieval_queries, timestamp_queries
+from marlstone.operators import collection_queries, coverage_queries, knowledge_queries, more_queries, oracle_queries, retrieval_queries, source_queries, timestamp_queries
 
-OWN = {**retrieval_queries.QUERIES, **collection_queries.QUERIES, **more_queries.QUERIES, **knowledge_queries.QUERIES, **coverage_queries.QUERIES, **oracle_queries.QUERIES, **timestamp_queries.QUERIES}
-SQL = {**retrieval_queries.SQL, **collection_queries.SQL, **more_queries.SQL, **knowledge_queries.SQL, **coverage_queries.SQL, **oracle_queries.SQL}
+OWN = {**retrieval_queries.QUERIES, **collection_queries.QUERIES, **more_queries.QUERIES, **knowledge_queries.QUERIES, **coverage_queries.QUERIES, **oracle_queries.QUERIES, **source_queries.QUERIES, **timestamp_queries.QUERIES}
+SQL = {**retrieval_queries.SQL, **collection_queries.SQL, **more_queries.SQL, **knowledge_queries.SQL, **coverage_queries.SQL, **oracle_queries.SQL, **source_queries.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(OWN))
