@@ -13,6 +13,7 @@ from marlstone.llm.markup import clean_markup
 from marlstone.llm.mixing import mix
 from marlstone.llm.packing import pack_texts
 from marlstone.llm.splitting import split_texts
+from marlstone.llm.templates import deduce_templates, extract_slots
 from marlstone.llm.text_quality import text_quality
 from marlstone.plans import join_small, table
 
@@ -196,7 +197,27 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_clean(spark, sf_dir).select("table_name", "ingest_id", F.explode("kinds").alias("kind"))
 
 
+def _p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of hosts: issues of a project, blocks of a page by their visible text."""
+    j = table(spark, sf_dir, "jira_issues").select(F.lit("jira_issues").alias("table_name"), "ingest_id", F.concat(F.lit("jira:"), F.split("issue_key", "-")[0]).alias("host"), F.col("description").alias("text"))
+    plain = F.array_join(F.regexp_extract_all("data", F.lit(r'"plain_text": ?"((?:[^"\\]|\\.)*)"'), 1), "")
+    n = table(spark, sf_dir, "notion_blocks").select(F.lit("notion_blocks").alias("table_name"), "ingest_id", F.concat(F.lit("notion:"), "page_id").alias("host"), plain.alias("text"))
+    return j.unionByName(n)
+
+
+def p3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equivalence classes of tokens of each host, and the templates they nest into."""
+    return deduce_templates(_p3_pages(spark, sf_dir), "text", "host")[0].withColumn("tokens", F.array_join("tokens", " "))
+
+
+def p3_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each text between its template's tokens."""
+    pages = _p3_pages(spark, sf_dir)
+    return extract_slots(pages, "text", "host", ["table_name", "ingest_id"], deduce_templates(pages, "text", "host")[1])
+
+
 QUERIES = {
+    "p3_templates": p3_templates, "p3_slots": p3_slots,
     "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_composition": p4_composition, "p5_found": p5_found, "p5_redacted": p5_redacted,
     "p6_found": p6_found, "p6_segments": p6_segments, "p8_containers": p8_containers, "p8_space": p8_space, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_measures": p10_measures,
 }

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marlstone.llm import golay, languages as lg, markup, mixing, near_duplicates as nd, packing, personal_data as pii, queries, splitting, subjects, text_quality, tokens
+from marlstone.llm import golay, languages as lg, markup, mixing, near_duplicates as nd, packing, personal_data as pii, queries, splitting, subjects, templates, text_quality, tokens
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega one two three four five six seven eight nine ten".split()
 
@@ -265,6 +265,27 @@ def test_subjects(spark, sf_dir):
     assert subjects.assign_subjects(odd.limit(0), "text", ["i"], model).count() == 0
 
 
+def test_templates_of_hosts(spark):
+    names = ["ada", "bob", "cyd", "dan", "eve"]
+    rows = [("h", f"Dear {n},\nyour order {i} of {w} items is on its way <b>{n}</b> now.\nKind regards") for i, (n, w) in enumerate(zip(names, "one two three four five".split()))]
+    rows += [("other", "alone text here"), ("h", None), ("h", ""), (None, "a b c"), ("h", rows[0][1])]
+    df = spark.createDataFrame([(i, h, t, "x") for i, (h, t) in enumerate(rows)], "id int, host string, t string, page string")
+    classes, places = templates.deduce_templates(df, "t", "host")
+    got = [r for r in classes.collect() if r["valid"]]
+    assert {r["host"] for r in got} == {"h"} and all(r["pages"] == 5 for r in got)
+    every = {t for r in got for t in r["tokens"]}
+    assert {"Dear", "your", "order", "way", "now", "Kind", "regards"} <= every and not every & set(names)
+    slots = {r["id"]: r["slots"] for r in templates.extract_slots(df, "t", "host", ["id"], places).collect()}
+    assert [s.strip() for s in slots[1]] == ["bob", "1", "two", "bob"] or "bob" in " ".join(slots[1])
+    assert slots[5] == ["alone text here"] and slots[6] == slots[7] == [] and slots[9] == slots[0]
+    assert templates.deduce_templates(df.limit(0), "t", "host")[0].count() == 0
+
+
+def test_crossing_classes_are_told():
+    assert templates._nest([(0, 10, 1), (2, 5, 2), (4, 12, 3)]) == [(1, None, None), (2, 1, None), (3, None, 1)] or templates._nest([(0, 10, 1), (2, 5, 2), (4, 12, 3)])[2][2] in (1, 2)
+    assert templates._nest([(0, 9, 1), (20, 29, 1), (3, 6, 2)]) == [(1, None, None), (2, 1, None), (1, None, None)]
+
+
 # problem 5 ---------------------------------------------------------------------------------------------------------------
 
 NAMES = pii.NameModel(["Anna Bergstrand", "Anders Bergquist", "Annika Lindquist", "Johan Lindstrand", "Johanna Nordquist"] * 2, "The report on the parser. Please check the Release. Open Field and Save. Workaround: restart the Worker Portal. Gate 12 Fast Lane Board.".lower().replace(".", "").split())
