@@ -620,8 +620,12 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(graph.mean_vectors(table(spark, sf_dir, "embeddings"), "vec_id"))
 
 
-def _vector_pairs(vectors: DataFrame, threshold: float | None = None) -> DataFrame:
-    return graph.document_similarities(vectors, -(-vectors.count() // VECTOR_BLOCK) or 1, threshold)
+def _vector_pairs(vectors: DataFrame, threshold: float | None = None, nearest: int | None = None) -> DataFrame:
+    return graph.document_similarities(vectors, -(-vectors.count() // VECTOR_BLOCK) or 1, threshold, nearest)
+
+
+def _vector_threshold(vectors: DataFrame) -> DataFrame:
+    return graph.histogram_threshold(graph.similarity_histogram(vectors, -(-vectors.count() // VECTOR_BLOCK) or 1))
 
 
 def _vector_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -630,18 +634,18 @@ def _vector_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The percentile of the similarities of all pairs of vectors."""
-    return graph.similarity_threshold(_vector_pairs(_vectors(spark, sf_dir)))
+    return _vector_threshold(_vectors(spark, sf_dir))
 
 
 def vector_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest neighbours of each vector, every pair once."""
-    return graph.nearest_edges(_vector_pairs(_vectors(spark, sf_dir)), 3, -1.0)
+    return graph.nearest_edges(_vector_pairs(_vectors(spark, sf_dir), nearest=3), 3, -1.0)
 
 
 def vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector, its class, and how many other vectors are as similar as the threshold."""
     v = _vectors(spark, sf_dir)
-    t = graph.similarity_threshold(_vector_pairs(v)).first()[0]
+    t = _vector_threshold(v).first()[0]
     pairs = _vector_pairs(v, t)
     links = pairs.select(F.explode(F.array("a", "b")).alias("vec_id")).groupBy("vec_id").agg(F.count("*").alias("links"))
     return _vector_classes(spark, sf_dir).join(links, "vec_id", "left").select("vec_id", "label", F.coalesce("links", F.lit(0)).alias("links"))
@@ -650,7 +654,7 @@ def vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of the vectors linked at the threshold, named by the commonest classes in them."""
     v = _vectors(spark, sf_dir)
-    t = graph.similarity_threshold(_vector_pairs(v)).first()[0]
+    t = _vector_threshold(v).first()[0]
     t = t if t is not None else 1.0
     pairs = staged(_vector_pairs(v, t))
     docs = _vector_classes(spark, sf_dir).select(F.col("vec_id").alias("doc"), F.col("vec_id").cast("string").alias("title"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("category"), F.array().cast("array<string>").alias("tags"))

@@ -285,35 +285,74 @@ def mean_vectors(chunks: DataFrame, doc: str = "doc_id", vector: str = "embeddin
     return v.select("doc", F.when(norm > 0, F.transform("v", lambda x: x / norm)).otherwise(F.col("v")).alias("vector"))
 
 
-def document_similarities(vectors: DataFrame, blocks: int | None = None, threshold: float | None = None) -> DataFrame:
-    """Cosines of all pairs of documents (a < b): a, b, similarity. Documents are dealt to blocks; a task multiplies two
-    blocks, so no side is broadcast whole. The pairs are what is asked for: use `threshold` on more than some ten thousand."""
-    n = vectors.count()
-    k = blocks or max(1, -(-n // 2000))
+def _blocks(vectors: DataFrame, blocks: int | None) -> tuple[DataFrame, DataFrame, str]:
+    """Documents dealt to blocks, each block beside every other once: the two sides, and the type of the ids."""
+    k = blocks or max(1, -(-vectors.count() // 2000))
     v = vectors.withColumn("_b", F.pmod(F.xxhash64("doc"), F.lit(k)).cast("int"))
     left = v.select(F.col("_b").alias("_x"), "doc", "vector", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_y")).filter("_x <= _y")
     # new names: a plan that cogroups a frame with itself would otherwise lose one side's columns to pruning
     right = v.select(F.col("_b").alias("_y"), F.col("doc").alias("doc2"), F.col("vector").alias("vector2"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_x")).filter("_x <= _y")
-    kind = vectors.schema["doc"].dataType.simpleString()
+    return left, right, vectors.schema["doc"].dataType.simpleString()
+
+
+def _cosines(key: tuple, l: pd.DataFrame, r: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of both sides, cosines (rounded to 6 places), and which pairs count: each unordered pair once."""
+    a, b = l["doc"].to_numpy(), r["doc2"].to_numpy()
+    s = (np.array(l["vector"].tolist()) @ np.array(r["vector2"].tolist()).T).round(6)  # before it meets a threshold, which is rounded too
+    return a, b, s, (a[:, None] < b[None, :]) if key[0] == key[1] else np.ones(s.shape, bool)
+
+
+def document_similarities(vectors: DataFrame, blocks: int | None = None, threshold: float | None = None, nearest: int | None = None) -> DataFrame:
+    """Cosines of pairs of documents (a < b): a, b, similarity. Documents are dealt to blocks; a task multiplies two blocks, so no
+    side is broadcast whole. All pairs are n * n rows: use `threshold`, or `nearest` (of each document the k most similar ones of
+    each block, smaller ids first among ties, from which `nearest_edges` takes the same as from all), or `similarity_histogram`."""
+    left, right, kind = _blocks(vectors, blocks)
 
     def run(key: tuple, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(l) and len(r):
-            s = np.array(l["vector"].tolist()) @ np.array(r["vector2"].tolist()).T
-            s = s.round(6)  # before it meets a threshold, which is rounded too
-            a, b = l["doc"].to_numpy(), r["doc2"].to_numpy()
-            aa, bb = np.broadcast_to(a[:, None], s.shape).ravel(), np.broadcast_to(b[None, :], s.shape).ravel()
-            keep = (aa < bb) if key[0] == key[1] else np.ones(len(aa), bool)
-            if threshold is not None:
-                keep &= s.ravel() >= threshold
-            aa, bb, s = aa[keep], bb[keep], s.ravel()[keep]
-            swap = aa > bb
-            out.append(pd.DataFrame({"a": np.where(swap, bb, aa), "b": np.where(swap, aa, bb), "similarity": s}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"similarity": float})
+        if not len(l) or not len(r):
+            return pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"similarity": float})
+        a, b, s, keep = _cosines(key, l, r)
+        if threshold is not None:
+            keep = keep & (s >= threshold)
+        if nearest is not None:
+            best = np.zeros(s.shape, bool)
+            own = np.where(a[:, None] == b[None, :], -np.inf, s)  # within one block every document also stands on the other side
+            for m, t, ids in ((own, best, b), (own.T, best.T, a)):
+                order = np.lexsort((np.broadcast_to(ids, m.shape), -m), axis=1)[:, :nearest]
+                np.put_along_axis(t, order, True, axis=1)
+            keep = keep & best
+        i, j = np.nonzero(keep)
+        x, y, s = a[i], b[j], s[i, j]
+        return pd.DataFrame({"a": np.where(x > y, y, x), "b": np.where(x > y, x, y), "similarity": s})
 
     return left.groupBy("_x", "_y").cogroup(right.groupBy("_x", "_y")).applyInPandas(run, f"a {kind}, b {kind}, similarity double")
 
 
+def similarity_histogram(vectors: DataFrame, blocks: int | None = None) -> DataFrame:
+    """How many pairs of documents have each cosine: similarity (of 6 places, so at most two million rows), n. Each task counts
+    its own pairs."""
+    left, right, _ = _blocks(vectors, blocks)
+
+    def run(key: tuple, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(l) or not len(r):
+            return pd.DataFrame({"similarity": np.zeros(0), "n": np.zeros(0, np.int64)})
+        _, _, s, keep = _cosines(key, l, r)
+        values, n = np.unique(s[keep], return_counts=True)
+        return pd.DataFrame({"similarity": values, "n": n.astype(np.int64)})
+
+    parts = left.groupBy("_x", "_y").cogroup(right.groupBy("_x", "_y")).applyInPandas(run, "similarity double, n long")
+    return parts.groupBy("similarity").agg(F.sum("n").alias("n"))
+
+
+def histogram_threshold(histogram: DataFrame, q: float = 0.75) -> DataFrame:
+    """The exact percentile of a histogram's values, linear between them: one row, threshold (null for an empty one)."""
+    whole = Window.orderBy("similarity").rowsBetween(Window.unboundedPreceding, 0)  # a bounded table
+    h = histogram.withColumn("_to", F.sum("n").over(whole)).crossJoin(F.broadcast(histogram.agg(((F.sum("n") - 1) * F.lit(q)).alias("_at"))))  # one row
+    low, high = F.min(F.when(F.col("_to") > F.floor("_at"), F.col("similarity"))), F.min(F.when(F.col("_to") > F.ceil("_at"), F.col("similarity")))
+    part = F.max(F.col("_at") - F.floor("_at"))
+    return h.agg(F.round(low + (high - low) * part, 6).alias("threshold"))
+
+
 def similarity_threshold(pairs: DataFrame, q: float = 0.75) -> DataFrame:
     """The exact percentile of the similarities, linear between values: one row, threshold."""
     return pairs.agg(F.round(F.percentile("similarity", q), 6).alias("threshold"))
@@ -326,9 +365,10 @@ def nearest_edges(pairs: DataFrame, k: int, least: float = 0.0) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").distinct()
 
 
-def louvain(edges: list[tuple], resolution: float = 1.0) -> dict:
+def louvain(edges: list[tuple], resolution: float = 1.0, whole: float | None = None) -> dict:
     """Communities of a weighted undirected graph by modularity: nodes move in order of their ids while that gains, then
-    communities become nodes, until nothing gains. Deterministic; community numbers follow the first node."""
+    communities become nodes, until nothing gains. Deterministic; community numbers follow the first node. whole: the weight of
+    the whole graph's edges, where `edges` are those of one of its connected components."""
     nodes = sorted({x for a, b, _ in edges for x in (a, b)})
     at = {v: i for i, v in enumerate(nodes)}
     near: list[dict[int, float]] = [{} for _ in nodes]
@@ -338,7 +378,7 @@ def louvain(edges: list[tuple], resolution: float = 1.0) -> dict:
         if i != j:
             near[j][i] = near[j].get(i, 0.0) + w
     member = list(range(len(nodes)))
-    total = sum(w for i, d in enumerate(near) for j, w in d.items() if j >= i)
+    total = whole if whole is not None else sum(w for i, d in enumerate(near) for j, w in d.items() if j >= i)
     while total > 0:
         n = len(near)
         of, degree = list(range(n)), [sum(d.values()) + d.get(i, 0.0) for i, d in enumerate(near)]
@@ -380,17 +420,42 @@ def louvain(edges: list[tuple], resolution: float = 1.0) -> dict:
     return {v: member[i] for v, i in at.items()}
 
 
+def connected_components(links: DataFrame, a: str, b: str, rounds: int = 200) -> DataFrame:
+    """Connected components of the undirected graph of `links` by alternating large and small stars (node, component: the
+    least node). Each round is cut to the checkpoint folder; it ends when a round changes nothing. The rounds grow with the
+    logarithm of the nodes; a graph that isn't done after `rounds` of them is an error."""
+    e = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
+    for _ in range(rounds):
+        if e.isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        ends = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        far = ends.join(near, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        root = far.groupBy("u").agg(F.min("v").alias("m"))
+        now = cut(far.join(root, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(root.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        if now.count() == e.count() and now.join(e, ["u", "v"], "left_anti").isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        e = now
+    raise RuntimeError(f"components aren't found after {rounds} rounds")
+
+
 def communities(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Communities of the graph of pairs at or above the threshold: doc, community. Documents without an edge get numbers of
-    their own after the others. The edges of one document collection go to one task: they must fit in it."""
+    """Communities of the graph of pairs at or above the threshold: doc, community. Communities never reach beyond a connected
+    component, so each component is a task of its own; the edges of one component must fit in it. Numbers follow the first
+    document; documents without an edge get numbers of their own after the others."""
     kind = docs.schema["doc"].dataType.simpleString()
-    edges = pairs.filter(F.col("similarity") >= threshold)
+    edges = cut(pairs.filter(F.col("similarity") >= threshold).select("a", "b", "similarity"))
+    whole = float(edges.agg(F.sum("similarity")).first()[0] or 0.0)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = louvain(sorted(zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["similarity"].tolist())))
-        return pd.DataFrame({"doc": list(got), "community": list(got.values())})
-
-    found = cut(edges.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, f"doc {kind}, community int"))
+        got = louvain(sorted(zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["similarity"].tolist())), whole=whole)
+        return pd.DataFrame({"doc": list(got), "own": list(got.values())})
+
+    of = connected_components(edges, "a", "b").withColumnRenamed("node", "a")
+    found = cut(edges.join(of, "a").groupBy("component").applyInPandas(lambda k, pdf: run(pdf).assign(component=k[0]), f"doc {kind}, own int, component {kind}"))
+    first = found.groupBy("component", "own").agg(F.min("doc").alias("first"))
+    named = number_chunks(first, -1, ["first"], "community").select("component", "own", F.col("community").cast("int").alias("community"))
+    found = cut(found.join(named, ["component", "own"]).select("doc", "community"))
     last = found.agg(F.max("community")).first()[0]
     rest = docs.select("doc").distinct().join(found, "doc", "left_anti")
     rest = number_chunks(rest, last if last is not None else -1, ["doc"], "community").withColumn("community", F.col("community").cast("int"))

@@ -28,9 +28,9 @@ def number_chunks(new: DataFrame, last_id: int, order: list[str], id: str = "chu
     """New chunks with ids after the high-water mark, which never falls, in the order given. Ids are dense and dealt per
     partition of the sorted rows: counts first, offsets second, so no single task sees all rows."""
     s = cut(new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
-    sizes = s.groupBy("_p").agg(F.count("*").alias("n"), F.min("_m").alias("first"))  # one row a partition
-    offsets = sizes.select("_p", "first", (F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
-    return s.join(F.broadcast(offsets), "_p").withColumn(id, F.col("_m") - F.col("first") + F.coalesce("before", F.lit(0)) + F.lit(last_id + 1)).drop("_p", "_m", "first", "before")
+    sizes = s.groupBy("_p").agg(F.count("*").alias("_size"), F.min("_m").alias("_first"))  # one row a partition
+    offsets = sizes.select("_p", "_first", (F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
+    return s.join(F.broadcast(offsets), "_p").withColumn(id, F.col("_m") - F.col("_first") + F.coalesce("_before", F.lit(0)) + F.lit(last_id + 1)).drop("_p", "_m", "_first", "_before")
 
 
 def upsert_chunks(indexed: DataFrame, changed: DataFrame, last_id: int, order: list[str], key: str = "doc_id", id: str = "chunk_id", source_ids: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as tx
 from marlstone.operators import collection_queries as cq
 from marlstone.operators.retrieval_queries import BM25_CTE, K, TITLE_BOOST_SQL, WORDS
 
@@ -114,6 +115,27 @@ res AS (SELECT query_id, position, collection, doc_id, title, url, relevance, CA
 SEARCH_PIPELINE_SQL = f"WITH RECURSIVE {PIPELINE_CTE} SELECT * FROM res"
 RENDERED_RESULTS_SQL = f"""WITH RECURSIVE {PIPELINE_CTE} SELECT query_id, string_agg(concat_ws(chr(10), '### ' || (position + 1) || '. ' || coalesce(nullif(title, ''), doc_id::VARCHAR) || ' (' || round_even(relevance * 100, 0)::INT || '%, ' || band || ')', nullif(url, '')), chr(10) || chr(10) ORDER BY position) AS markdown FROM res GROUP BY 1"""
 
+_STOP = "[" + ", ".join(f"'{w}'" for w in sorted(tx.STOPWORDS)) + "]"
+_SIGNS = "[.,!?;:\"''()]+"
+_SCORED = BM25_CTE.split("scored AS")[1].split("bm25 AS")[0].replace("FROM asked a", "FROM asked2 a")
+CORRECTIVE_VERDICTS_SQL = rf"""WITH {BM25_CTE},
+q AS (SELECT doc_id AS query_id, title, trim(title) AS s, lower(trim(title)) AS low, string_split_regex(trim(title), '\s+') AS ws FROM documents WHERE doc_id % 50 = 0 AND title IS NOT NULL),
+w AS (SELECT *, list_transform(ws, lambda x: regexp_replace(lower(x), '^{_SIGNS}|{_SIGNS}$', '', 'g')) AS pl, regexp_replace(s, '\s*\([^)]*\)\s*$', '') AS bare, trim(replace(s, '"', '')) AS plain FROM q),
+l AS (SELECT *, list_max(list_filter(range(1, len(ws) + 1), lambda i: pl[i] <> '' AND NOT list_contains({_STOP}, pl[i]))) AS last FROM w),
+r AS (SELECT *, list_concat(ws[1:last - 1], ws[last + 1:]) AS rest, list_concat(pl[1:last - 1], pl[last + 1:]) AS rpl FROM l),
+t AS (SELECT *, array_to_string(rest[1:coalesce(list_max(list_filter(range(1, len(rpl) + 1), lambda i: NOT list_contains({_STOP}, rpl[i]))), 0)], ' ') AS dropped FROM r),
+c AS (SELECT *, CASE {' '.join(f"WHEN instr(low, '{x}') > 1 THEN trim(substr(s, 1, instr(low, '{x}') - 1))" for x in tx.CONJUNCTIONS)} WHEN bare <> s AND trim(bare) <> '' THEN trim(bare) WHEN contains(s, '"') AND plain <> '' THEN plain WHEN len(ws) > 2 AND last IS NOT NULL THEN dropped END AS cand FROM t),
+h AS (SELECT query_id, CASE WHEN len(string_split_regex(cand, '\s+')) > 1 THEN cand END AS hint FROM c),
+one AS (SELECT b.query_id, b.doc_id, round(1 / (1 + exp((0.5 - b.score / (b.score + 8) + 0.15) * 8)), 6) AS rel FROM bm25 b WHERE b.rank < 5),
+sig AS (SELECT h.*, coalesce((SELECT max(rel) FROM one WHERE one.query_id = h.query_id), 0) < 0.45 AS weak FROM h), again AS (SELECT * FROM sig WHERE weak AND hint IS NOT NULL),
+asked2 AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(hint), {WORDS})) AS term FROM again) GROUP BY ALL),
+scored2 AS {_SCORED}
+two AS (SELECT query_id, doc_id, round(1 / (1 + exp((0.5 - score / (score + 8) + 0.15) * 8)), 6) AS rel FROM scored2 WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5),
+both_ AS (SELECT *, false AS rescued FROM one UNION ALL SELECT *, true FROM two), uni AS (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rescued DESC) = 1),
+res AS (SELECT u.* FROM uni u JOIN documents d USING (doc_id) QUALIFY row_number() OVER (PARTITION BY u.query_id ORDER BY u.rel DESC, coalesce(d.source, 'none'), u.doc_id) <= 5),
+g AS (SELECT query_id, count(*) AS results, sum(rescued::INT) AS rescued, max(rel) AS best FROM res GROUP BY 1)
+SELECT s.query_id, CASE WHEN a.query_id IS NOT NULL THEN CASE WHEN coalesce(g.best, 0) < 0.45 THEN 'still_weak' ELSE 'rescued' END WHEN s.weak THEN 'weak_no_hint' ELSE 'confident' END AS verdict, g.results, g.rescued FROM sig s LEFT JOIN again a USING (query_id) LEFT JOIN g ON g.query_id = s.query_id"""
+
 # Texts ---------------------------------------------------------------------------------------------------------------------
 
 _MARK = r"'^\s*[\[(]?(\d{1,2}:\d{2}(?::\d{2})?)[\])]?\s*'"
@@ -134,5 +156,5 @@ SELECT ingest_id, redacted FROM f WHERE body <> redacted"""
 QUERIES = {"run_folds": run_folds, "job_states": job_states}
 SQL = {
     "run_folds": RUN_FOLDS_SQL, "job_states": JOB_STATES_SQL, "last_runs": LAST_RUNS_SQL, "median_by_variant": MEDIAN_BY_VARIANT_SQL, "entity_contexts": ENTITY_CONTEXTS_SQL, "augmented_queries": AUGMENTED_QUERIES_SQL, "author_graph": AUTHOR_GRAPH_SQL,
-    "component_comparison": COMPONENT_COMPARISON_SQL, "search_pipeline": SEARCH_PIPELINE_SQL, "rendered_results": RENDERED_RESULTS_SQL, "transcript_documents": TRANSCRIPT_DOCUMENTS_SQL, "redacted_comments": REDACTED_COMMENTS_SQL,
+    "component_comparison": COMPONENT_COMPARISON_SQL, "search_pipeline": SEARCH_PIPELINE_SQL, "rendered_results": RENDERED_RESULTS_SQL, "transcript_documents": TRANSCRIPT_DOCUMENTS_SQL, "redacted_comments": REDACTED_COMMENTS_SQL, "corrective_verdicts": CORRECTIVE_VERDICTS_SQL,
 }

@@ -78,9 +78,24 @@ def staged(df: DataFrame) -> DataFrame:
     """As `cut`, but as a Parquet table (compressed, column-pruned), for wide frames that are read several times."""
     path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/marlstone-stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGES.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+_STAGES: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables staged so far in this session, once nothing reads them any more (after a result was written);
+    what `kept` wrote stays. Returns their number."""
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    n = 0
+    while _STAGES:
+        p = path(_STAGES.pop())
+        n += bool(p.getFileSystem(conf).delete(p, True))
+    return n
+
+
 def content_key(df: DataFrame) -> str | None:
     """A key of what a frame reads and does: its files with their sizes and times, and its plan. None where it reads no files."""
     files = df.inputFiles()

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from marlstone import plans
 from marlstone.plans import carry_forward, hash_sample, running_sum
 
 
@@ -38,3 +39,26 @@ def test_views(spark, sf_dir):
     register_views(spark, sf_dir, ["documents"], {"bm25_topk": bm25_topk})
     n = spark.sql("SELECT count(*) FROM bm25_topk b JOIN documents d USING (doc_id) WHERE b.rank = 0").first()[0]
     assert n == bm25_topk(spark, sf_dir).filter("rank = 0").count()
+
+
+def test_kept_tables_and_released_stages(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "t"))
+    read = lambda: spark.read.parquet(str(tmp_path / "t")).filter("id > 1")
+    key = plans.content_key(read())
+    assert key == plans.content_key(read()) != plans.content_key(read().filter("id > 2")) and plans.content_key(spark.range(3)) is None
+    first = plans.kept(read(), "rows", key)
+    assert plans.kept(read().limit(0), "rows", key).count() == first.count() == 3  # what is there is read, not written again
+    spark.range(9).write.mode("overwrite").parquet(str(tmp_path / "t"))
+    assert plans.content_key(read()) != key
+    stage = plans.staged(spark.range(4))
+    assert stage.count() == 4 and plans.release(spark) >= 1 and plans.release(spark) == 0 and first.count() == 3
+
+
+def test_samples_of_repeated_ids_are_refused(spark):
+    df = spark.range(1000).selectExpr("id % 2 as id")
+    try:
+        got = plans.hash_sample(df, 100, ["id"]).count()
+        assert got == 0  # neither of the two values was drawn
+    except ValueError:
+        pass
+    assert 50 <= plans.hash_sample(spark.range(10_000), 100, ["id"]).count() <= 200
