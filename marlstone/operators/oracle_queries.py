@@ -84,6 +84,28 @@ ln AS (SELECT lower(handle) AS source, unnest(string_split(body, chr(10))) AS l
 b AS (SELECT source, lower(target) AS target, w FROM (SELECT * FROM q UNION ALL SELECT * FROM mt)), k AS (SELECT source, target, sum(w) AS w FROM b WHERE source <> target AND target IN (SELECT h FROM s) GROUP BY ALL)
 SELECT source, target, round((w / (SELECT max(w) FROM k))::DOUBLE, 6) AS weight FROM k"""
 
+ENTITY_ANSWERS_SQL = rf"""WITH {ISSUE_GRAPH_CTE},
+m AS (SELECT DISTINCT a.ingest_id, CASE WHEN 'issue:' || c IN (SELECT id FROM nodes) THEN 'issue:' || c ELSE 'epic:' || c END AS node FROM (SELECT ingest_id, unnest(regexp_extract_all(w, '\b([A-Z][A-Z0-9]+-\d+)\b', 1)) AS c FROM asked) a),
+k2 AS (SELECT m.* FROM m JOIN nodes ON id = node),
+nb AS (SELECT source AS node, target AS other, type FROM edges UNION ALL SELECT target, source, type FROM edges), nl AS (SELECT nb.*, coalesce(n.label, nb.other) AS l, n.label FROM nb LEFT JOIN nodes n ON n.id = nb.other),
+li AS (SELECT ingest_id, node, type, list_slice(list_sort(list_distinct(list(l))), 1, 20) AS l FROM k2 JOIN nl USING (node) GROUP BY ALL),
+an AS (SELECT ingest_id, string_agg(t, '; ' ORDER BY t) AS answer FROM (SELECT ingest_id, node || ' ' || type || ': ' || array_to_string(l, ', ') AS t FROM li) GROUP BY 1),
+te AS (SELECT ingest_id, label, min((node, other)) AS o FROM k2 JOIN nl USING (node) WHERE coalesce(label, '') <> '' GROUP BY ALL), tk AS (SELECT *, row_number() OVER (PARTITION BY ingest_id ORDER BY o, label) AS n FROM te),
+tt AS (SELECT ingest_id, string_agg(label, '; ' ORDER BY n) AS terms FROM tk WHERE n <= 5 GROUP BY 1)
+SELECT ingest_id AS text_id, count(*) AS mentions, any_value(answer) AS answer, any_value(terms) AS terms FROM k2 LEFT JOIN an USING (ingest_id) LEFT JOIN tt USING (ingest_id) GROUP BY 1"""
+
+STAR_EDGES_SQL = f"""WITH {cq.STAR_CTE}, nb AS (SELECT source AS id, target AS other, type, 'outgoing' AS direction FROM edges UNION ALL SELECT target, source, type, 'incoming' FROM edges)
+SELECT nb.id, direction, row_number() OVER (PARTITION BY nb.id, direction ORDER BY nb.type, other) AS position, nb.type, other, n.label FROM nb JOIN nodes n ON n.id = other"""
+REGION_TREES_SQL = f"""WITH {cq.STAR_CTE}, t AS (SELECT id AS root, [id] AS path, '- ' || label AS l FROM nodes WHERE type = 'Region' UNION ALL SELECT e.target, [e.target, e.source], '  - ' || n.label FROM edges e JOIN nodes n ON n.id = e.source WHERE e.type = 'in_region'
+  UNION ALL SELECT r.target, [r.target, r.source, e.source], '    - ' || n.label FROM edges e JOIN edges r ON r.source = e.target AND r.type = 'in_region' JOIN nodes n ON n.id = e.source WHERE e.type = 'in_nation')
+SELECT root, string_agg(l, chr(10) ORDER BY path) AS markdown FROM t GROUP BY root"""
+LABELLED_TAGS_SQL = f"WITH {cq.TAGGED_CTE} SELECT DISTINCT doc_id, tag FROM tagged WHERE tag IN (SELECT unnest(labels) FROM jira_issues)"
+VECTOR_CTE = """vu AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL), vn AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM vu),
+vp AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 6) AS similarity FROM vn a JOIN vn b ON a.vec_id < b.vec_id), th AS (SELECT round(quantile_cont(similarity, 0.75), 6) AS t FROM vp)"""
+VECTOR_THRESHOLD_SQL = f"WITH {VECTOR_CTE} SELECT t AS threshold FROM th"
+VECTOR_EDGES_SQL = f"""WITH {VECTOR_CTE}, s AS (SELECT * FROM vp UNION ALL SELECT b, a, similarity FROM vp), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS n FROM s) SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, similarity FROM r WHERE n <= 3 AND similarity >= -1"""
+VECTOR_LINKS_SQL = f"""WITH {VECTOR_CTE}, l AS (SELECT vec_id, count(*) AS n FROM (SELECT unnest([a, b]) AS vec_id FROM vp, th WHERE similarity >= t) GROUP BY 1) SELECT e.vec_id, min(e.label) AS label, coalesce(any_value(l.n), 0) AS links FROM embeddings e LEFT JOIN l USING (vec_id) WHERE embedding IS NOT NULL GROUP BY 1"""
+
 # Retrieval -----------------------------------------------------------------------------------------------------------------
 
 COMPONENT_COMPARISON_SQL = f"""WITH t AS ({TITLE_BOOST_SQL}), p AS (WITH {BM25_CTE} SELECT query_id, doc_id, rank FROM bm25 WHERE rank < {K}), legs AS (SELECT 'bm25' AS component, query_id, doc_id, rank FROM p UNION ALL SELECT 'bm25+title', query_id, doc_id, rank FROM t),
@@ -157,4 +179,5 @@ QUERIES = {"run_folds": run_folds, "job_states": job_states}
 SQL = {
     "run_folds": RUN_FOLDS_SQL, "job_states": JOB_STATES_SQL, "last_runs": LAST_RUNS_SQL, "median_by_variant": MEDIAN_BY_VARIANT_SQL, "entity_contexts": ENTITY_CONTEXTS_SQL, "augmented_queries": AUGMENTED_QUERIES_SQL, "author_graph": AUTHOR_GRAPH_SQL,
     "component_comparison": COMPONENT_COMPARISON_SQL, "search_pipeline": SEARCH_PIPELINE_SQL, "rendered_results": RENDERED_RESULTS_SQL, "transcript_documents": TRANSCRIPT_DOCUMENTS_SQL, "redacted_comments": REDACTED_COMMENTS_SQL, "corrective_verdicts": CORRECTIVE_VERDICTS_SQL,
+    "entity_answers": ENTITY_ANSWERS_SQL, "star_edges": STAR_EDGES_SQL, "region_trees": REGION_TREES_SQL, "labelled_tags": LABELLED_TAGS_SQL, "vector_threshold": VECTOR_THRESHOLD_SQL, "vector_edges": VECTOR_EDGES_SQL, "vector_links": VECTOR_LINKS_SQL,
 }
