@@ -135,15 +135,6 @@ def tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 TAG_HISTOGRAM_SQL = f"WITH {TAGGED_CTE} SELECT collection, tag, count(*) AS n FROM tagged GROUP BY ALL"
 
 
-def valid_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags before 'p' that at least one issue uses as a label; `labelled_tags` has all."""
-    taxonomy = table(spark, sf_dir, "jira_issues").select(F.explode("labels").alias("tag")).filter("tag < 'p'").distinct()
-    return cleanup.valid_tags(_tagged(spark, sf_dir), taxonomy).select("doc_id", "tag")
-
-
-VALID_TAGS_SQL = f"WITH {TAGGED_CTE}, tax AS (SELECT DISTINCT unnest(labels) AS tag FROM jira_issues) SELECT DISTINCT doc_id, tag FROM tagged WHERE tag IN (SELECT tag FROM tax WHERE tag < 'p')"
-
-
 def labelled_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags that at least one issue uses as a label."""
     taxonomy = table(spark, sf_dir, "jira_issues").select(F.explode("labels").alias("tag"))
@@ -170,33 +161,38 @@ SELECT collection, documents, coalesce(chunks, 0) AS chunks FROM d LEFT JOIN c U
 # Maintenance -------------------------------------------------------------------------------------------------------------
 
 
-def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an index held: every document of three thirds of the ids but one, a chunk each."""
-    d = table(spark, sf_dir, "documents")
-    return d.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.substring("text", 1, 40).alias("chunk"))
+def _current(documents: DataFrame) -> DataFrame:
+    """The last delivery of each address, and the documents without one."""
+    return cleanup.latest_deliveries(documents.select("doc_id", "url", "modified_time"), "url", "modified_time", "doc_id").select("doc_id")
+
+
+def _one_chunk(documents: DataFrame) -> DataFrame:
+    """An index with every document's whole text as a chunk."""
+    return documents.select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("text").alias("chunk"))
 
 
 def orphan_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = table(spark, sf_dir, "documents").filter("doc_id % 5 <> 0").select("doc_id")
-    return maintenance.orphan_prune(_indexed(spark, sf_dir), source).select("chunk_id", "doc_id")
+    """Whole texts without those of documents whose address was delivered again later."""
+    d = table(spark, sf_dir, "documents")
+    return maintenance.orphan_prune(_one_chunk(d), _current(d)).select("chunk_id", "doc_id", F.md5("chunk").alias("md5"))
 
 
-ORPHAN_PRUNE_SQL = "SELECT doc_id AS chunk_id, doc_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0"
+CURRENT_CTE = "cur AS (SELECT * FROM documents QUALIFY url IS NULL OR row_number() OVER (PARTITION BY url ORDER BY modified_time DESC NULLS LAST, doc_id DESC) = 1)"
+ORPHAN_PRUNE_SQL = f"WITH {CURRENT_CTE} SELECT doc_id AS chunk_id, doc_id, md5(text) AS md5 FROM cur"
 
 
 def upsert_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after an update: documents changed since the mark come in anew, superseded ones go."""
     d = table(spark, sf_dir, "documents")
-    changed = d.filter("doc_id % 4 = 0").select("doc_id", F.substring("text", 1, 40).alias("chunk"))
-    return maintenance.upsert_chunks(_indexed(spark, sf_dir), changed, 1_000_000, ["doc_id"], source_ids=d.filter("doc_id % 5 <> 0").select("doc_id")).select("chunk_id", "doc_id", "chunk")
-
-
-UPSERT_SQL = """SELECT doc_id AS chunk_id, doc_id, substr(text, 1, 40) AS chunk FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 4 <> 0 AND doc_id % 5 <> 0
-UNION ALL SELECT 1000000 + row_number() OVER (ORDER BY doc_id), doc_id, substr(text, 1, 40) FROM documents WHERE doc_id % 4 = 0"""
+    current, since = staged(_current(d)), maintenance.high_water_mark(d).select("read_from")
+    changed = d.join(F.broadcast(since), F.col("modified_time") >= F.col("read_from")).join(current, "doc_id", "left_semi")  # one row
+    last_id = d.agg(F.max("doc_id")).first()[0] or 0
+    new = maintenance.upsert_chunks(_one_chunk(d), changed.select("doc_id", F.col("text").alias("chunk")), last_id, ["doc_id"], source_ids=current)
+    return new.select("chunk_id", "doc_id", F.md5("chunk").alias("md5"))
 
 
-def _current(documents: DataFrame) -> DataFrame:
-    """The last delivery of each address, and the documents without one."""
-    return cleanup.latest_deliveries(documents.select("doc_id", "url", "modified_time"), "url", "modified_time", "doc_id").select("doc_id")
+UPSERT_SQL = f"""WITH {CURRENT_CTE}, s AS (SELECT max(modified_time) - INTERVAL 1 DAY AS t FROM documents), c AS (SELECT cur.* FROM cur, s WHERE modified_time >= t)
+SELECT doc_id AS chunk_id, doc_id, md5(text) AS md5 FROM cur WHERE doc_id NOT IN (SELECT doc_id FROM c) UNION ALL SELECT (SELECT max(doc_id) FROM documents) + row_number() OVER (ORDER BY doc_id), doc_id, md5(text) FROM c"""
 
 
 def _whole_index(documents: DataFrame) -> DataFrame:
@@ -265,23 +261,17 @@ def prefix_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREFIX_CACHE_SQL = r"""SELECT ingest_id AS doc_id, CASE WHEN length(summary) >= 80 AND ingest_id % 2 = 0 THEN 'Context: ' || coalesce(title, 'untitled') || ' (' || length(summary) || E' characters).\n\n' || summary ELSE summary END AS indexed_text FROM articles"""
 
 
-def categorized_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "articles").select(F.coalesce(F.lower("category"), F.lit("none")).alias("category"), F.split("title", " ")[0].alias("title"), "url")
-    none = a.limit(0).withColumn("file_name", F.lit(""))
-    named = maintenance.write_categorized(a.filter("url is not null").distinct(), none)
-    return named.groupBy("category", "title").agg(F.count_if(~F.col("replaces")).alias("files"), F.countDistinct("file_name").alias("names"))
-
-
-CATEGORIZED_SQL = """WITH a AS (SELECT DISTINCT lower(coalesce(category, 'none')) AS category, split_part(title, ' ', 1) AS title, url FROM articles WHERE url IS NOT NULL), g AS (SELECT category, title, count(*) FILTER (url = '') AS e, count(*) AS n FROM a GROUP BY ALL)
-SELECT category, title, least(n, 99) AS files, least(n, 99) AS names FROM g"""
-
-
 def article_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file of every article by its category and whole title, in the order of delivery."""
     a = table(spark, sf_dir, "articles").orderBy("ingest_id").select(F.coalesce(F.lower("category"), F.lit("none")).alias("category"), F.coalesce("title", F.lit("untitled")).alias("title"), "url")
     return maintenance.write_categorized(a, a.limit(0).withColumn("file_name", F.lit("")))
 
 
+ARTICLE_FILES_SQL = """WITH a AS (SELECT ingest_id, coalesce(lower(category), 'none') AS category, coalesce(title, 'untitled') AS title, url, CASE WHEN coalesce(url, '') = '' THEN '#' || ingest_id ELSE url END AS k FROM articles),
+f AS (SELECT category, title, k, min(ingest_id) AS i FROM a GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY category, title ORDER BY i) AS n FROM f)
+SELECT a.category, a.title, a.url, a.category || '/' || a.title || CASE WHEN n > 1 THEN ' (' || least(n, 99) || ')' ELSE '' END || '.md' AS file_name, n > 99 AS replaces FROM a JOIN o USING (category, title, k)"""
+
+
 # Conversion --------------------------------------------------------------------------------------------------------------
 
 
@@ -304,12 +294,12 @@ CLEAN_BODIES_SQL = r"""SELECT ingest_id, md5(regexp_replace(regexp_replace(regex
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "x_articles").filter("summary is not null").select("ingest_id", tx.snippet(F.col("summary")).alias("snippet"), F.array_join(F.slice(tx.bm25_tokens(F.col("summary")), 1, 5), " ").alias("first_words"))
+    return table(spark, sf_dir, "x_articles").filter("summary is not null").select("ingest_id", tx.snippet(F.col("summary")).alias("snippet"), F.md5(F.array_join(tx.bm25_tokens(F.col("summary")), " ")).alias("words_md5"))
 
 
 SNIPPETS_SQL = r"""WITH t AS (SELECT ingest_id, trim(summary) AS t, summary FROM x_articles WHERE summary IS NOT NULL),
 p AS (SELECT *, regexp_extract(substr(t, 1, 240), '(?s)^(.{160,239}[.!?])\s', 1) AS s, regexp_extract(substr(t, 1, 220), '(?s)^(.*\S)\s', 1) AS b FROM t)
-SELECT ingest_id, CASE WHEN length(t) <= 200 THEN t WHEN s <> '' THEN s ELSE (CASE WHEN b <> '' THEN b ELSE substr(t, 1, 200) END) || '…' END AS snippet, array_to_string(list_slice(regexp_extract_all(lower(summary), '[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*'), 1, 5), ' ') AS first_words FROM p"""
+SELECT ingest_id, CASE WHEN length(t) <= 200 THEN t WHEN s <> '' THEN s ELSE (CASE WHEN b <> '' THEN b ELSE substr(t, 1, 200) END) || '…' END AS snippet, md5(array_to_string(regexp_extract_all(lower(summary), '[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*'), ' ')) AS words_md5 FROM p"""
 
 
 def heading_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,11 +488,11 @@ SELECT root, id, min(depth) AS depth FROM b GROUP BY ALL"""
 def node_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _star(spark, sf_dir)
     ends = lambda c: F.array_join(F.transform(c, lambda e: F.concat_ws("/", e["type"], e["id"], e["label"])), ";")
-    return graph.node_detail(nodes, edges, ["in_region"]).filter("type in ('Nation', 'Region')").select("id", ends("outgoing").alias("outgoing"), ends("incoming").alias("incoming"))
+    return graph.node_detail(nodes, edges).select("id", ends("outgoing").alias("outgoing"), ends("incoming").alias("incoming"))
 
 
-NODE_DETAILS_SQL = f"""WITH {STAR_CTE}, j AS (SELECT e.source, e.target, e.type, s.label AS sl, t.label AS tl FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target WHERE e.type = 'in_region')
-SELECT n.id, coalesce((SELECT string_agg(type || '/' || target || '/' || tl, ';' ORDER BY type, target) FROM j WHERE source = n.id), '') AS outgoing, coalesce((SELECT string_agg(type || '/' || source || '/' || sl, ';' ORDER BY type, source) FROM j WHERE target = n.id), '') AS incoming FROM nodes n WHERE n.type IN ('Nation', 'Region')"""
+NODE_DETAILS_SQL = f"""WITH {STAR_CTE}, j AS (SELECT e.source, e.target, e.type, s.label AS sl, t.label AS tl FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target)
+SELECT n.id, coalesce((SELECT string_agg(type || '/' || target || '/' || tl, ';' ORDER BY type, target) FROM j WHERE source = n.id), '') AS outgoing, coalesce((SELECT string_agg(type || '/' || source || '/' || sl, ';' ORDER BY type, source) FROM j WHERE target = n.id), '') AS incoming FROM nodes n"""
 
 
 def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -581,37 +571,6 @@ def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCUMENT_VECTORS_SQL = f"WITH {LABEL_CTE} SELECT doc, i, round(x, 6) AS x FROM v"
 
 
-def document_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.document_similarities(staged(_label_vectors(spark, sf_dir)))
-
-
-DOCUMENT_SIMILARITY_SQL = f"WITH {LABEL_CTE} SELECT a, b, similarity FROM pairs"
-
-
-def similarity_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.similarity_threshold(document_similarity(spark, sf_dir))
-
-
-SIMILARITY_THRESHOLD_SQL = f"WITH {LABEL_CTE} SELECT round(quantile_cont(similarity, 0.75), 6) AS threshold FROM pairs"
-
-
-def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.nearest_edges(document_similarity(spark, sf_dir), 3, -1.0)
-
-
-SIMILARITY_EDGES_SQL = f"""WITH {LABEL_CTE}, t AS (SELECT * FROM pairs UNION ALL SELECT b, a, similarity FROM pairs), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS n FROM t)
-SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, similarity FROM r WHERE n <= 3 AND similarity >= -1"""
-
-
-def community_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of the sources by the words of their titles."""
-    pairs = staged(document_similarity(spark, sf_dir))
-    docs = table(spark, sf_dir, "embeddings").select(F.col("label").alias("doc")).distinct().select("doc", F.concat(F.lit("label "), F.col("doc").cast("string")).alias("title"), F.concat(F.lit("c"), (F.col("doc") % 3).cast("string")).alias("category"), F.array(F.concat(F.lit("t"), (F.col("doc") % 2).cast("string"))).alias("tags"))
-    t = graph.similarity_threshold(pairs).first()[0]
-    members = graph.communities(pairs, docs, t if t is not None else 1.0)
-    return graph.community_summaries(members, pairs.filter(F.col("similarity") >= t), docs).select("community", "size", "name")
-
-
 #: Vectors of a block, when all pairs of the single vectors are compared.
 VECTOR_BLOCK = 500
 
@@ -637,6 +596,13 @@ def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector_threshold(_vectors(spark, sf_dir))
 
 
+def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of vectors that are as similar as the threshold."""
+    v = _vectors(spark, sf_dir)
+    t = _vector_threshold(v).first()[0]
+    return _vector_pairs(v, t if t is not None else 1.0)
+
+
 def vector_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest neighbours of each vector, every pair once."""
     return graph.nearest_edges(_vector_pairs(_vectors(spark, sf_dir), nearest=3), 3, -1.0)
@@ -690,20 +656,20 @@ def author_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        body_classifier, exclusion_reasons, noise_patterns, latest_deliveries, rescued_parents, recovered_report, sanitized_lines, email_counts, pii_counts, redacted_comments, exact_copies, tag_histogram, valid_tags, labelled_tags, tag_coverage, collection_overview,
-        orphan_prune, upsert_delta, pruned_chunks, upserted_chunks, manifest_merge, high_water_mark, reread_excluded, prefix_cache, categorized_files, article_files,
+        body_classifier, exclusion_reasons, noise_patterns, latest_deliveries, rescued_parents, recovered_report, sanitized_lines, email_counts, pii_counts, redacted_comments, exact_copies, tag_histogram, labelled_tags, tag_coverage, collection_overview,
+        orphan_prune, upsert_delta, pruned_chunks, upserted_chunks, manifest_merge, high_water_mark, reread_excluded, prefix_cache, article_files,
         breadcrumbs, clean_bodies, snippets, heading_chunks, session_chunks, indexed_texts, issue_texts, issue_markdown, notion_pages, transcript_chapters, transcript_lines, video_ids, issue_queries,
         run_ledger, run_times, phase_rollup, median_by_variant, job_overview,
         graph_merge, graph_edges, graph_stats, graph_hops, graph_subtree, node_details, star_edges, issue_graph_edges, epic_children, entity_mentions, entity_answers, entity_contexts,
-        document_vectors, document_similarity, similarity_threshold, similarity_edges, community_summary, vector_threshold, vector_edges, vector_links, vector_communities, gap_analysis, gap_summary, author_graph,
+        document_vectors, vector_threshold, vector_pairs, vector_edges, vector_links, vector_communities, gap_analysis, gap_summary, author_graph,
     )
 }
 SQL = {
     "body_classifier": BODY_CLASSIFIER_SQL, "exclusion_reasons": EXCLUSION_REASONS_SQL, "noise_patterns": NOISE_PATTERNS_SQL, "latest_deliveries": LATEST_SQL, "rescued_parents": RESCUED_SQL, "recovered_report": RECOVERED_SQL, "sanitized_lines": SANITIZED_SQL,
-    "email_counts": EMAIL_COUNTS_SQL, "pii_counts": PII_COUNTS_SQL, "exact_copies": EXACT_COPIES_SQL, "tag_histogram": TAG_HISTOGRAM_SQL, "valid_tags": VALID_TAGS_SQL, "tag_coverage": TAG_COVERAGE_SQL, "collection_overview": COLLECTION_OVERVIEW_SQL,
-    "orphan_prune": ORPHAN_PRUNE_SQL, "upsert_delta": UPSERT_SQL, "manifest_merge": MANIFEST_MERGE_SQL, "high_water_mark": HIGH_WATER_SQL, "reread_excluded": REREAD_SQL, "prefix_cache": PREFIX_CACHE_SQL, "categorized_files": CATEGORIZED_SQL,
+    "email_counts": EMAIL_COUNTS_SQL, "pii_counts": PII_COUNTS_SQL, "exact_copies": EXACT_COPIES_SQL, "tag_histogram": TAG_HISTOGRAM_SQL, "tag_coverage": TAG_COVERAGE_SQL, "collection_overview": COLLECTION_OVERVIEW_SQL,
+    "orphan_prune": ORPHAN_PRUNE_SQL, "upsert_delta": UPSERT_SQL, "manifest_merge": MANIFEST_MERGE_SQL, "high_water_mark": HIGH_WATER_SQL, "reread_excluded": REREAD_SQL, "prefix_cache": PREFIX_CACHE_SQL, "article_files": ARTICLE_FILES_SQL,
     "breadcrumbs": BREADCRUMBS_SQL, "clean_bodies": CLEAN_BODIES_SQL, "snippets": SNIPPETS_SQL, "indexed_texts": INDEXED_TEXTS_SQL, "issue_texts": ISSUE_TEXTS_SQL, "issue_markdown": ISSUE_MARKDOWN_SQL, "transcript_chapters": CHAPTERS_SQL, "transcript_lines": TRANSCRIPT_LINES_SQL,
     "video_ids": VIDEO_IDS_SQL, "issue_queries": ISSUE_QUERIES_SQL, "run_times": RUN_TIMES_SQL, "phase_rollup": PHASE_ROLLUP_SQL,
     "graph_merge": GRAPH_MERGE_SQL, "graph_edges": GRAPH_EDGES_SQL, "graph_stats": GRAPH_STATS_SQL, "graph_hops": GRAPH_HOPS_SQL, "graph_subtree": GRAPH_SUBTREE_SQL, "node_details": NODE_DETAILS_SQL, "issue_graph_edges": ISSUE_EDGES_SQL, "epic_children": EPIC_CHILDREN_SQL, "entity_mentions": ENTITY_MENTIONS_SQL,
-    "document_vectors": DOCUMENT_VECTORS_SQL, "document_similarity": DOCUMENT_SIMILARITY_SQL, "similarity_threshold": SIMILARITY_THRESHOLD_SQL, "similarity_edges": SIMILARITY_EDGES_SQL, "gap_analysis": GAP_SQL, "gap_summary": GAP_SUMMARY_SQL,
+    "document_vectors": DOCUMENT_VECTORS_SQL, "gap_analysis": GAP_SQL, "gap_summary": GAP_SUMMARY_SQL,
 }

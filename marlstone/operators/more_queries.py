@@ -93,12 +93,6 @@ p AS (SELECT id, parent_id AS next, name AS path, 1 AS depth FROM n UNION ALL SE
 SELECT id, path, depth FROM p WHERE next IS NULL OR next NOT IN (SELECT id FROM n)"""
 
 
-def rendered_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = (staged(x) for x in cq._star(spark, sf_dir))
-    reached, _ = graph.subtree(nodes.filter("type <> 'Customer'"), edges, nodes.filter("type = 'Region'").select(F.col("id").alias("root")), "incoming", ["in_region", "in_nation"], 1)
-    return rendering.render_subtree(reached, nodes)
-
-
 def region_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole star graph as a list for each region, two levels deep."""
     nodes, edges = (staged(x) for x in cq._star(spark, sf_dir))
@@ -106,10 +100,6 @@ def region_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendering.render_subtree(reached, nodes, graph.tree_paths(reached, walked, 2))
 
 
-RENDERED_SUBTREES_SQL = """WITH l AS (SELECT 'region:' || r_regionkey AS root, 0 AS depth, 'region:' || r_regionkey AS id, '- ' || r_name AS t FROM region UNION ALL SELECT 'region:' || n_regionkey, 1, 'nation:' || n_nationkey, '  - ' || n_name FROM nation)
-SELECT root, string_agg(t, chr(10) ORDER BY depth, id) AS markdown FROM l GROUP BY root"""
-
-
 def augmented_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = (staged(x) for x in cq._issue_graph(spark, sf_dir))
     q = cq._latest_issues(spark, sf_dir).filter("epic_link is not null").select(F.col("ingest_id").alias("query_id"), F.concat_ws(" ", "title", "epic_link").alias("query"))
@@ -238,11 +228,11 @@ COLLECTION_MANIFEST_SQL = "SELECT coalesce(lower(trim(source)), 'none') AS colle
 QUERIES = {
     f.__name__: f
     for f in (
-        search_pipeline, rendered_results, similar_documents, index_update, topic_coverage, constrained_tags, tag_discovery, block_paths, rendered_subtrees, region_trees, augmented_queries, event_sessions, event_windows, event_streaks, segment_cube, pricing_summary,
+        search_pipeline, rendered_results, similar_documents, index_update, topic_coverage, constrained_tags, tag_discovery, block_paths, region_trees, augmented_queries, event_sessions, event_windows, event_streaks, segment_cube, pricing_summary,
         exchange_pairs, component_comparison, rubric_scores, text_functions, transcript_documents, last_runs, issue_chunks, collection_manifest,
     )
 }
 SQL = {
-    "similar_documents": SIMILAR_SQL, "index_update": INDEX_UPDATE_SQL, "topic_coverage": TOPIC_COVERAGE_SQL, "constrained_tags": CONSTRAINED_TAGS_SQL, "tag_discovery": TAG_DISCOVERY_SQL, "block_paths": BLOCK_PATHS_SQL, "rendered_subtrees": RENDERED_SUBTREES_SQL,
+    "similar_documents": SIMILAR_SQL, "index_update": INDEX_UPDATE_SQL, "topic_coverage": TOPIC_COVERAGE_SQL, "constrained_tags": CONSTRAINED_TAGS_SQL, "tag_discovery": TAG_DISCOVERY_SQL, "block_paths": BLOCK_PATHS_SQL, 
     "event_sessions": EVENT_SESSIONS_SQL, "event_windows": EVENT_WINDOWS_SQL, "event_streaks": EVENT_STREAKS_SQL, "segment_cube": SEGMENT_CUBE_SQL, "pricing_summary": PRICING_SUMMARY_SQL, "exchange_pairs": EXCHANGE_PAIRS_SQL, "rubric_scores": RUBRIC_SQL, "text_functions": TEXT_FUNCTIONS_SQL, "collection_manifest": COLLECTION_MANIFEST_SQL,
 }

@@ -103,6 +103,7 @@ LABELLED_TAGS_SQL = f"WITH {cq.TAGGED_CTE} SELECT DISTINCT doc_id, tag FROM tagg
 VECTOR_CTE = """vu AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL), vn AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM vu),
 vp AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 6) AS similarity FROM vn a JOIN vn b ON a.vec_id < b.vec_id), th AS (SELECT round(quantile_cont(similarity, 0.75), 6) AS t FROM vp)"""
 VECTOR_THRESHOLD_SQL = f"WITH {VECTOR_CTE} SELECT t AS threshold FROM th"
+VECTOR_PAIRS_SQL = f"WITH {VECTOR_CTE} SELECT a, b, similarity FROM vp, th WHERE similarity >= t"
 VECTOR_EDGES_SQL = f"""WITH {VECTOR_CTE}, s AS (SELECT * FROM vp UNION ALL SELECT b, a, similarity FROM vp), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS n FROM s) SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, similarity FROM r WHERE n <= 3 AND similarity >= -1"""
 VECTOR_LINKS_SQL = f"""WITH {VECTOR_CTE}, l AS (SELECT vec_id, count(*) AS n FROM (SELECT unnest([a, b]) AS vec_id FROM vp, th WHERE similarity >= t) GROUP BY 1) SELECT e.vec_id, min(e.label) AS label, coalesce(any_value(l.n), 0) AS links FROM embeddings e LEFT JOIN l USING (vec_id) WHERE embedding IS NOT NULL GROUP BY 1"""
 
@@ -179,5 +180,5 @@ QUERIES = {"run_folds": run_folds, "job_states": job_states}
 SQL = {
     "run_folds": RUN_FOLDS_SQL, "job_states": JOB_STATES_SQL, "last_runs": LAST_RUNS_SQL, "median_by_variant": MEDIAN_BY_VARIANT_SQL, "entity_contexts": ENTITY_CONTEXTS_SQL, "augmented_queries": AUGMENTED_QUERIES_SQL, "author_graph": AUTHOR_GRAPH_SQL,
     "component_comparison": COMPONENT_COMPARISON_SQL, "search_pipeline": SEARCH_PIPELINE_SQL, "rendered_results": RENDERED_RESULTS_SQL, "transcript_documents": TRANSCRIPT_DOCUMENTS_SQL, "redacted_comments": REDACTED_COMMENTS_SQL, "corrective_verdicts": CORRECTIVE_VERDICTS_SQL,
-    "entity_answers": ENTITY_ANSWERS_SQL, "star_edges": STAR_EDGES_SQL, "region_trees": REGION_TREES_SQL, "labelled_tags": LABELLED_TAGS_SQL, "vector_threshold": VECTOR_THRESHOLD_SQL, "vector_edges": VECTOR_EDGES_SQL, "vector_links": VECTOR_LINKS_SQL,
+    "entity_answers": ENTITY_ANSWERS_SQL, "star_edges": STAR_EDGES_SQL, "region_trees": REGION_TREES_SQL, "labelled_tags": LABELLED_TAGS_SQL, "vector_threshold": VECTOR_THRESHOLD_SQL, "vector_pairs": VECTOR_PAIRS_SQL, "vector_edges": VECTOR_EDGES_SQL, "vector_links": VECTOR_LINKS_SQL,
 }

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from marlstone.operators import collection_queries as cq
+from marlstone.operators import collection_queries as cq, graph
 
 
 def test_vectors_against_brute_force(spark, tmp_path, monkeypatch):
@@ -18,6 +18,9 @@ def test_vectors_against_brute_force(spark, tmp_path, monkeypatch):
     t = round(float(np.quantile(pairs, 0.75)), 6)
     d = str(tmp_path)
     assert cq.vector_threshold(spark, d).first()[0] == pytest.approx(t, abs=2e-6)
+    every = graph.document_similarities(cq._vectors(spark, d), 5)
+    assert every.count() == len(pairs) and graph.similarity_threshold(every).first()[0] == cq.vector_threshold(spark, d).first()[0]
+    assert graph.histogram_threshold(graph.similarity_histogram(cq._vectors(spark, d).limit(0))).first()[0] is None
     links = {r["vec_id"]: (r["label"], r["links"]) for r in cq.vector_links(spark, d).collect()}
     assert links == {i: (i % 4, int((s[i] >= t).sum() - (s[i, i] >= t))) for i in range(40)}
     near = {tuple(sorted((i, j))) for i in range(40) for j in sorted((j for j in range(40) if j != i), key=lambda j: (-s[i, j], j))[:3]}
