@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import golay
-from marlstone.plans import cut, spread, staged
+from marlstone.plans import spread, staged
 
 #: The chance with which a pair right at the threshold is found, and the most segments of a fingerprint.
 RECALL, MOST_SEGMENTS = 0.95, 128
@@ -175,26 +175,3 @@ def near_duplicates(df: DataFrame, id: str, text: str, group: str | None = None,
     links = pair.select(F.col("_a_g").alias("_g"), F.least("_a_id", "_b_id").alias("rep_a"), F.greatest("_a_id", "_b_id").alias("rep_b"), (both / (F.size("_a_set") + F.size("_b_set") - both)).alias("similarity")).filter(F.col("similarity") >= threshold)
     name = F.nullif(F.col("_g"), F.lit(NULL_GROUP)).alias(group or "group")
     return members.select(name, F.col("_id").alias("id"), F.col("_rep").alias("rep")), links.select(name, "rep_a", "rep_b", "similarity")
-
-
-def components(links: DataFrame, a: str, b: str, rounds: int = 200) -> DataFrame:
-    """Connected components of the undirected graph of `links` by alternating large and small stars (node, component: the
-    least node). Each round is cut to the checkpoint folder; it ends when a round changes nothing. The rounds grow with the
-    logarithm of the nodes; a graph that isn't done after `rounds` of them is an error."""
-    e = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
-    if e.limit(1).count() == 0:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large.filter("u <> v")
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = cut(small)
-        same = now.count() == e.count() and now.join(e, ["u", "v"], "left_anti").limit(1).count() == 0
-        e = now
-        if same:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-    raise RuntimeError(f"components aren't found after {rounds} rounds")

@@ -15,7 +15,8 @@ from marlstone.llm.packing import pack_texts
 from marlstone.llm.splitting import split_texts
 from marlstone.llm.templates import deduce_templates, extract_slots
 from marlstone.llm.text_quality import text_quality
-from marlstone.plans import join_small, table
+from marlstone.operators.graph import connected_components
+from marlstone.plans import cut, join_small, table
 
 # problem 1 -----------------------------------------------------------------------------------------------------------
 
@@ -32,7 +33,7 @@ def _p1(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of rows: linked classes expanded to their members, and the members of one class (the definition asks for every pair)."""
     members, links = _p1(spark, sf_dir)
-    members = nd.cut(members)
+    members = cut(members)
     pairs = links.select("table_name", "rep_a", "rep_b").unionByName(members.filter("id <> rep").select("table_name", F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")).distinct())
     a = members.select("table_name", F.col("id").alias("x"), F.col("rep").alias("rep_a"))
     b = members.select("table_name", F.col("id").alias("y"), F.col("rep").alias("rep_b"))
@@ -43,9 +44,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per row of at least 20 words: its class of equal texts, its group (connected classes) and its class's links."""
     members, links = _p1(spark, sf_dir)
-    members, links = nd.cut(members), nd.cut(links)
+    members, links = cut(members), cut(links)
     node = lambda c: F.concat_ws(":", "table_name", F.lpad(F.col(c).cast("string"), 20, "0"))
-    comp = nd.components(links.select(node("rep_a").alias("a"), node("rep_b").alias("b")), "a", "b")
+    comp = connected_components(links.select(node("rep_a").alias("a"), node("rep_b").alias("b")), "a", "b")
     degree = links.select("table_name", F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("table_name", "rep").agg(F.count("*").alias("n_links"))
     out = members.join(degree, ["table_name", "rep"], "left").withColumn("node", node("rep")).join(comp, "node", "left")
     group = F.coalesce(F.split("component", ":")[1].cast("bigint"), F.col("rep"))

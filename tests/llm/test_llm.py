@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from marlstone.operators.graph import connected_components
 from marlstone.llm import golay, languages as lg, markup, mixing, near_duplicates as nd, packing, personal_data as pii, queries, splitting, subjects, templates, text_quality, tokens
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega one two three four five six seven eight nine ten".split()
@@ -139,9 +140,9 @@ def test_keys_widen_with_the_documents():
 
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 12)] + [(20, 21), (30, 30)], "a long, b long")
-    got = {r["node"]: r["component"] for r in nd.components(e, "a", "b").collect()}
+    got = {r["node"]: r["component"] for r in connected_components(e, "a", "b").collect()}
     assert got == {**{i: 1 for i in range(1, 13)}, 20: 20, 21: 20}
-    assert nd.components(e.limit(0), "a", "b").count() == 0
+    assert connected_components(e.limit(0), "a", "b").count() == 0
 
 
 # problem 2 ---------------------------------------------------------------------------------------------------------------
