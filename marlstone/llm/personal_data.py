@@ -29,7 +29,7 @@ LOOKALIKES = str.maketrans(
     "ABEKMHOPCTXaeopcyxijs" "ABEZHIKMNOPTYXo" "0123456789@.+-" "   -----",
 )
 # Digits spelled out.
-DIGIT_WORDS = {w: str(n) for n, ws in enumerate(["zero oh null nul", "one en ett ein eins un uno", "two to två zwei deux dos", "three tre drei trois tres", "four fire fyra vier quatre cuatro", "five fem fünf cinq cinco", "six seks sex sechs seis", "seven sju syv sieben sept siete", "eight åtte otte åtta acht huit ocho", "nine ni neun neuf nueve"]) for w in ws.split()}
+DIGIT_WORDS = {w: str(n) for n, ws in enumerate(["zero oh null nul noll zéro cero", "one en ett ein eins un uno", "two to två zwei deux dos", "three tre drei trois tres", "four fire fyra vier quatre cuatro", "five fem fünf cinq cinco", "six seks sex sechs seis", "seven sju syv sieben sept siete", "eight åtte otte åtta acht huit ocho", "nine ni nio neun neuf nueve"]) for w in ws.split()}
 # Domains whose addresses are placeholders, and endings that make a "domain" a file name.
 PLACEHOLDER_DOMAINS = {"example.com", "example.org", "test.com"}
 FILE_ENDINGS = set("xsl xml xsd json yml yaml css js ts java kt py md txt htm html log csv pdf png jpg jpeg gif svg zip gz tar sql sh doc docx xls xlsx ini cfg conf properties".split())

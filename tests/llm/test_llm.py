@@ -319,6 +319,22 @@ def test_wiki_markup_of_every_kind(text):
     assert "wiki" in " ".join(kinds) and clean != text
 
 
+SPELLED = {
+    "en": "zero one two three four five six seven eight nine", "nb": "null en to tre fire fem seks sju åtte ni", "sv": "noll en två tre fyra fem sex sju åtta nio", "da": "nul en to tre fire fem seks syv otte ni",
+    "de": "null eins zwei drei vier fünf sechs sieben acht neun", "fr": "zéro un deux trois quatre cinq six sept huit neuf", "es": "cero uno dos tres cuatro cinco seis siete ocho nueve",
+}
+
+
+@pytest.mark.parametrize("lang", SPELLED)
+def test_spelled_numbers_of_every_language(lang):
+    words = SPELLED[lang].split()
+    for digits in ("41268942", "40735190"):
+        number = " ".join(words[int(d)] for d in digits)
+        text = f"Ring {number.capitalize()}, takk."
+        assert [(k, text[a:z].lower()) for k, a, z in pii.find(text, NAMES)] == [("phone", number)]
+    assert pii.find(" ".join(words), NAMES) == [] and pii.find(" ".join(words[:5]), NAMES) == []  # counting, and too few
+
+
 def test_spans_are_those_of_the_source(spark):
     t = "Кто: x dot y at a dot example​! Ring +46 70 174 06 51, Anna Bergquist, ann@b.example"
     rows = [(1, t), (2, None), (3, ""), (4, "z " * 200_000 + "q@w.example")]
