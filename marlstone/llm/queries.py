@@ -16,7 +16,7 @@ from marlstone.llm.splitting import split_texts
 from marlstone.llm.templates import deduce_templates, extract_slots
 from marlstone.llm.text_quality import text_quality
 from marlstone.operators.graph import connected_components
-from marlstone.plans import cut, join_small, table
+from marlstone.plans import content_key, cut, join_small, table
 
 # problem 1 -----------------------------------------------------------------------------------------------------------
 
@@ -80,8 +80,23 @@ def _p6_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+#: Fitted models of this process by the key of what they were fitted on; only the last few are kept.
+_MODELS: dict[str, lg.Model] = {}
+
+
 def _language_model(spark: SparkSession, sf_dir: str) -> lg.Model:
-    return lg.train(_p6_rows(spark, sf_dir), ["table_name", "ingest_id"], table(spark, sf_dir, "common_words"))
+    """The model of the collection's texts; problems 4 and 6 share it."""
+    rows = _p6_rows(spark, sf_dir)
+    keys = content_key(rows), content_key(table(spark, sf_dir, "common_words"))
+    key = "/".join(keys) if all(keys) else ""
+    if key not in _MODELS:
+        while len(_MODELS) >= 3:
+            _MODELS.pop(next(iter(_MODELS)))
+        model = lg.train(rows, ["table_name", "ingest_id"], table(spark, sf_dir, "common_words"))
+        if not key:
+            return model
+        _MODELS[key] = model
+    return _MODELS[key]
 
 
 def _p6(spark: SparkSession, sf_dir: str, with_segments: bool) -> DataFrame:
