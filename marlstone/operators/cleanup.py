@@ -11,10 +11,14 @@ from marlstone.functions import text as tx
 
 # Lines that carry nothing, by source.
 LINE_NOISE = {
-    "confluence": [r"(?i)^#{1,6}\s*(?:innhold|contents?|table of contents|relaterte? sider|related pages)\s*$", r"(?i)^\W*(?:se|see)\W+\[[^\]]*\]\([^)]*\)\W*$", r"^\W*\[[^\]]*\]\([^)]*\)\W*$", r"^\W*https?://\S+\W*$"],
-    "jira": [r"^#\s+[A-Z][A-Z0-9]+-\d+\b.*$", r"(?i)^\*{0,2}epic(?: link)?:?\*{0,2}\s*\S*$"],
-    "notion": [r"(?i)^\W*\[?child (?:page|database)\b.*$", r"^\W*\[[^\]]*\]\([^)]*\)\W*$", r"^-{3,}$"],
+    "confluence": [r"^#{1,6}\s+(?:Aktivitet|Bidragsytere|Spaceeier)\s*$", r"^https?://\S+$", r"^\[.+\]\(https?://\S+\)$", r"^Sjekk .*:.*https?://", r"^\*\*Spaceeier:\*\*\s*$"],
+    "jira": [r"^#\s+\S+-\d+:", r"^\*\*Epic:\*\*", r"^#{1,6}\s+"],
+    "notion": [r"^\[Child database:.*\]$", r"^\[Child page:.*\]$", r"^\[Unsupported:.*\]$"],
 }
+# Lines of personal notes, and marks of work in progress in titles and lines.
+PERSONAL_LINES = [r"@@", r"(?iU)^\s*\S+\s+(?:følger opp|tar det videre|sjekker|undersøker)\b"]
+PROGRESS_TITLE = r"(?iU)(?:- )?under arbeid|utkast|\bWIP\b"
+PROGRESS_LINES = [r"(?iU)^#{1,6}\s+(?:UNDER ARBEID|WIP)\b", r"(?iU)^(?:Under arbeid|WIP)\s*$"]
 
 
 def meaningful_lines(text: Column, noise: list[str]) -> Column:
@@ -93,12 +97,12 @@ def recovered_report(was_excluded: DataFrame, active: DataFrame) -> DataFrame:
 
 def sanitize_lines(text: Column) -> Column:
     """Text without personal action items and lines of `@@`."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"@@|^\s*[-*]\s*\[[ xX]\]\s*@\w")), "\n")
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~_any(x, PERSONAL_LINES)), "\n")
 
 
 def is_work_in_progress(title: Column, text: Column) -> Column:
-    mark = r"(?iU)\b(?:wip|work in progress|under arbeid|utkast|draft)\b"
-    return F.coalesce(title, F.lit("")).rlike(mark) | F.exists(F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 5), lambda x: x.rlike(mark))
+    """The title says so, or a heading or a line of its own anywhere in the text."""
+    return F.coalesce(title, F.lit("")).rlike(PROGRESS_TITLE) | F.exists(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: _any(x, PROGRESS_LINES))
 
 
 def pii_findings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

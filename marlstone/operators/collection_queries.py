@@ -18,7 +18,7 @@ def body_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BODY_CLASSIFIER_SQL = r"""WITH l AS (SELECT ingest_id, coalesce(description, '') AS t, list_filter(list_transform(string_split_regex(trim(coalesce(description, ''), E' \t\n\r'), '\r?\n'), lambda x: trim(x)), lambda x: x <> '') AS ls FROM jira_issues),
-k AS (SELECT ingest_id, t, list_filter(ls, lambda x: NOT (regexp_matches(x, '(?i)^#{1,6}\s*(?:innhold|contents?|table of contents|relaterte? sider|related pages)\s*$') OR regexp_matches(x, '(?i)^\W*(?:se|see)\W+\[[^\]]*\]\([^)]*\)\W*$') OR regexp_matches(x, '^\W*\[[^\]]*\]\([^)]*\)\W*$') OR regexp_matches(x, '^\W*https?://\S+\W*$'))) AS ls FROM l),
+k AS (SELECT ingest_id, t, list_filter(ls, lambda x: NOT (regexp_matches(x, '^#{1,6}\s+(?:Aktivitet|Bidragsytere|Spaceeier)\s*$') OR regexp_matches(x, '^https?://\S+$') OR regexp_matches(x, '^\[.+\]\(https?://\S+\)$') OR regexp_matches(x, '^Sjekk .*:.*https?://') OR regexp_matches(x, '^\*\*Spaceeier:\*\*\s*$'))) AS ls FROM l),
 m AS (SELECT *, array_to_string(ls, ' ') AS r FROM k)
 SELECT ingest_id, CASE WHEN regexp_replace(t, '\s', '', 'g') = '' THEN 'empty_stub' WHEN len(ls) = 0 THEN 'reference_only' WHEN length(r) < 300 THEN 'minimal_content' WHEN len(string_split_regex(r, '\s+')) < 40 THEN 'low_word_count' END AS reason FROM m"""
 
@@ -79,8 +79,9 @@ def sanitized_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(cleanup.sanitize_lines(F.col("text"))).alias("n_chars"), cleanup.is_work_in_progress(F.col("title"), F.col("text")).alias("wip"))
 
 
-SANITIZED_SQL = r"""SELECT doc_id, length(array_to_string(list_filter(string_split(text, E'\n'), lambda x: NOT regexp_matches(x, '@@|^\s*[-*]\s*\[[ xX]\]\s*@\w')), E'\n')) AS n_chars,
-regexp_matches(coalesce(title, ''), '(?i)\b(?:wip|work in progress|under arbeid|utkast|draft)\b') OR len(list_filter(list_slice(string_split(coalesce(text, ''), E'\n'), 1, 5), lambda x: regexp_matches(x, '(?i)\b(?:wip|work in progress|under arbeid|utkast|draft)\b'))) > 0 AS wip FROM documents"""
+SANITIZED_SQL = r"""WITH l AS (SELECT doc_id, title, text, string_split(coalesce(text, ''), E'\n') AS ls FROM documents)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN length(array_to_string(list_filter(ls, lambda x: NOT (contains(x, '@@') OR regexp_matches(x, '(?i)^\s*\S+\s+(?:følger opp|tar det videre|sjekker|undersøker)\b'))), E'\n')) END AS n_chars,
+regexp_matches(coalesce(title, ''), '(?i)(?:- )?under arbeid|utkast|\bWIP\b') OR len(list_filter(ls, lambda x: regexp_matches(x, '(?i)^#{1,6}\s+(?:UNDER ARBEID|WIP)\b') OR regexp_matches(x, '(?i)^(?:Under arbeid|WIP)\s*$'))) > 0 AS wip FROM l"""
 
 
 def email_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

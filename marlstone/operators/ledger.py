@@ -126,6 +126,37 @@ def median_durations(runs: DataFrame, n: int = 50) -> DataFrame:
     return done.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).groupBy("collection", "variant").agg(F.floor(F.median("duration_s")).cast("long").alias("median_s"), F.count("*").alias("runs"))
 
 
+def script_records(events: DataFrame) -> DataFrame:
+    """The records that a script's run writes: one when it begins, one when it ends.
+
+    events: seq, run, at (ISO time), kind (run_begin, run_variant, phase_begin, phase_end, run_end), name (of the run: the
+    collection; of a phase; of a variant), fatal, code (a phase's exit code or `skipped`), job, trigger. Phases without an end
+    have no state; a run without an end has its first record only. The last variant named holds for the ending record; without
+    phases the run's state is that of its own code. Result: rows for `fold_runs`.
+    """
+    from marlstone.functions.text import phase_status
+
+    first = lambda c, kind: F.min_by(c, F.when(F.col("kind") == kind, F.col("seq")))
+    p = events.filter("kind in ('phase_begin', 'phase_end')")
+    one = p.groupBy("run", "name").agg(
+        F.min(F.when(F.col("kind") == "phase_begin", F.col("seq"))).alias("_o"), first("at", "phase_begin").alias("startedAt"), first("fatal", "phase_begin").alias("fatal"), first("code", "phase_end").alias("_code"), first("at", "phase_end").alias("_end"),
+    )
+    seconds = F.unix_timestamp(parse_time(F.col("_end"))) - F.unix_timestamp(parse_time(F.col("startedAt")))
+    phase = F.struct("_o", F.struct("name", phase_status(F.col("_code")).alias("status"), "fatal", "startedAt", seconds.cast("int").alias("durationSeconds")).alias("p"))
+    phases = one.groupBy("run").agg(F.transform(F.array_sort(F.collect_list(phase)), lambda x: x["p"]).alias("phases"))
+    g = events.groupBy("run").agg(
+        first("name", "run_begin").alias("collection"), first("job", "run_begin").alias("job"), F.coalesce(first("trigger", "run_begin"), F.lit("scheduled")).alias("trigger"), first("at", "run_begin").alias("startedAt"), first("at", "run_end").alias("finishedAt"), first("code", "run_end").alias("_code"),
+        F.max_by("name", F.when((F.col("kind") == "run_variant") & F.col("name").isin("incremental", "rebuild"), F.col("seq"))).alias("_variant"), F.min("seq").alias("_a"), F.max("seq").alias("_z"), F.bool_or(F.col("kind") == "run_end").alias("_ended"),
+    )
+    j = g.join(phases, "run", "left").filter("startedAt is not null")
+    none = lambda t: F.lit(None).cast(t)
+    common = lambda seq, variant, end, status, stage, ph: j.select(seq.alias("seq"), "collection", F.col("run").alias("runId"), "job", "trigger", variant.alias("variant"), "startedAt", end.alias("finishedAt"), status.alias("status"), F.lit("script").alias("source"), F.lit(stage).alias("stage"), none("long").alias("documentCount"), none("long").alias("chunkCount"), none("string").alias("error"), ph.alias("phases"), F.col("_ended").alias("_e"))
+    begin = common(F.col("_a"), F.lit("incremental"), none("string"), none("string"), "begin", F.when(F.lit(False), F.col("phases")))
+    status = F.when(F.size("phases") > 0, rollup(F.col("phases"))).otherwise(phase_status(F.coalesce("_code", F.lit("0"))))
+    end = common(F.col("_z"), F.coalesce("_variant", F.lit("incremental")), F.col("finishedAt"), status, "end", F.col("phases")).filter("_e")
+    return begin.unionByName(end).drop("_e")
+
+
 def incomplete_threshold(cadence_s: Column) -> Column:
     """Twice the cadence, at least two hours; six hours without a cadence."""
     return F.when(cadence_s.isNull(), F.lit(INCOMPLETE_AFTER)).otherwise(F.greatest(cadence_s * 2, F.lit(LEAST_INCOMPLETE)))
