@@ -204,10 +204,15 @@ def entity_candidates(text: Column, kind: str) -> Column:
     return F.zip_with(spans, pairs, lambda s, i: F.struct(s.alias("span"), i.alias("ids")))
 
 
+# Endings that make a "domain" a file name, domains of placeholders, and the signs of an address.
+FILE_ENDINGS = "xsl xml xsd json yml yaml css js ts java kt py md txt htm html log".split()
+PLACEHOLDER_DOMAINS = ("example.com", "example.org", "test.com")
+ADDRESS = rf"\b([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.(?!(?:{'|'.join(FILE_ENDINGS)})\b)[a-zA-Z]{{2,}}\b)"
+
+
 def email_addresses(text: Column) -> Column:
     """Addresses but for those at placeholder domains and file names."""
-    found = F.regexp_extract_all(text, F.lit(r"\b([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.(?!(?:xsl|xml|xsd|json|ya?ml|css|js|ts|java|kt|py|md|txt|html?|log)\b)[a-zA-Z]{2,})\b"), 1)
-    return F.filter(found, lambda e: ~F.lower(F.element_at(F.split(e, "@"), -1)).isin("example.com", "example.org", "test.com"))
+    return F.filter(F.regexp_extract_all(text, F.lit(ADDRESS), 1), lambda e: ~F.lower(F.element_at(F.split(e, "@"), -1)).isin(*PLACEHOLDER_DOMAINS))
 
 
 def _checked(d: Column, weights: list[int]) -> Column:
