@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as html_
 import json
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.plans import carry_forward, running_sum, spread, staged, with_fields
+from marlstone.plans import carry_forward, cut, join_small, running_sum, spread, staged, with_fields
 
 CHUNK, OVERLAP = 1000, 100
 #: Frontmatter fields that become metadata.
@@ -80,28 +81,26 @@ def recursive_split(text: str, size: int = CHUNK, overlap: int = OVERLAP, separa
     finer = separators[separators.index(sep) + 1 :]
     parts = list(text) if sep == "" else text.split(sep)
     out: list[str] = []
-    window: list[str] = []
-
-    def joined(xs: list[str]) -> str:
-        return sep.join(xs).strip()
-
-    def length(xs: list[str]) -> int:
-        return sum(map(len, xs)) + len(sep) * max(0, len(xs) - 1)
+    window: deque[str] = deque()
+    held = 0  # characters of the window with its separators
 
     def flush() -> None:
-        if joined(window):
-            out.append(joined(window))
+        t = sep.join(window).strip()
+        if t:
+            out.append(t)
 
     for p in filter(None, parts) if sep else parts:
         if len(p) > size:
             flush()
             window.clear()
+            held = 0
             out += recursive_split(p, size, overlap, finer) if finer else [p]
             continue
-        if window and length([*window, p]) > size:
+        if window and held + len(sep) + len(p) > size:
             flush()
-            while window and (length(window) > overlap or length([*window, p]) > size):
-                window.pop(0)
+            while window and (held > overlap or held + len(sep) + len(p) > size):
+                held -= len(window.popleft()) + (len(sep) if window else 0)
+        held += len(p) + (len(sep) if window else 0)
         window.append(p)
     flush()
     return out
@@ -425,6 +424,29 @@ def echo_prefix(title: Column, chunk: Column) -> Column:
     return F.format_string("Context: %s (%d characters).", F.coalesce(title, F.lit("untitled")), F.length(chunk))
 
 
+#: Generators of contextual prefixes by name: functions of a title and a chunk. A model's is registered like these.
+PREFIX_BACKENDS: dict[str, Callable[[Column, Column], Column]] = {"echo": echo_prefix, "none": lambda title, chunk: F.lit(None).cast("string")}
+
+
+def register_backend(name: str, backend: Callable[[Column, Column], Column]) -> None:
+    PREFIX_BACKENDS[name] = backend
+
+
+def prefix_backend(spec: str) -> Callable[[Column, Column], Column]:
+    """The generator that a spec names, as `name` or `name:model`; an unknown one is an error that lists the known."""
+    name = spec.split(":", 1)[0]
+    if name not in PREFIX_BACKENDS:
+        raise ValueError(f"unknown prefix backend {name!r}, known: {', '.join(sorted(PREFIX_BACKENDS))}")
+    return PREFIX_BACKENDS[name]
+
+
+def generate_prefixes(chunks: DataFrame, spec: str) -> DataFrame:
+    """Prefixes for the chunks that miss one (doc_id, chunk_hash, title, chunk), as rows of the cache: doc_id, chunk_hash, model,
+    prefix. Empty prefixes aren't cached."""
+    rows = chunks.select("doc_id", "chunk_hash", F.lit(spec).alias("model"), prefix_backend(spec)(F.col("title"), F.col("chunk")).alias("prefix"))
+    return rows.filter("coalesce(trim(prefix), '') <> ''")
+
+
 def property_text(prop: dict) -> str:
     """The value of one page property as text, by its type; unknown types give an empty text."""
     kind = prop.get("type") or ""
@@ -546,16 +568,25 @@ def issue_chunks(issues: DataFrame, comments: DataFrame, part_chars: int = PART_
     only. An issue with very many comments is split in parts of `part_chars` characters, cut between comments, so that no task
     holds all of it; the chunks are numbered on."""
     texts = issues.select("issue_key", F.lit(None).cast(dict(comments.dtypes)["pos"]).alias("pos"), F.lit(0).alias("_k"), F.col("description").alias("body")).unionByName(comments.select("issue_key", "pos", F.lit(1).alias("_k"), "body"))
-    texts = texts.filter("coalesce(body, '') <> '' and issue_key is not null").join(issues.select("issue_key").distinct(), "issue_key", "left_semi")
-    measured = running_sum(texts, ["issue_key"], ["_k", "pos", "body"], F.length("body") + 2, "_end")
-    parts = measured.withColumn("_part", F.floor((F.col("_end") - F.length("body") - 2) / part_chars))
-    joined = parts.groupBy("issue_key", "_part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "pos", "body"))), lambda x: x["body"]), "\n\n").alias("_text"))
-    body = chunk_documents(joined.select(F.struct("issue_key", "_part").alias("_id"), "_text"), "_id", "_text", lambda x: [{"heading": None, "text": p} for p in recursive_split(x)])
-    body = staged(body.select("_id.*", "chunk_number", "chunk"))
+    texts = texts.filter("coalesce(body, '') <> '' and issue_key is not null")
+    texts = join_small(texts, issues.select("issue_key").distinct(), ["issue_key"], "left_semi")
+    long = cut(texts.groupBy("issue_key").agg(F.sum(F.length("body") + 2).alias("_n")).filter(F.col("_n") > part_chars).select("issue_key"))
+
+    def pieces(rows: DataFrame, keys: list[str]) -> DataFrame:
+        joined = rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "pos", "body"))), lambda x: x["body"]), "\n\n").alias("_text"))
+        body = chunk_documents(joined.select(F.struct(*keys).alias("_id"), "_text"), "_id", "_text", lambda x: [{"heading": None, "text": p} for p in recursive_split(x)])
+        return body.select("_id.*", "chunk_number", "chunk")
+
+    out = issues.select("issue_key", F.lit(0).alias("chunk_number"), F.concat_ws(" : ", "issue_key", "title").alias("chunk"))
+    out = out.unionByName(pieces(join_small(texts, long, ["issue_key"], "left_anti"), ["issue_key"]).withColumn("chunk_number", F.col("chunk_number") + 1))
+    if long.isEmpty():
+        return out
+    measured = running_sum(join_small(texts, long, ["issue_key"], "left_semi"), ["issue_key"], ["_k", "pos", "body"], F.length("body") + 2, "_end")
+    body = staged(pieces(measured.withColumn("_part", F.floor((F.col("_end") - F.length("body") - 2) / part_chars)), ["issue_key", "_part"]))
     sizes = body.groupBy("issue_key", "_part").agg(F.count("*").alias("_n"))  # one row a part
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("issue_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    body = body.join(sizes.select("issue_key", "_part", before.alias("_before")), ["issue_key", "_part"]).select("issue_key", (F.col("chunk_number") + F.col("_before") + 1).cast("int").alias("chunk_number"), "chunk")
-    return issues.select("issue_key", F.lit(0).alias("chunk_number"), F.concat_ws(" : ", "issue_key", "title").alias("chunk")).unionByName(body)
+    body = join_small(body, sizes.select("issue_key", "_part", before.alias("_before")), ["issue_key", "_part"], "inner")
+    return out.unionByName(body.select("issue_key", (F.col("chunk_number") + F.col("_before") + 1).cast("int").alias("chunk_number"), "chunk"))
 
 
 def page_chunks(pages: DataFrame) -> DataFrame:

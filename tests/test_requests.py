@@ -180,3 +180,30 @@ def test_patterns_and_categories(spark):
     one = spark.createDataFrame([("x/y",)], "c string")
     with pytest.raises(Exception, match="invalid category"):
         one.select(tx.valid_category(F.col("c"), ["a"])).collect()
+
+
+def test_script_records(spark):
+    from marlstone.operators import ledger
+
+    rows = [
+        (1, "r1", "2024-01-01T10:00:00Z", "run_begin", "col", None, None, "job", None), (2, "r1", "2024-01-01T10:00:10Z", "phase_begin", "clean", "0", None, None, None), (3, "r1", "2024-01-01T10:00:40Z", "phase_end", "clean", None, "1", None, None),
+        (4, "r1", "2024-01-01T10:00:41Z", "run_variant", "rebuild", None, None, None, None), (5, "r1", "2024-01-01T10:01:00Z", "phase_begin", "index", "1", None, None, None), (6, "r1", "2024-01-01T10:02:00Z", "phase_end", "index", None, "skipped", None, None), (7, "r1", "2024-01-01T10:02:01Z", "run_end", None, None, "0", None, None),
+        (8, "r2", "2024-01-02T10:00:00Z", "run_begin", "col", None, None, "job", "manual"), (9, "r3", "2024-01-03T10:00:00Z", "run_begin", "col", None, None, "job", None), (10, "r3", "2024-01-03T10:05:00Z", "phase_begin", "index", "1", None, None, None), (11, "r3", "2024-01-03T10:06:00Z", "phase_end", "index", None, "2", None, None), (12, "r3", "2024-01-03T10:06:00Z", "run_end", None, None, "2", None, None),
+    ]
+    e = spark.createDataFrame(rows, "seq long, run string, at string, kind string, name string, fatal string, code string, job string, trigger string").withColumn("fatal", F.col("fatal") == "1")
+    records = ledger.script_records(e)
+    got = {(r["runId"], r["stage"]): r for r in records.collect()}
+    assert set(got) == {("r1", "begin"), ("r1", "end"), ("r2", "begin"), ("r3", "begin"), ("r3", "end")}
+    assert got["r1", "end"]["status"] == "degraded" and got["r1", "end"]["variant"] == "rebuild" and [(p["name"], p["status"], p["durationSeconds"]) for p in got["r1", "end"]["phases"]] == [("clean", "failed", 30), ("index", "skipped", 60)]
+    assert got["r3", "end"]["status"] == "failed" and got["r2", "begin"]["trigger"] == "manual" and got["r1", "begin"]["phases"] is None
+    runs = {r["run"]: r["status"] for r in ledger.fold_runs(records, "2024-01-02 11:00:00").collect()}
+    assert runs["r1"] == "degraded" and runs["r2"] == "running" and runs["r3"] == "failed"
+
+
+def test_prefix_backends(spark):
+    chunks = spark.createDataFrame([("d", "h", "t", "x" * 90), ("e", "i", None, "y")], "doc_id string, chunk_hash string, title string, chunk string")
+    assert cv.generate_prefixes(chunks, "echo:small").filter("model = 'echo:small'").count() == 2 and cv.generate_prefixes(chunks, "none").count() == 0
+    cv.register_backend("upper", lambda title, chunk: F.upper(title))
+    assert [r["prefix"] for r in cv.generate_prefixes(chunks, "upper").collect()] == ["T"]
+    with pytest.raises(ValueError, match="echo"):
+        cv.prefix_backend("gone")
