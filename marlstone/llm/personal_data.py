@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as tx
 from marlstone.plans import hash_sample, spread, with_fields
 
 #: Bounds of the model's training sample: distinct names, and texts whose capitalised words stand for other words.
@@ -30,9 +31,8 @@ LOOKALIKES = str.maketrans(
 )
 # Digits spelled out.
 DIGIT_WORDS = {w: str(n) for n, ws in enumerate(["zero oh null nul noll zéro cero", "one en ett ein eins un uno", "two to två zwei deux dos", "three tre drei trois tres", "four fire fyra vier quatre cuatro", "five fem fünf cinq cinco", "six seks sex sechs seis", "seven sju syv sieben sept siete", "eight åtte otte åtta acht huit ocho", "nine ni nio neun neuf nueve"]) for w in ws.split()}
-# Domains whose addresses are placeholders, and endings that make a "domain" a file name.
-PLACEHOLDER_DOMAINS = {"example.com", "example.org", "test.com"}
-FILE_ENDINGS = set("xsl xml xsd json yml yaml css js ts java kt py md txt htm html log csv pdf png jpg jpeg gif svg zip gz tar sql sh doc docx xls xlsx ini cfg conf properties".split())
+#: Endings of files beside those that the plain detector knows.
+FILE_ENDINGS = {*tx.FILE_ENDINGS, *"csv pdf png jpg jpeg gif svg zip gz tar sql sh doc docx xls xlsx ini cfg conf properties".split()}
 
 _HIDDEN = re.compile("[​‌‍⁠﻿­]+")
 _DIGITS = re.compile(rf"\b(?=[{''.join(sorted({w[0] for w in DIGIT_WORDS}))}])(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + r")(?:[ -]+(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + r")){5,}\b", re.I)
@@ -178,7 +178,7 @@ def find(text: str, names: NameModel) -> list[tuple[str, int, int]]:
     if "@" in p:
         for m in _EMAIL.finditer(p):
             domain = m[0].rsplit("@", 1)[1].lower()
-            if domain in PLACEHOLDER_DOMAINS or domain.rsplit(".", 1)[1] in FILE_ENDINGS:
+            if domain in tx.PLACEHOLDER_DOMAINS or domain.rsplit(".", 1)[1] in FILE_ENDINGS:
                 skipped.append(m.span())
             else:
                 add("email", *m.span())
