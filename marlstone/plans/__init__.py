@@ -97,7 +97,8 @@ def release(spark: SparkSession) -> int:
 
 
 def content_key(df: DataFrame) -> str | None:
-    """A key of what a frame reads and does: its files with their sizes and times, and its plan. None where it reads no files."""
+    """A key of what a frame reads and does: its files with their sizes and times, and its plan (as text, of which Spark may leave
+    out fields of wide frames, and as a hash). None where it reads no files."""
     files = df.inputFiles()
     if not files:
         return None
@@ -107,7 +108,7 @@ def content_key(df: DataFrame) -> str | None:
     for f in sorted(files):
         status = path(f).getFileSystem(conf).getFileStatus(path(f))
         seen.append((f, status.getLen(), status.getModificationTime()))
-    return hashlib.sha256(repr((seen, df._jdf.queryExecution().analyzed().canonicalized().toString())).encode()).hexdigest()[:32]
+    return hashlib.sha256(repr((seen, df._jdf.queryExecution().analyzed().canonicalized().toString(), df.semanticHash())).encode()).hexdigest()[:32]
 
 
 def kept(df: DataFrame, name: str, key: str | None) -> DataFrame:

@@ -1,5 +1,7 @@
 import os
+import shutil
 import sys
+import tempfile
 
 import pytest
 
@@ -11,9 +13,11 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     from marlstone.plans import session
 
-    s = session("tests", 4, **{"spark.sql.shuffle.partitions": "4"})
+    folder = tempfile.mkdtemp(prefix="tests-")  # nothing that an earlier run kept is read
+    s = session("tests", 4, **{"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": folder})
     yield s
     s.stop()
+    shutil.rmtree(folder, ignore_errors=True)
 
 
 @pytest.fixture(scope="session")
