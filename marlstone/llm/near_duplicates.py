@@ -25,7 +25,7 @@ RECALL, MOST_SEGMENTS = 0.95, 128
 #: Bits of the sketch of a document's shingles, by which candidates are dropped that can't reach the threshold.
 SKETCH_BITS = 256
 #: Documents fingerprinted at once, and shingles of them.
-BATCH, CHUNK = 256, 1 << 16
+BATCH, CHUNK = 64, 1 << 13
 #: Stands for a null group inside the operator.
 NULL_GROUP = "\0null"
 
