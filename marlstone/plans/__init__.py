@@ -74,12 +74,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """As `cut`, but as a Parquet table (compressed, column-pruned), for wide frames that are read several times."""
+def staged(df: DataFrame, lean: bool = False) -> DataFrame:
+    """As `cut`, but as a Parquet table (compressed, column-pruned), for wide frames that are read several times. lean: packed
+    closer, and the shuffle files it took are deleted at once, not whenever the driver collects its garbage."""
     path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/marlstone-stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, cleanup = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(cleanup)
+    try:
+        if lean:
+            conf.set(cleanup, "true")
+        (df.write.option("compression", "zstd") if lean else df.write).parquet(path)
+    finally:
+        conf.set(cleanup, before)
     _STAGES.append(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._marlstone_stage = path
+    return out
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Deletes tables that `staged` wrote, which nothing reads any more."""
+    for df in frames:
+        spark, name = df.sparkSession, df._marlstone_stage
+        p = spark._jvm.org.apache.hadoop.fs.Path(name)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _STAGES.remove(name)
 
 
 _STAGES: list[str] = []

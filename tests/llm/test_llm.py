@@ -1,8 +1,12 @@
 """The operators of the problems tagged llm, against brute force, round trips and held-out cases."""
 
 import collections
+import itertools
 import random
 import re
+import threading
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from marlstone import plans
 from marlstone.operators.graph import connected_components
 from marlstone.llm import golay, languages as lg, markup, mixing, near_duplicates as nd, packing, personal_data as pii, queries, splitting, subjects, templates, text_quality, tokens
 
@@ -129,6 +134,62 @@ def test_long_documents_are_summed_in_parts(monkeypatch):
     assert np.array_equal(whole, nd.fingerprints(h, ends, 128)) and not whole[0].any() and not whole[2].any()
 
 
+@pytest.mark.parametrize("width,groups,codewords", [(1, 5, 2), (2, 7, 3), (3, 4, 2), (3, 4, 3), (4, 3, 3)])
+def test_candidates_are_the_pairs_that_share_a_key(spark, monkeypatch, width, groups, codewords):
+    monkeypatch.setattr(nd, "LEAST_PASS", 0)  # several passes, whatever the tables' size
+    monkeypatch.setattr(nd, "COMPARED", 50)
+    monkeypatch.setattr(nd, "HELD", 100)
+    rng, n, limit = np.random.default_rng(5), 120, 127
+    near = rng.integers(0, 8, (n, groups, width, codewords)) * 512 + np.arange(codewords)
+    near[::5, :, :, 1:] = near[::5, :, :, :1]  # codewords that stand for missing ones
+    sketch = rng.integers(0, 256, (n, nd.SKETCH_BITS // 8), np.uint8)
+    codes = [(i, i % 2, sketch[i].tobytes() + near[i].astype("<u2").tobytes()) for i in range(n)]
+    got = nd.candidates(spark.createDataFrame(codes, "_n long, _x int, _code binary"), n, width, groups, codewords, limit).collect()
+    keys = [{(g, *k) for g in range(groups) for k in itertools.product(*near[i, g].tolist())} for i in range(n)]
+    bits = np.unpackbits(sketch, axis=1)
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if a % 2 == b % 2 and keys[a] & keys[b] and (bits[a] != bits[b]).sum() <= limit}
+    assert {(r["_a"], r["_b"]) for r in got} == want and len(got) == len(want) > 0
+
+
+def test_near_duplicates_need_four_times_the_texts_of_disk(spark, tmp_path, monkeypatch):
+    """At any time, with the shuffle files; as the passes of large tables, which may not write LEAST_PASS."""
+    monkeypatch.setattr(nd, "LEAST_PASS", 0, raising=False)
+    rng, rows = random.Random(6), []
+    for i in range(3000):
+        t = [f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(120)] if i % 10 or not i else [*t[:100], "more"]
+        rows.append((i, " ".join(t)))
+    spark.createDataFrame(rows, "id long, t string").repartition(4).write.parquet(f"{tmp_path}/t")
+    size = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    folders = [Path(str(d)) for d in dirs] + [Path(plans.checkpoint_folder(spark).removeprefix("file:"))]
+
+    def held():
+        out = {}
+        for p in (p for f in folders for p in f.rglob("*")):
+            try:
+                out[p] = p.stat().st_size if p.is_file() else 0
+            except OSError:
+                pass
+        return out
+
+    before, most, over = set(held()), [0], threading.Event()
+
+    def watch():
+        while not over.is_set():
+            most[0] = max(most[0], sum(v for p, v in held().items() if p not in before))
+            time.sleep(0.02)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        members, links = nd.near_duplicates(spark.read.parquet(f"{tmp_path}/t"), "id", "t", threshold=0.6, size=3)
+        assert links.count() >= 250 and members.count() == 3000
+    finally:
+        over.set()
+        watcher.join()
+    assert most[0] <= 4 * size
+
+
 def test_keys_widen_with_the_documents():
     for threshold in (0.6, 0.8):
         plans = [nd.plan_keys(n, threshold) for n in (100, 10**5, 10**8)]
